@@ -54,6 +54,22 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN of USING (doc_id)"""
 
 
+NEAR_DEDUP_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[i + 1 : i + 5], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(greatest(1, len(ws) - 4))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.h = b.h AND a.doc_id <> b.doc_id
+  JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+c AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.other, d.doc_id))::BIGINT AS component_id,
+  d.doc_id <= coalesce(c.other, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 CHAT_SQL = r"""
 WITH m AS (
   SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -76,4 +92,4 @@ FROM k"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op4_decontamination": DECONTAMINATION_SQL, "op6_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}
+    return {"op1_license_scan": license_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op6_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}

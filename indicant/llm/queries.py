@@ -10,6 +10,7 @@ from . import chat_format, toxicity, warc
 from .common import table
 from .decontaminate import decontaminate
 from .license_scan import scan_licenses
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -23,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,5 +56,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    own = (op1_license_scan, op4_decontamination, op6_chat_format, op8_toxicity, op9_token_counts, op10_warc)
+    own = (op1_license_scan, op3_near_dedup, op4_decontamination, op6_chat_format, op8_toxicity, op9_token_counts, op10_warc)
     return {f.__name__: f for f in own}
