@@ -70,6 +70,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
   d.doc_id <= coalesce(c.other, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
+#: Sums run from the first component to the last, as doubles.
+ANN_SQL = """
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM e),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+    list_reduce(list_transform(range(1, len(x.v) + 1), lambda i: x.v[i] * q.v[i]), lambda a, b: a + b) / (x.n * q.n) AS score
+  FROM n AS q JOIN n AS x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id AND len(x.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE rank <= 5"""
+
 CHAT_SQL = r"""
 WITH m AS (
   SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -92,4 +106,4 @@ FROM k"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op6_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}
+    return {"op1_license_scan": license_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op5_ann": ANN_SQL, "op6_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}
