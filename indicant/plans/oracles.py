@@ -1,2 +1,213 @@
-def oracle_sql():
-    return {}
+"""DuckDB SQL of the registered queries.
+
+Written apart from the column expressions: mostly by splitting texts at white space and
+judging whole tokens, instead of searching with boundaries.
+"""
+
+from __future__ import annotations
+
+from ..functions import lists as L
+from .queries import BASE, DOMAIN_CASES, LATER, NOW, cased
+from .reports import IOCS, LISTS, text_sql
+
+HEX = "0-9a-fA-F"
+GOOD_HASH = "len(list_distinct(string_split(lower(x), ''))) >= 4 AND NOT regexp_matches(lower(x), '0123456789|abcdef|fedcba|9876543210') AND NOT (len(x) >= 64 AND (regexp_matches(lower(x), '^(4d5a|504b|377a|89504e47|ffd8ff)') OR regexp_full_match(x, '([0-7][0-9a-fA-F])+')))"
+DOTS = "replace(replace(replace(x, '[.]', '.'), '(.)', '.'), '{.}', '.')"
+FANG = "replace({}, '.', '[.]')"
+URL_FANG = "replace(replace(replace(x, 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.', '[.]')"
+DOMAIN_TOKEN = f"regexp_full_match({DOTS}, '([a-z0-9-]+\\.)+(com|net|org)') AND NOT contains({DOTS}, 'document') AND (NOT regexp_matches({DOTS}, '(^|\\.)google\\.com$') OR starts_with({DOTS}, 'bad.'))"
+MAIL = r"regexp_extract(x, '([A-Za-z0-9][A-Za-z0-9._-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,})', 1)"
+
+#: By type: what a whole token must be, and the value it gives.
+TOKENS = {
+    "md5": (f"regexp_full_match(x, '[{HEX}]{{32}}') AND {GOOD_HASH}", "x"),
+    "sha1": (f"regexp_full_match(x, '[{HEX}]{{40}}') AND {GOOD_HASH}", "x"),
+    "sha256": (f"regexp_full_match(x, '[{HEX}]{{64}}') AND {GOOD_HASH}", "x"),
+    "sha512": (f"regexp_full_match(rtrim(x, '.'), '[{HEX}]{{64}}[{HEX}]{{64}}') AND {GOOD_HASH}", "rtrim(x, '.')"),
+    "ssdeep": ("regexp_full_match(x, '[0-9]{2,}:[A-Za-z0-9/+]{3,}:[A-Za-z0-9/+]{3,}')", "x"),
+    "domains": (DOMAIN_TOKEN, FANG.format(DOTS)),
+    "ips": (f"regexp_full_match({DOTS}, '((0|[1-9][0-9]{{0,2}})\\.){{3}}(0|[1-9][0-9]{{0,2}})') AND list_max(list_transform(string_split({DOTS}, '.'), lambda p: try_cast(p AS INT))) <= 255", FANG.format(DOTS)),
+    "ipv6": ("regexp_full_match(x, '([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[0-9a-f]{1,4}::[0-9a-f]{1,4}')", "x"),
+    "urls": ("contains(x, '://') AND NOT contains(x, 'readme') AND NOT contains(x, 'docs.python.org') AND NOT contains(x, '://example.')", URL_FANG),
+    "emails": (f"{MAIL} <> ''", f"replace(replace({MAIL}, '@', '[@]'), '.', '[.]')"),
+    "bitcoin": (f"regexp_full_match(x, 'bc1[a-zA-HJ-NP-Z0-9]{{39,59}}|[13][a-zA-HJ-NP-Z0-9]{{25,34}}') AND NOT regexp_full_match(x, '[{HEX}]+')", "x"),
+    "ethereum": (f"regexp_full_match(x, '0x[{HEX}]{{40}}')", "x"),
+    "monero": ("regexp_full_match(x, '4[0-9AB][a-zA-Z0-9]{93}')", "x"),
+    "cves": ("regexp_full_match(x, '(?i)cve-[0-9]{4}-[0-9]{4,7}')", "x"),
+    "mitre_attack": (r"regexp_full_match(x, 'T[0-9]{4}(\.[0-9]{3})?')", "x"),
+    "registry": (r"regexp_full_match(x, '(HKLM|HKCU)\\[A-Za-z0-9\\_-]+')", "x"),
+    "mutex": (r"regexp_full_match(x, '((Global|Local)\\)?[A-Za-z0-9][A-Za-z0-9_-]{2,}(Mutex|MUTEX)|Mutex:[A-Za-z0-9_-]+')", "x"),
+    "service_names": ("regexp_full_match(x, 'Svc[0-9]+|Update[0-9]+Service')", "regexp_replace(x, 'Service$', '')"),
+    "named_pipes": (r"regexp_full_match(x, '\\\\\.\\pipe\\[A-Za-z0-9_-]+')", "x"),
+    "filenames": (r"regexp_full_match(x, '(?i)[a-z0-9][a-z0-9_.-]{2,}\.(pdf|exe|js|com|html|htm)') AND lower(x) <> 'cmd.exe'", "x"),
+    "filepaths": (r"regexp_full_match(x, 'C:\\.*|/tmp/.*|%APPDATA%.*')", "x"),
+    "mac_addresses": (r"regexp_full_match(x, '([0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}|([0-9a-f]{4}\.){2}[0-9a-f]{4}')", r"CASE WHEN contains(x, '.') THEN rtrim(regexp_replace(replace(x, '.', ''), '(..)', '\1:', 'g'), ':') ELSE x END"),
+    "asn": ("regexp_full_match(x, 'AS[0-9]{1,10}')", "x"),
+    "jwt": (r"regexp_full_match(x, 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+')", "x"),
+    "cert_serials": ("regexp_full_match(x, '[0-9a-f]{20}|([0-9A-F]{2}:){7}[0-9A-F]{2}')", r"lower(CASE WHEN contains(x, ':') THEN x ELSE rtrim(regexp_replace(x, '(..)', '\1:', 'g'), ':') END)"),
+    "hosts": (rf"({DOMAIN_TOKEN} AND NOT contains(x, 'the')) OR regexp_full_match(x, '\\\\\\\\PCHOST[0-9]+\\\\')", rf"CASE WHEN contains(x, 'PCHOST') THEN regexp_extract(x, '(PCHOST[0-9]+)', 1) ELSE {FANG.format(DOTS)} END"),
+}
+
+
+def tokens_sql(ioc_type: str, frm: str, key: str, text: str, head: str = "") -> str:
+    """SELECT of key, [head,] value for the distinct tokens of a type in a text."""
+    cond, value = TOKENS[ioc_type]
+    return f"SELECT {key}, {head}unnest(list_distinct(list_transform(list_filter(regexp_split_to_array({text}, '\\s+'), lambda x: {cond}), lambda x: {value}))) AS value FROM {frm}"
+
+
+def extract_sql(ioc_type: str) -> str:
+    text = text_sql(ioc_type, "duckdb")
+    if ioc_type == "user_agents":
+        return f"SELECT o_orderkey, regexp_extract({text}, 'User-Agent: ([^\\n]*)', 1) AS value FROM orders"
+    if ioc_type == "yara":
+        return f"SELECT o_orderkey, regexp_extract({text}, '(rule R[0-9]+ .*\\}}) tail', 1) AS value FROM orders"
+    return tokens_sql(ioc_type, "orders", "o_orderkey", text)
+
+
+def base_cte(head: str = "o_custkey::VARCHAR AS source_value, o_orderkey") -> str:
+    return "base AS (" + " UNION ALL ".join(tokens_sql(t, "orders", head, text_sql(t, "duckdb"), f"'{t}' AS ioc_type, ") for t in BASE) + ")"
+
+
+CLASSED = base_cte() + """, c AS (
+  SELECT DISTINCT source_value, ioc_type, value, (ioc_type = 'cves' AND regexp_matches(lower(value), '^cve-20[0-9][02468]')) AS w FROM base)"""
+
+#: Documents: white space and punctuation never stand inside these values.
+DOC_TOKENS = r"regexp_split_to_array(regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '~', 'g'), '[^A-Za-z0-9@._~-]+')"
+
+
+def document_rows() -> str:
+    """E-mails, addresses, SHA-1, domains, file names and hosts of the documents, token by token."""
+    mail = r"regexp_full_match(x, '[a-zA-Z0-9][a-zA-Z0-9._-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,63}')"
+    strip = "list_transform(toks, lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g'))"
+    after = f"list_transform(list_filter({strip}, lambda t: contains(t, '@')), lambda t: string_split(t, '@')[2])"
+    ip = r"regexp_full_match(x, '((0|[1-9][0-9]{0,2})\.){3}(0|[1-9][0-9]{0,2})') AND list_max(list_transform(string_split(x, '.'), lambda p: try_cast(p AS INT))) <= 255"
+    sha = f"regexp_full_match(x, '[{HEX}]{{40}}') AND {GOOD_HASH}"
+    part = lambda t, source, cond, value: f"SELECT doc_id, '{t}' AS ioc_type, unnest(list_distinct(list_transform(list_filter({source}, lambda x: {cond}), lambda x: {value}))) AS value FROM d"
+    domain = r"regexp_full_match(x, '([a-z0-9-]+\.)+com')"
+    return f"d AS (SELECT doc_id, {DOC_TOKENS} AS toks FROM documents), r AS (" + " UNION ALL ".join([
+        part("emails", strip, mail, "replace(replace(x, '@', '[@]'), '.', '[.]')"),
+        part("ips", strip, ip, "replace(x, '.', '[.]')"), part("sha1", strip, sha, "x"),
+        part("domains", after, domain, "replace(x, '.', '[.]')"), part("hosts", after, domain, "replace(x, '.', '[.]')"),
+        part("filenames", after, domain, "x"),
+    ]) + ")"
+
+
+
+CLEAN = "value"
+for _old, _new in L.REFANG:
+    CLEAN = f"replace({CLEAN}, '{_old}', '{_new}')"
+
+#: Conditions of the warning lists of the queries, by list, on the refanged value v and the type t.
+NAMES = {r[0]: (r[1], r[2] or "") for r in LISTS}
+WL = f"""
+i AS ({IOCS}),
+v AS (SELECT ioc_type, value, {CLEAN} AS v, lower({CLEAN}) AS l FROM i),
+ip AS (SELECT *, CASE WHEN regexp_full_match(v, '([0-9]+\\.){{3}}[0-9]+') THEN list_reduce(list_transform(string_split(v, '.'), lambda p: p::BIGINT), lambda a, b: a * 256 + b) END AS n FROM v),
+s AS (
+  SELECT *, CASE WHEN ioc_type = 'domains' AND l IN ('google.com', 'facebook.com', 'youtube.com') THEN 'Alexa Top'
+                 WHEN ioc_type = 'ips' AND l IN ('8.8.8.8', '8.8.4.4', '1.1.1.1') THEN 'Public DNS' END AS str,
+    CASE WHEN ioc_type IN ('domains', 'emails', 'md5') AND regexp_matches(l, '^dyn[0-9]+\\.') THEN 'Dynamic DNS' END AS rex,
+    CASE WHEN ioc_type = 'ips' AND (n // 256 = 526344 OR n // 131072 = 18301) THEN 'Google ranges'
+         WHEN ioc_type = 'ips' AND (n // 16777216 = 10 OR n // 65536 = 49320) THEN 'Private ranges'
+         WHEN ioc_type = 'ipv6' AND regexp_matches(l, '^2001:db8::') THEN 'Documentation v6' END AS cid,
+    CASE WHEN ioc_type IN ('domains', 'urls') AND (contains(l, 'virustotal') OR contains(l, 'kaspersky') OR contains('virustotal', l) OR contains('kaspersky', l)) THEN 'Security vendors' END AS sub
+  FROM ip),
+m AS (SELECT *, coalesce(str, rex, cid, sub) AS hit FROM s)"""
+DESCRIPTION = "CASE hit " + " ".join(f"WHEN '{n}' THEN '{d}'" for n, d in NAMES.values() if n) + " END"
+DROPPED = "ioc_type = 'emails' AND (regexp_matches(l, '@.*(virustotal|kaspersky)') OR split_part(l, '@', 2) IN ('google.com', 'facebook.com', 'youtube.com'))"
+
+
+def stage_sql(column: str) -> str:
+    return f"WITH {WL} SELECT DISTINCT ioc_type, value, {column} AS warning_list FROM m WHERE {column} IS NOT NULL"
+
+
+def html_sql() -> str:
+    e = "html"
+    for tag in ("script", "style", "noscript", "head"):
+        e = f"regexp_replace({e}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    e = f"regexp_replace(regexp_replace({e}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[!/a-zA-Z?][^>]*>', ' ', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("middot", "·"), ("copy", "©"), ("#39", "''")):
+        e = f"replace({e}, '&{name};', '{char}')"
+    e = f"replace({e}, '&amp;', '&')"
+    return f"SELECT page_id, trim(regexp_replace({e}, '[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+', ' ', 'g'), ' ') AS text FROM pages"
+
+
+HOST, PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)", "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+LAST = f"list_last(string_split(regexp_replace({PATH}, '^/+|/+$', '', 'g'), '/'))"
+
+
+def stix_sql() -> str:
+    return f"""
+WITH {CLASSED}, u AS (
+  SELECT source_value, ioc_type, w,
+    CASE ioc_type WHEN 'emails' THEN '[email-addr:value = ''' ELSE '[vulnerability:name = ''' END || replace(replace(value, '[@]', '@'), '[.]', '.') || ''']' AS pattern
+  FROM c WHERE ioc_type <> 'asn')
+SELECT DISTINCT source_value, pattern, ioc_type || ' indicator' AS name, w AS is_warning,
+  CASE WHEN w THEN 'Even ''years''' ELSE '' END AS warning_list, '' AS description FROM u"""
+
+
+def json_sql() -> str:
+    return f"""
+WITH {CLASSED},
+n AS (SELECT source_value, ioc_type, '"' || ioc_type || '":[' || string_agg('"' || value || '"', ',' ORDER BY value) || ']' AS j FROM c WHERE NOT w GROUP BY source_value, ioc_type),
+x AS (SELECT source_value, 'warning_list_matches' AS ioc_type, '"warning_list_matches":{{"cves":[' || string_agg('{{"description":"","value":"' || value || '","warning_list":"Even ''years''"}}', ',' ORDER BY value) || ']}}' AS j FROM c WHERE w GROUP BY source_value)
+SELECT source_value, '{{' || string_agg(j, ',' ORDER BY ioc_type) || '}}' AS json FROM (SELECT * FROM n UNION ALL SELECT * FROM x) GROUP BY source_value"""
+
+
+def text_report_sql() -> str:
+    order = "CASE ioc_type WHEN 'emails' THEN 1 WHEN 'cves' THEN 2 ELSE 3 END"
+    title = "CASE ioc_type WHEN 'emails' THEN 'Email Addresses' WHEN 'cves' THEN 'Vulnerabilities (CVEs)' ELSE 'AS Numbers' END"
+    nl = "chr(10)"
+    return f"""
+WITH {CLASSED},
+n AS (SELECT source_value, {order} AS o, {nl} || '## ' || {title} || {nl} || {nl} || string_agg(value, {nl} ORDER BY value) AS t FROM c WHERE NOT w GROUP BY source_value, ioc_type),
+x AS (SELECT source_value, {nl} || '# Warning List Matches' || {nl} || {nl} || 'The following indicators were found in warning lists and might be false positives:' || {nl} || {nl} || {nl}
+        || '## Vulnerabilities (CVEs) in Warning Lists' || {nl} || {nl} || string_agg(value || ' - *Even ''years''*', {nl} ORDER BY value) AS t FROM c WHERE w GROUP BY source_value)
+SELECT source_value, '# Indicators of Compromise (IOCs) Extracted' || {nl} || {nl} || string_agg(t, {nl} ORDER BY o) AS report
+FROM (SELECT source_value, o, t FROM n UNION ALL SELECT source_value, 9, t FROM x) GROUP BY source_value"""
+
+
+def oracle_sql() -> dict[str, str]:
+    orders = lambda value: f"SELECT o_orderkey, {value.replace('STRING', 'VARCHAR')} AS value FROM orders"
+    hash_case = "CASE o_orderkey % 4 WHEN 0 THEN md5(CAST(o_orderkey AS STRING)) WHEN 1 THEN repeat('ab', 16) WHEN 2 THEN sha256(CAST(o_orderkey AS STRING)) ELSE repeat('41', 32) || '5A5B5C5D' END"
+    verdicts = "[true, false, true, false, false, false, false, false, true, false, false, true, false]"
+    odd = "source_value::BIGINT % 2 = 1"
+    out = {f"extract_{t}": extract_sql(t) for t in [*TOKENS, "user_agents", "yara"]}
+    out |= {
+        "extract_all_counts": f"WITH {document_rows()} SELECT ioc_type, count(*)::BIGINT AS n FROM r GROUP BY ioc_type",
+        "extract_documents": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type IN ('emails', 'ips', 'sha1')",
+        "extract_fanged": f"SELECT o_orderkey, 'urls' AS ioc_type, unnest(list_filter(string_split({text_sql('urls', 'duckdb')}, ' '), lambda x: {TOKENS['urls'][0]})) AS value FROM orders UNION ALL SELECT o_orderkey, 'emails', unnest(list_transform(list_filter(string_split({text_sql('emails', 'duckdb')}, ' '), lambda x: {MAIL} <> ''), lambda x: {MAIL})) FROM orders",
+        "extract_wide_counts": f"WITH {base_cte('o_orderkey')} SELECT o_orderkey, count(*) FILTER (ioc_type = 'emails')::BIGINT AS n_emails, count(*) FILTER (ioc_type = 'asn')::BIGINT AS n_asn, count(*) FILTER (ioc_type = 'cves')::BIGINT AS n_cves FROM base GROUP BY o_orderkey",
+        "extract_pages": r"""
+            SELECT page_id, 'urls' AS ioc_type, replace(replace(replace(regexp_extract(url, '^[a-z]+://[^/?#]+(/[-a-zA-Z0-9()@:%_+.~#?&/=]*)?'), 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.', '[.]') AS value FROM pages
+            UNION ALL SELECT page_id, 'filenames', unnest(list_distinct(list_filter(regexp_split_to_array(url, '[^A-Za-z0-9_.-]+'), lambda x: regexp_full_match(x, '(?i)[a-z0-9][a-z0-9_.-]{2,}\.(com|html|htm|js|pdf)')))) FROM pages""",
+        "hash_validity": f"WITH o AS ({orders(hash_case)}) SELECT o_orderkey, value, o_orderkey % 4 IN (0, 2) AND NOT regexp_matches(value, '0123456789|abcdef|fedcba|9876543210') AS valid FROM o",
+        "domain_validity": f"WITH o AS ({orders(cased(DOMAIN_CASES, 'o_orderkey'))}) SELECT o_orderkey, value, {verdicts}[o_orderkey % {len(DOMAIN_CASES)} + 1] AS valid FROM o",
+        "defang_values": f"SELECT page_id, replace(regexp_replace(url, '^http', 'hxxp'), '.', '[.]') AS url_defanged, replace({HOST}, '.', '[.]') AS host_defanged, 'x[@]' || replace({HOST}, '.', '[.]') AS email_defanged FROM pages",
+        "refang_values": "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'http://a' || c_custkey || '.com' WHEN 1 THEN 'https://b.org/x' WHEN 2 THEN 'u@mail.net' WHEN 3 THEN 'http://c:80//d' WHEN 4 THEN 'v@w@x@y' ELSE 'plain' || c_custkey END AS clean FROM customer",
+        "html_to_text": html_sql(),
+        "detect_file_type": "SELECT o_orderkey, ['pdf', 'html', 'html', 'text', ['pdf', 'html', 'html', 'text', 'text', 'text', 'text'][o_orderkey % 7 + 1]][o_orderkey % 5 + 1] AS by_mime, ['pdf', 'html', 'html', 'text', 'text', 'text', 'text'][o_orderkey % 7 + 1] AS by_path, CASE o_orderkey % 7 WHEN 1 THEN 'html' WHEN 6 THEN 'pdf' END AS parser FROM orders",
+        "url_parts": f"SELECT page_id, {HOST} AS host, {PATH} AS path, contains(url, '://') AS valid, CASE WHEN {LAST} = '' THEN replace({HOST}, '.', '_') ELSE {LAST} END || CASE WHEN regexp_matches({LAST}, '\\.html?$') THEN '' ELSE '.html' END AS temp_name FROM pages",
+        "output_filename": f"SELECT page_id, left(regexp_replace({HOST} || CASE WHEN {LAST} <> '' THEN '_' || {LAST} ELSE '' END, '[^A-Za-z0-9_.-]', '_', 'g'), 50) || '_iocs.json' AS of_url, 'report.' || page_id || '_iocs.stix.json' AS of_file FROM pages",
+        "table_text": "SELECT n_nationkey, n_name || ' ' || n_regionkey || chr(10) || n_name || chr(10) AS text FROM nation",
+        "wl_string_join": stage_sql("str"), "wl_regex_join": stage_sql("rex"), "wl_cidr_join": stage_sql("cid"), "wl_substring_join": stage_sql("sub"),
+        "wl_classify": f"WITH {WL} SELECT ioc_type, value, hit IS NOT NULL AS is_warning, hit AS warning_list, {DESCRIPTION} AS description FROM m WHERE NOT ({DROPPED})",
+        "wl_warnings_only": f"WITH {WL} SELECT ioc_type, hit AS warning_list, count(*)::BIGINT AS n FROM m WHERE hit IS NOT NULL GROUP BY ALL",
+        "wl_email_drop": f"WITH {WL} SELECT DISTINCT ioc_type, value FROM m WHERE {DROPPED}",
+        "wl_categories": "SELECT category, n::BIGINT AS n FROM (VALUES ('alexa', 1), ('public', 1), ('dynamic', 1), ('google', 1), ('private', 1), ('security', 1), ('documentation', 1), ('other', 1)) AS t(category, n)",
+        "wl_diagnose": "SELECT list_id, name, type, n::BIGINT AS n_values, matched, sample FROM (VALUES ('google-cidr', 'Google ranges', 'cidr', 3, true, '8.8.8.0/24,142.250.0.0/15,9.9.9.9'), ('private', 'Private ranges', 'cidr', 2, false, '10.0.0.0/8,192.168.1.1/16')) AS t(list_id, name, type, n, matched, sample)",
+        "dedup_ordered": f"WITH {base_cte()} SELECT ioc_type, value, min(o_orderkey)::BIGINT AS o_orderkey FROM base GROUP BY ioc_type, value",
+        "dedup_incremental_anti": f"WITH {base_cte()} SELECT ioc_type, value FROM base WHERE {odd} EXCEPT SELECT ioc_type, value FROM base WHERE NOT {odd}",
+        "multi_source_union": f"WITH {base_cte()} SELECT ioc_type, value FROM base UNION SELECT ioc_type, value FROM base",
+        "counts_with_total": f"WITH {base_cte()} SELECT ioc_type, count(*)::BIGINT AS n FROM base GROUP BY ROLLUP (ioc_type)",
+        "json_rows": json_sql(), "text_sections": text_report_sql(), "stix_patterns": stix_sql(),
+        "stix_bundle_sizes": f"SELECT source_value, count(*)::BIGINT AS n_objects FROM ({stix_sql()}) GROUP BY source_value",
+        "persist_sources": f"SELECT 'file' AS kind, o_custkey::VARCHAR AS value, '{NOW[:10]}' AS first_seen, CASE WHEN count(*) FILTER (o_orderkey % 3 = 0) > 0 THEN '{LATER[:10]}' ELSE '{NOW[:10]}' END AS last_seen FROM orders GROUP BY o_custkey",
+        "persist_iocs": f"WITH {CLASSED}, k AS (SELECT source_value, ioc_type, value, w AS is_warning, CASE WHEN w THEN 'Even ''years''' ELSE '' END AS warning_list, '' AS warning_description FROM c) SELECT * EXCLUDE source_value FROM k WHERE {odd} EXCEPT SELECT * EXCLUDE source_value FROM k WHERE NOT {odd}",
+        "persist_run_iocs": f"WITH {CLASSED} SELECT source_value, count(*)::BIGINT AS n_iocs, count(*) FILTER (w)::BIGINT AS n_warnings FROM c GROUP BY source_value",
+        "shared_iocs_topk": f"WITH {base_cte()} SELECT ioc_type, value, count(DISTINCT source_value)::BIGINT AS n_sources FROM base GROUP BY ALL ORDER BY n_sources DESC, ioc_type, value LIMIT 20",
+        "chunked_extract": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type IN ('emails', 'ips', 'sha1')",
+        "chunk_sizes": "SELECT doc_id, ceil(length(text) / 1000)::BIGINT AS n_chunks, (length(text) + 100 * (ceil(length(text) / 1000) - 1))::BIGINT AS n_chars FROM documents WHERE length(text) > 0",
+        "stream_extract": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type IN ('emails', 'ips', 'sha1')",
+    }
+    return out

@@ -1,2 +1,296 @@
-def queries():
-    return {}
+"""Registered queries of the indicator operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.extractors import EXTRACTORS
+from ..operators import dedup, formats, store
+from ..operators import warninglists as W
+from ..operators.extract import counts_by_type, extract_all, extract_wide
+from ..sources import text as sources
+from ..streaming import chunks, stream
+from .reports import IOCS, LISTS, text_sql
+
+NOW, LATER = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reports(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+    """(o_orderkey, source_value, text): report texts of the given types, one a line, for every order."""
+    text = " || chr(10) || ".join(f"({text_sql(t, 'spark')})" for t in types)
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_custkey AS STRING) AS source_value", f"{text} AS text")
+
+
+def extraction(ioc_type: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        values = EXTRACTORS[ioc_type](F.col("text"), True)
+        return reports(spark, sf_dir, ioc_type).select("o_orderkey", F.explode(values).alias("value"))
+
+    query.__name__ = f"extract_{ioc_type}"
+    return query
+
+
+def extract_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types over every document, distinct by document, counted by type."""
+    found = extract_all(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counts_by_type(found)
+
+
+def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_all(table(spark, sf_dir, "documents").select("doc_id", "text"), types=["emails", "ips", "sha1"])
+
+
+def extract_fanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without defanging."""
+    return extract_all(reports(spark, sf_dir, "urls", "emails").select("o_orderkey", "text"), types=["urls", "emails"], defang=False)
+
+
+def extract_wide_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = extract_wide(reports(spark, sf_dir, "emails", "asn", "cves").select("o_orderkey", "text"), types=["emails", "asn", "cves"])
+    size = lambda t: F.coalesce(F.size(F.try_element_at("iocs", F.lit(t))), F.lit(0)).cast("long").alias(f"n_{t}")
+    return wide.select("o_orderkey", size("emails"), size("asn"), size("cves"))
+
+
+def hash_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = "CASE o_orderkey % 4 WHEN 0 THEN md5(CAST(o_orderkey AS STRING)) WHEN 1 THEN repeat('ab', 16) WHEN 2 THEN sha2(CAST(o_orderkey AS STRING), 256) ELSE repeat('41', 32) || '5A5B5C5D' END"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{value} AS value")
+    return rows.select("o_orderkey", "value", T.is_valid_hash(F.col("value")).alias("valid"))
+
+
+DOMAIN_CASES = ["'a' || S || '.com'", "'www.Google.com'", "'evil.github.com'", "'learn.microsoft.com'", "'x.learn.microsoft.com'", "'foo.exe'", "'window.com'", "repeat('a', 64) || '.net'", "'badminton.google.com'", "'nodots'", "'x.aws.amazon.com'", "'malware.aws.amazon.com'", "'vue.react.io'"]
+
+
+def cased(cases: list[str], key: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN {c.replace('S', f'CAST({key} AS STRING)')}" for k, c in enumerate(cases))
+    return f"CASE {key} % {len(cases)} {whens} END"
+
+
+def domain_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{cased(DOMAIN_CASES, 'o_orderkey')} AS value")
+    return rows.select("o_orderkey", "value", T.is_valid_domain(F.col("value")).alias("valid"))
+
+
+def defang_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    return rows.select("page_id", T.defang_url(F.col("url")).alias("url_defanged"), T.defang_dotted(T.url_host(F.col("url"))).alias("host_defanged"), T.defang_email(F.concat(F.lit("x@"), T.url_host(F.col("url")))).alias("email_defanged"))
+
+
+REFANG_CASES = ["'hxxp://a' || S || '[.]com'", "'hXXps://b(.)org{/}x'", "'u[@]mail{.}net'", "'h__p://c[:]80[//]d'", "'v[@ ]w(@)x{@}y'", "'plain' || S"]
+
+
+def refang_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{cased(REFANG_CASES, 'c_custkey')} AS value")
+    return rows.select("c_custkey", T.refang(F.col("value")).alias("clean"))
+
+
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", sources.html_to_text(F.col("html")).alias("text"))
+
+
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs and file names of the pages' addresses."""
+    return extract_all(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text")), types=["urls", "filenames"])
+
+
+MIMES = ["'application/pdf'", "'TEXT/HTML'", "'application/xml'", "'text/plain'", "'image/png'"]
+PATHS = ["'/d/a' || S || '.PDF'", "'b.htm'", "'c.xml'", "'x.log'", "'y.unknown'", "'noext'", "'.pdf'"]
+
+
+def detect_file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{cased(MIMES, 'o_orderkey')} AS mime", f"{cased(PATHS, 'o_orderkey')} AS path")
+    return rows.select("o_orderkey", sources.detect_type(F.col("path"), F.col("mime")).alias("by_mime"), sources.detect_type(F.col("path")).alias("by_path"), sources.parser_for(F.col("path")).alias("parser"))
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    return rows.select("page_id", T.url_host(F.col("url")).alias("host"), T.url_path(F.col("url")).alias("path"), sources.is_valid_url(F.col("url")).alias("valid"), sources.temp_filename(F.col("url"), F.lit("text/html; charset=utf-8")).alias("temp_name"))
+
+
+def output_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "'/data/report.' || CAST(page_id AS STRING) || '.txt' AS path")
+    return rows.select("page_id", formats.output_filename(F.col("url"), "json").alias("of_url"), formats.output_filename(F.col("path"), "stix").alias("of_file"))
+
+
+def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "array(array(n_name, NULL, CAST(n_regionkey AS STRING)), array('', NULL), array(n_name)) AS rows")
+    return rows.select("n_nationkey", sources.table_text(F.col("rows")).alias("text"))
+
+
+def warning_lists(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LISTS, W.SCHEMA)
+
+
+def iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("indicant_customer")
+    return spark.sql(IOCS.replace("FROM customer", "FROM indicant_customer"))
+
+
+def stage(number: int) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lists, values = warning_lists(spark), W.prepared(iocs(spark, sf_dir))
+        by_type = W.relevant(W.metadata(lists))
+        pairs = W.pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own])
+        if number == 0:
+            hits = W.string_hits(values, lists, pairs)
+        elif number == 1:
+            hits = W.regex_hits(values, W.valid_regexes(lists), by_type)
+        elif number == 2:
+            hits = W.cidr_hits(values, W.networks(lists), pairs)
+        else:
+            fitting = W.pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if m.type == "substring" and W.applicable(m, t)])
+            hits = W.substring_hits(values, lists, fitting)
+        return hits.select("ioc_type", "value", "warning_list").distinct()
+
+    return query
+
+
+def wl_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.classify(iocs(spark, sf_dir), warning_lists(spark)).select("ioc_type", "value", "is_warning", "warning_list", "description")
+
+
+def wl_warnings_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.warnings_only(iocs(spark, sf_dir), warning_lists(spark)).groupBy("ioc_type", "warning_list").agg(F.count("*").alias("n"))
+
+
+def wl_email_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.dropped_emails(iocs(spark, sf_dir), warning_lists(spark))
+
+
+def wl_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.categories(warning_lists(spark))
+
+
+def wl_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = W.diagnose("8.8.8[.]8", "ips", warning_lists(spark), ["ranges"])
+    return report.select("list_id", "name", "type", "n_values", "matched", F.array_join("sample", ",").alias("sample"))
+
+
+BASE = ("emails", "asn", "cves")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_value, o_orderkey, ioc_type, value) of three types, by customer and order."""
+    return extract_all(reports(spark, sf_dir, *BASE), keys=["source_value", "o_orderkey"], types=list(BASE))
+
+
+def dedup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.ordered_distinct(base(spark, sf_dir), "o_orderkey").select("ioc_type", "value", "o_orderkey")
+
+
+def dedup_incremental_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base(spark, sf_dir)
+    odd = F.col("source_value").cast("long") % 2 == 1
+    return dedup.unseen(rows.filter(odd), rows.filter(~odd))
+
+
+def multi_source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base(spark, sf_dir)
+    odd = F.col("source_value").cast("long") % 2 == 1
+    return dedup.union_of_sources([rows.filter(odd), rows.filter(~odd)])
+
+
+def counts_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts_by_type(base(spark, sf_dir), total=True)
+
+
+def as_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """base, with CVEs of even years on a warning list."""
+    warned = (F.col("ioc_type") == "cves") & F.col("value").rlike("(?i)^cve-20[0-9][02468]")
+    rows = base(spark, sf_dir).select("source_value", "ioc_type", "value").distinct()
+    return rows.select("*", warned.alias("is_warning"), F.when(warned, "Even 'years'").alias("warning_list"), F.when(warned, "").alias("description"))
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.json_rows(as_classified(spark, sf_dir))
+
+
+def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.text_reports(as_classified(spark, sf_dir))
+
+
+def stix_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.stix_indicators(as_classified(spark, sf_dir))
+
+
+def stix_bundle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = formats.stix_bundles(as_classified(spark, sf_dir), "2024-01-01T00:00:00.000Z")
+    return bundles.select("source_value", F.expr("size(from_json(bundle, 'objects array<struct<pattern:string>>').objects)").cast("long").alias("n_objects"))
+
+
+def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources after two runs: all orders' customers, then those of open orders."""
+    orders = table(spark, sf_dir, "orders")
+    seen = lambda df: df.select(F.lit("file").alias("kind"), F.col("o_custkey").cast("string").alias("value"))
+    empty = spark.createDataFrame([], store.SOURCES)
+    first = store.merged_sources(empty, seen(orders), F.lit(NOW).cast("timestamp"))
+    second = store.merged_sources(first, seen(orders.filter("o_orderkey % 3 = 0")), F.lit(LATER).cast("timestamp"))
+    return second.select("kind", "value", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+
+
+def persist_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """iocs that a second run adds: what odd customers have and even ones lack."""
+    rows = as_classified(spark, sf_dir)
+    odd = F.col("source_value").cast("long") % 2 == 1
+    return store.new_iocs(store.ioc_rows(rows.filter(~odd)), store.ioc_rows(rows.filter(odd))).drop("id")
+
+
+def persist_run_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every run with its indicators, read back as counts by source."""
+    rows = as_classified(spark, sf_dir).withColumn("kind", F.lit("file"))
+    now = F.lit(NOW).cast("timestamp")
+    runs = store.run_rows(rows.select("kind", F.col("source_value").alias("value")), now, "1.0", store.Options()).withColumnRenamed("id", "run_id")
+    own = rows.select(store.F.xxhash64("kind", "source_value").alias("source_id"), "source_value").distinct()
+    links = store.link_rows(rows, now).join(store.ioc_rows(rows).select(F.col("id").alias("ioc_id"), "is_warning"), "ioc_id")
+    joined = links.join(runs, "run_id").join(own, "source_id")
+    return joined.groupBy("source_value").agg(F.count("*").alias("n_iocs"), F.count_if("is_warning").alias("n_warnings"))
+
+
+def shared_iocs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty indicators with most sources."""
+    counts = base(spark, sf_dir).groupBy("ioc_type", "value").agg(F.countDistinct("source_value").alias("n_sources"))
+    return counts.orderBy(F.desc("n_sources"), "ioc_type", "value").limit(20)
+
+
+def chunked_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.extract_chunked(docs, keys=["doc_id"], types=["emails", "ips", "sha1"], size=1 << 20)
+
+
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = chunks.chunked(docs, size=1000, overlap=100)
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a file stream, each indicator once for its document."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/indicant-stream"
+    where = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = stream.stream_parquet(spark, f"{sf_dir}/documents.parquet", "doc_id bigint, text string")
+    found = stream.extract_stream(source, ["doc_id"], types=["emails", "ips", "sha1"])
+    stream.run_available(found, f"{where}/out", f"{where}/checkpoint")
+    return spark.read.schema("doc_id bigint, ioc_type string, value string").parquet(f"{where}/out")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"extract_{t}": extraction(t) for t in EXTRACTORS}
+    out |= {n: stage(k) for k, n in enumerate(("wl_string_join", "wl_regex_join", "wl_cidr_join", "wl_substring_join"))}
+    own = (
+        extract_all_counts, extract_documents, extract_fanged, extract_wide_counts, extract_pages, hash_validity, domain_validity, defang_values,
+        refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
+        wl_categories, wl_diagnose, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
+        stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
+        stream_extract,
+    )
+    return out | {f.__name__: f for f in own}
