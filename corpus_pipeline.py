@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicant.llm import quality, sentencepiece_codec, toxicity
-from indicant.llm.common import shared_dir, stored, table
+from indicant.llm.common import packed, shared_dir, stored, table
 from indicant.llm.decontaminate import decontaminate
 from indicant.llm.near_dedup import near_duplicates
 from indicant.llm.queries import tokenizer
@@ -19,13 +19,13 @@ from indicant.llm.queries import tokenizer
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity tagger does not reject."""
     tagger = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, tagger, keep=docs.columns).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score_toxicity(packed(docs, ["text"]), tagger, keep=["__doc"]).filter("predicted = 0").select("__doc.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality.score_quality(packed(docs, ["text", *quality.META]), model, keep=["__doc"]).filter("predicted = 1").select("__doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    found = decontaminate(packed(docs, ["text"]), table(spark, sf_dir, "benchmark"), keep=["__doc"])
+    return found.filter(~F.col("contaminated")).select("__doc.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

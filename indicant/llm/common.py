@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -74,3 +75,13 @@ def words(c: Column) -> Column:
     """Array of the contract's words of a text; null and empty texts have none."""
     spaced = F.trim(F.regexp_replace(ascii_lower(F.coalesce(c, F.lit(""))), SEPARATORS, " "))
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+
+
+def with_kept(docs: DataFrame, keep: list[str], ddl: str) -> T.StructType:
+    """Schema of the kept columns of docs followed by those of a DDL string."""
+    return T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + T.StructType.fromDDL(ddl).fields)
+
+
+def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with whole rows in __doc beside the columns an operator reads: extra columns cannot clash with its output."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), *[docs[c] for c in columns])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD_BYTES, prepare
+from .common import WORD_BYTES, prepare, with_kept
 
 #: Bytes of normalised benchmark text that one automaton may hold; a larger benchmark is scanned in several automata.
 AUTOMATON_BYTES = 32 << 20
@@ -119,7 +119,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
                 names=[*keep, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"],
             )
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")).mapInArrow(
-        run, f"{kept}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>"
+        run, with_kept(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, with_kept
 from .toxicity import logistic, training_sample
 
 META = ("lang", "source", "n_chars")
@@ -137,6 +137,5 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5, tex
             scores = model.scores(content, stacked([metadata_view(*m) for m in zip(*meta)], LANGS + SOURCES + SIZES)) if b.num_rows else (np.zeros(0),) * 3
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(s, pa.float64()) for s in scores] + [pa.array((scores[0] >= threshold).astype(np.int32), pa.int32())], names=[*keep, "score", "content_score", "metadata_score", "predicted"])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     chosen = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"), *[docs[c].alias(f"__{c}") for c in META])
-    return chosen.mapInArrow(run, f"{kept}, score double, content_score double, metadata_score double, predicted int")
+    return chosen.mapInArrow(run, with_kept(docs, keep, "score double, content_score double, metadata_score double, predicted int"))

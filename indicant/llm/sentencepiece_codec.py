@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, with_kept
 
 MARK = "▁"
 CACHE_UNITS = 450_000
@@ -260,8 +260,7 @@ def encode_texts(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0,
                     start, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=[*keep, "ids", "n_pieces"])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[docs[c] for c in keep], docs[id_col].alias("__key"), docs[text_col].alias("__text")).mapInArrow(run, f"{kept}, ids binary, n_pieces long")
+    return docs.select(*[docs[c] for c in keep], docs[id_col].alias("__key"), docs[text_col].alias("__text")).mapInArrow(run, with_kept(docs, keep, "ids binary, n_pieces long"))
 
 
 def decode_texts(encoded: DataFrame, model: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -275,8 +274,7 @@ def decode_texts(encoded: DataFrame, model: str, ids_col: str = "ids", keep: lis
             texts = [decoder.decode(i) if i else "" for i in b.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    kept = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*[encoded[c] for c in keep], encoded[ids_col].alias("__ids")).mapInArrow(run, f"{kept}, decoded string")
+    return encoded.select(*[encoded[c] for c in keep], encoded[ids_col].alias("__ids")).mapInArrow(run, with_kept(encoded, keep, "decoded string"))
 
 
 def round_trip(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, prepare
+from .common import WORD_BYTES, prepare, with_kept
 
 #: As WORD_BYTES, but ends of sentences and lines become a line feed.
 SEGMENT_BYTES = bytes(10 if chr(b) in ".!?\n\r" else WORD_BYTES[b] for b in range(256))
@@ -225,5 +225,4 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, threshold: float = 0.3, span
                 names=[*keep, "score", "predicted", "spans"],
             )
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")).mapInArrow(run, f"{kept}, score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>")
+    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")).mapInArrow(run, with_kept(docs, keep, "score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>"))
