@@ -84,15 +84,19 @@ def prepared(iocs: DataFrame) -> DataFrame:
     return both.select("ioc_type", "value", "c.clean", "c.host").distinct()
 
 
+HIT_TYPE = "struct<stage:int,which:int,list_rank:int,warning_list:string,description:string>"
 HIT = ["ioc_type", "value", "stage", "which", "list_rank", "warning_list", "description"]
 
 
+def string_table(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    return entries(lists, "string").select("list_id", F.lower("entry").alias("key")).distinct().join(pairs, "list_id")
+
+
 def string_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact matches, a hash join on the lower-case value or host."""
     keys = F.array(F.struct(F.lit(0).alias("which"), F.lower("clean").alias("key")), F.struct(F.lit(1).alias("which"), F.lower("host").alias("key")))
     probe = values.select("ioc_type", "value", F.explode(keys).alias("k")).select("ioc_type", "value", "k.which", "k.key").filter("key IS NOT NULL")
-    table = entries(lists, "string").select("list_id", F.lower("entry").alias("key")).distinct().join(pairs, "list_id")
-    return probe.join(table, ["ioc_type", "key"]).withColumn("stage", F.lit(0)).select(*HIT)
+    return probe.join(string_table(lists, pairs), ["ioc_type", "key"]).withColumn("stage", F.lit(0)).select(*HIT)
 
 
 def java_regex(pattern: str) -> str:
@@ -117,19 +121,24 @@ def valid_regexes(lists: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def regex_hits(values: DataFrame, patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> DataFrame:
-    """Searches with one literal alternation a list, compiled once."""
-    checks = []
+def regex_hit(patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> Column:
+    """The best match among regular expressions: one literal alternation a list, compiled once; null without one."""
+    checks = [F.lit(None).cast(HIT_TYPE)]
     for m in {m.list_id: m for own in by_type.values() for m in own}.values():
         if m.list_id in patterns:
             types = [t for t, own in by_type.items() if m in own]
             one = "(?iu)" + "|".join(f"(?:{p})" for p in patterns[m.list_id])
-            hit = F.col("ioc_type").isin(types) & (F.col("clean").rlike(one) | F.coalesce(F.col("host").rlike(one), F.lit(False)))
-            checks.append(F.when(hit, F.struct(F.lit(1).alias("stage"), F.lit(0).alias("which"), F.lit(m.rank).alias("list_rank"), F.lit(m.name).alias("warning_list"), F.lit(m.description).alias("description"))))
-    if not checks:
-        return values.limit(0).select("ioc_type", "value", F.lit(1).alias("stage"), F.lit(0).alias("which"), F.lit(0).alias("list_rank"), F.lit("").alias("warning_list"), F.lit("").alias("description"))
-    first = F.array_min(F.array_compact(F.array(*checks)))
-    return values.select("ioc_type", "value", first.alias("h")).filter("h IS NOT NULL").select("ioc_type", "value", "h.*").select(*HIT)
+            found = F.col("ioc_type").isin(types) & (F.col("clean").rlike(one) | F.coalesce(F.col("host").rlike(one), F.lit(False)))
+            checks.append(F.when(found, hit_of(1, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description))))
+    return F.array_min(F.array(*checks))
+
+
+def hit_of(stage: int, which: Column, rank: Column, name: Column, description: Column) -> Column:
+    return F.struct(F.lit(stage).alias("stage"), which.alias("which"), rank.alias("list_rank"), name.alias("warning_list"), description.alias("description"))
+
+
+def regex_hits(values: DataFrame, patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> DataFrame:
+    return values.select("ioc_type", "value", regex_hit(patterns, by_type).alias("h")).filter("h IS NOT NULL").select("ioc_type", "value", "h.*").select(*HIT)
 
 
 def bits(hexed: Column) -> Column:
@@ -160,30 +169,68 @@ def cidr_hits(values: DataFrame, nets: DataFrame, pairs: DataFrame) -> DataFrame
     return found.withColumns({"stage": F.lit(2), "which": F.lit(0)}).select(*HIT)
 
 
-def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Either contains the other, on the value or the host, lower case."""
-    table = entries(lists, "substring").select("list_id", F.lower("entry").alias("e")).distinct().join(pairs, "list_id").withColumnRenamed("ioc_type", "t")
+def substring_table(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    return entries(lists, "substring").select("list_id", F.lower("entry").alias("e")).distinct().join(pairs, "list_id").withColumnRenamed("ioc_type", "t")
+
+
+def holds_either() -> Column:
     low, host = F.lower("clean"), F.lower("host")
     either = F.contains(low, F.col("e")) | F.contains(F.col("e"), low) | F.coalesce(F.contains(host, F.col("e")) | F.contains(F.col("e"), host), F.lit(False))
-    found = values.join(table, (F.col("ioc_type") == F.col("t")) & either)
+    return (F.col("ioc_type") == F.col("t")) & either
+
+
+def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Either contains the other, on the value or the host, lower case."""
+    found = values.join(substring_table(lists, pairs), holds_either())
     return found.withColumns({"stage": F.lit(3), "which": F.lit(0)}).select(*HIT)
 
 
+def key_index(lists: DataFrame, pairs: DataFrame, nets: DataFrame | None) -> DataFrame:
+    """(ioc_type, key, stage, list_rank, ...): the best list of every string and network, keyed for one hash join."""
+    chosen = lambda df, stage, key: df.select("ioc_type", key.alias("key"), F.struct(F.lit(stage).alias("stage"), "list_rank", "warning_list", "description").alias("m"))
+    table = chosen(string_table(lists, pairs), 0, F.concat(F.lit("s:"), F.col("key")))
+    if nets is not None:
+        table = table.unionByName(chosen(nets.join(pairs, "list_id"), 2, F.concat_ws(":", F.lit("c"), "family", F.col("len").cast("string"), "prefix")))
+    return table.groupBy("ioc_type", "key").agg(F.min("m").alias("m"))
+
+
+def probe_keys(sizes: dict[str, list[int]]) -> Column:
+    """(which, key) of a value: itself, its host and, for addresses, its prefixes of the lengths in use."""
+    text = F.array(F.struct(F.lit(0).alias("which"), F.concat(F.lit("s:"), F.lower("clean")).alias("key")), F.struct(F.lit(1).alias("which"), F.concat(F.lit("s:"), F.lower("host")).alias("key")))
+    if not any(sizes.values()):
+        return text
+    cut = lambda b, f, n: F.struct(F.lit(0).alias("which"), F.concat(F.lit(f"c:{f}:{n}:"), F.substr(b, F.lit(1), F.lit(n))).alias("key"))
+    each = lambda h: T.let(bits(h), lambda b: F.when(h.startswith("4"), F.array(*[cut(b, "4", n) for n in sizes["4"]])).when(h.startswith("6"), F.array(*[cut(b, "6", n) for n in sizes["6"]])))
+    none = F.array().cast("array<struct<which:int,key:string>>")
+    return F.concat(text, F.when(F.col("ioc_type").isin("ips", "ipv6"), F.coalesce(T.let(T.address_hex(F.col("clean")), each), none)).otherwise(none))
+
+
 def matches(iocs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(ioc_type, value, warning_list, description, stage) of each distinct value that some list holds."""
+    """(ioc_type, value, warning_list, description, stage) of each distinct value that some list holds.
+
+    One line of operators: regular expressions as a column, substrings as a theta join,
+    strings and networks as one hash join over keys, then the best hit of each value.
+    """
     spark, values, meta = iocs.sparkSession, prepared(iocs), metadata(lists)
-    by_type = relevant(meta)
+    by_type, kinds = relevant(meta), {m.type for m in meta}
     pairs = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own])
-    fitting = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if m.type == "substring" and applicable(m, t)])
-    kinds = {m.type for m in meta}
-    hits = string_hits(values, lists, pairs)
-    if "regex" in kinds:
-        hits = hits.unionByName(regex_hits(values, valid_regexes(lists), by_type))
-    if "cidr" in kinds:
-        hits = hits.unionByName(cidr_hits(values, networks(lists), pairs))
+    regex = regex_hit(valid_regexes(lists) if "regex" in kinds else {}, by_type)
+    rows = values.select("*", regex.alias("rx"))
+    substring = F.lit(None).cast(HIT_TYPE)
     if "substring" in kinds:
-        hits = hits.unionByName(substring_hits(values, lists, fitting))
-    best = hits.groupBy("ioc_type", "value").agg(F.min(F.struct("stage", "which", "list_rank", "warning_list", "description")).alias("b"))
+        fitting = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if m.type == "substring" and applicable(m, t)])
+        rows = rows.join(substring_table(lists, fitting), holds_either(), "left")
+        substring = F.when(F.col("e").isNotNull(), hit_of(3, F.lit(0), F.col("list_rank"), F.col("warning_list"), F.col("description")))
+    rows = rows.select("ioc_type", "value", "clean", "host", "rx", substring.alias("sub"))
+    nets, sizes = None, {}
+    if "cidr" in kinds:
+        nets = networks(lists)
+        used = nets.select("family", "len").distinct().collect()  # at most 33 + 129 prefix lengths
+        sizes = {f: sorted(r.len for r in used if r.family == f) for f in "46"}
+    keyed = rows.select("ioc_type", "value", "rx", "sub", F.explode(probe_keys(sizes)).alias("k")).select("ioc_type", "value", "rx", "sub", "k.which", "k.key")
+    joined = keyed.join(key_index(lists, pairs, nets), ["ioc_type", "key"], "left")
+    equal = F.when(F.col("m").isNotNull(), F.struct("m.stage", "which", "m.list_rank", "m.warning_list", "m.description"))
+    best = joined.groupBy("ioc_type", "value").agg(F.min(F.array_min(F.array("rx", "sub", equal.cast(HIT_TYPE)))).alias("b")).filter("b IS NOT NULL")
     return best.select("ioc_type", "value", "b.warning_list", "b.description", "b.stage")
 
 
@@ -212,15 +259,19 @@ def dropped_emails(iocs: DataFrame, lists: DataFrame) -> DataFrame:
 def classify(iocs: DataFrame, lists: DataFrame) -> DataFrame:
     """iocs with is_warning, warning_list and description; e-mails of listed domains are dropped.
 
-    Values and the domains of e-mails are checked together, in one pass over the lists.
+    Each distinct value is checked as itself and, for an e-mail, by its domain; all checks
+    go through the lists together.
     """
-    mails = mail_domains(iocs)
-    probe = iocs.select("ioc_type", "value").unionByName(mails.select(F.lit("domains").alias("ioc_type"), F.col("domain").alias("value")))
-    found = matches(probe, lists).select("ioc_type", "value", "warning_list", "description")
-    listed = found.filter("ioc_type = 'domains'").select(F.col("value").alias("domain"))
-    dropped = mails.join(listed, "domain", "left_semi").select(F.lit("emails").alias("ioc_type"), "value")
-    kept = iocs.join(dropped, ["ioc_type", "value"], "left_anti")
-    return kept.join(found, ["ioc_type", "value"], "left").withColumn("is_warning", F.col("warning_list").isNotNull())
+    values = iocs.select("ioc_type", "value").filter("value IS NOT NULL").distinct()
+    clean_mail = (F.col("ioc_type") == "emails") & F.contains(T.refang(F.col("value")), F.lit("@"))
+    own = F.struct(F.col("ioc_type").alias("t"), F.col("value").alias("v"), F.lit(False).alias("mail"))
+    domain = F.when(clean_mail & (email_domain() != ""), F.struct(F.lit("domains").alias("t"), email_domain().alias("v"), F.lit(True).alias("mail")))
+    checks = values.select("ioc_type", "value", F.explode(F.array_compact(F.array(own, domain))).alias("c")).select("ioc_type", "value", "c.t", "c.v", "c.mail")
+    found = matches(checks.select(F.col("t").alias("ioc_type"), F.col("v").alias("value")), lists)
+    hits = checks.join(found.select(F.col("ioc_type").alias("t"), F.col("value").alias("v"), "warning_list", "description"), ["t", "v"])
+    verdict = hits.groupBy("ioc_type", "value").agg(F.max("mail").alias("__drop"), F.min(F.when(~F.col("mail"), F.struct("warning_list", "description"))).alias("__w"))
+    out = iocs.join(verdict, ["ioc_type", "value"], "left").filter("NOT coalesce(__drop, false)")
+    return out.select(*[c for c in iocs.columns], F.col("__w.warning_list").alias("warning_list"), F.col("__w.description").alias("description"), F.col("__w").isNotNull().alias("is_warning"))
 
 
 def diagnose(value: str, ioc_type: str, lists: DataFrame, expected: list[str] | None = None) -> DataFrame:

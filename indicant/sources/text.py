@@ -20,7 +20,7 @@ def read_text(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_
     """(source_kind, source_value, text) of whole files; malformed bytes are left out, larger files refused."""
     files = spark.read.format("binaryFile").load(paths)
     size = F.when(F.col("length") > max_bytes, F.raise_error(F.concat(F.lit("file too large: "), F.col("path")))).otherwise(F.col("content"))
-    text = F.replace(F.decode(size, "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(size.cast("string")), F.lit("�"), F.lit(""))
     return files.select(F.lit("file").alias("source_kind"), F.col("path").alias("source_value"), text.alias("text"))
 
 
@@ -100,14 +100,14 @@ def table_text(tables: Column) -> Column:
 
 
 def read_pdf(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str]) -> DataFrame:
-    """(source_kind, source_value, text) of PDF files with a parser of the caller's choice."""
+    """(source_kind, source_value, text) of the PDF files among paths, with a parser of the caller's choice."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             texts = [parse(c.as_py()) for c in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["source_value", "text"])
 
-    files = spark.read.format("binaryFile").load(paths).filter(F.col("length") <= MAX_FILE_BYTES).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths).filter((F.col("length") <= MAX_FILE_BYTES) & (type_by_extension(F.col("path")) == "pdf")).select("path", "content")
     return files.mapInArrow(run, "source_value string, text string").select(F.lit("file").alias("source_kind"), "source_value", "text")
 
 
@@ -118,5 +118,5 @@ def read_documents(spark: SparkSession, paths: str | list[str], pdf: Callable[[b
     plain = files.withColumn("kind", kind)
     parts = [plain.filter("kind = 'text'").drop("kind"), plain.filter("kind = 'html'").drop("kind").withColumn("text", html_to_text(F.col("text")))]
     if pdf is not None:
-        parts.append(read_pdf(spark, paths, pdf).filter(type_by_extension(F.col("source_value")) == "pdf"))
+        parts.append(read_pdf(spark, paths, pdf))
     return reduce(DataFrame.unionByName, parts)
