@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_pool:
     columns = [text_col, *META]
     y, views, names = [], ([], []), []
     sample = training_sample(docs, labels, "quality", max_rows, id_col, columns)
-    for r in sorted(sample.toLocalIterator(), key=lambda r: r[0]):
+    for r in sample.toLocalIterator():
         names.append(r[0])
         views[0].append(content_view(r[1]))
         views[1].append(metadata_view(*r[2:5]))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import prepare, with_kept
 
 MARK = "▁"
-CACHE_UNITS = 450_000
+CACHE_UNITS = 350_000
 #: Weights are multiplied by this for each character, which leaves the distribution and keeps sums in range.
 PER_CHAR = 300.0
 #: Cumulated probabilities end just below 1, so that node + probability stays under the next node.

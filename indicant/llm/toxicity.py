@@ -11,7 +11,6 @@ or identifiers.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +67,11 @@ class Lattice:
         return fwd, bwd
 
 
-def fit_crf(sentences: list[list[int]], labels: list[list[int]], n_words: int, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """(log emission odds by word, log transitions): full-batch Adagrad on the conditional likelihood, L2 on emissions."""
-    lengths = np.array([len(s) for s in sentences], dtype=np.int64)
-    x = np.concatenate([np.array(s, dtype=np.int64) for s in sentences])
-    y = np.concatenate([np.array(s, dtype=np.int64) for s in labels])
+def fit_crf(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, n_words: int, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """(log emission odds by word, log transitions) from words x and labels y of sentences of the given lengths.
+
+    Full-batch Adagrad on the conditional likelihood, L2 on emissions.
+    """
     lattice = Lattice(lengths)
     inner = np.concatenate([at for at in lattice.at[1:]]) if lattice.steps > 1 else np.zeros(0, np.int64)
     theta, trans = np.full(n_words, -2.0), np.zeros((2, 2))
@@ -116,10 +115,14 @@ class Tagger:
         lengths = np.array([len(s) for s in flat], dtype=np.int64)
         sizes = [sum(map(len, t)) for t in texts]
         get, unknown = self.emission.get, self.unknown
-        e = np.exp(np.fromiter((get(w, unknown) for s in flat for w in s), dtype=np.float64, count=sum(sizes)))
-        if not len(e):
-            return [np.zeros(0) for _ in texts]
-        fwd, bwd = Lattice(lengths[lengths > 0]).messages(e, np.exp(self.trans))
+        e = np.fromiter((get(w, unknown) for s in flat for w in s), dtype=np.float64, count=sum(sizes))
+        return self.by_text(e, lengths, sizes)
+
+    def by_text(self, emissions: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        """Marginals from emissions in a row, segment lengths and words by text."""
+        if not len(emissions):
+            return [np.zeros(0) for _ in sizes]
+        fwd, bwd = Lattice(lengths[lengths > 0]).messages(np.exp(emissions), np.exp(self.trans))
         odds = fwd * bwd
         return np.split(odds / (1 + odds), np.cumsum(sizes)[:-1])
 
@@ -137,38 +140,51 @@ class Tagger:
 
 
 def fit(rows, min_docs: int = 4, min_lift: float = 2.5, max_tokens: int = 400_000) -> Tagger:
-    """Fit on (text, toxic) rows of the training sample."""
-    docs = [(segments(text), int(toxic)) for text, toxic in rows if toxic is not None]
-    n1 = sum(t for _, t in docs)
-    n0 = len(docs) - n1
-    if not n1 or not n0:  # one class or nothing to learn from: the base rate for every text
-        rate = (n1 + 0.5) / (len(docs) + 1.0)
+    """Fit on (text, toxic) rows of the training sample, which may be an iterator: texts are kept as word numbers."""
+    number: dict[bytes, int] = {}
+    docs: list[tuple[np.ndarray, np.ndarray]] = []  # word numbers and segment lengths
+    toxic = []
+    for text, y in rows:
+        if y is not None:
+            segs = [s for s in segments(text) if s]
+            docs.append((np.array([number.setdefault(w, len(number)) for s in segs for w in s], np.int32), np.array([len(s) for s in segs], np.int32)))
+            toxic.append(int(y))
+    y = np.array(toxic, bool)
+    if not y.any() or y.all():  # one class or nothing to learn from: the base rate for every text
+        rate = (y.sum() + 0.5) / (len(docs) + 1.0)
         return Tagger({}, -20.0, np.zeros((2, 2)), np.array([math.log(rate / (1 - rate)), 0, 0, 0]))
-    df = (Counter(), Counter())
-    for segs, toxic in docs:
-        df[toxic].update({w for s in segs for w in s})
-    rate = n1 / len(docs)
-    lexicon = set()
-    for w, k in df[1].items():
-        n = k + df[0][w]
-        if k >= min_docs and k / n >= min_lift * rate and (k - n * rate) / math.sqrt(n * rate * (1 - rate)) > 5:
-            lexicon.add(w)
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(lexicon | {w for w, n in (df[0] + df[1]).items() if n >= 20}))}
-    sentences, labels, used = [], [], Counter()
-    for segs, toxic in docs:
-        for s in segs:
-            marked = any(w in lexicon for w in s)
-            if s and (marked or used[toxic] + len(s) <= max_tokens // 2):
-                used[toxic] += len(s)
-                sentences.append([vocabulary.get(w, 0) for w in s])
-                labels.append([int(toxic and w in lexicon) for w in s])
-    theta, trans = fit_crf(sentences, labels, len(vocabulary) + 1)
-    emission = {w: float(theta[i]) for w, i in vocabulary.items() if abs(theta[i] - theta[0]) > 1e-3}
+    bad, all_ = np.zeros(len(number)), np.zeros(len(number))
+    for (w, _), t in zip(docs, y):
+        once = np.unique(w)
+        all_[once] += 1
+        bad[once] += t
+    rate = y.mean()
+    lift = (bad - all_ * rate) / np.sqrt(np.maximum(all_, 1) * rate * (1 - rate))
+    lexicon = (bad >= min_docs) & (bad >= min_lift * rate * all_) & (lift > 5)
+    known = lexicon | (all_ >= 20)
+    column = np.where(known, np.cumsum(known), 0)  # 0: a word too rare to have a weight
+    x, marks, lengths, used = [], [], [], [0, 0]
+    for (w, sizes), t in zip(docs, toxic):
+        for s in np.split(w, np.cumsum(sizes)[:-1]) if len(w) else []:
+            toxic_words = lexicon[s]
+            if toxic_words.any() or used[t] + len(s) <= max_tokens // 2:
+                used[t] += len(s)
+                x.append(column[s])
+                marks.append(toxic_words & bool(t))
+                lengths.append(len(s))
+    if x:
+        theta, trans = fit_crf(np.concatenate(x), np.concatenate(marks).astype(np.int64), np.array(lengths, np.int64), int(known.sum()) + 1)
+    else:
+        theta, trans = np.array([-20.0]), np.zeros((2, 2))
+    weight = theta[column]
+    emission = {w: float(weight[k]) for w, k in number.items() if known[k] and abs(weight[k] - theta[0]) > 1e-3}
     tagger = Tagger(emission, float(theta[0]), trans, np.zeros(4))
-    marginals = []
+    seen = []
     for i in range(0, len(docs), 500):
-        marginals += tagger.marginals([d[0] for d in docs[i : i + 500]])
-    tagger.layer = logistic(np.array([tagger.summary(p) for p in marginals]), np.array([t for _, t in docs], float), l2=0.1)
+        part = docs[i : i + 500]
+        marginals = tagger.by_text(weight[np.concatenate([w for w, _ in part])], np.concatenate([n for _, n in part]).astype(np.int64), [len(w) for w, _ in part])
+        seen += [tagger.summary(p) for p in marginals]
+    tagger.layer = logistic(np.array(seen), y.astype(float), l2=0.1)
     return tagger
 
 
@@ -183,13 +199,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: i
     if n > max_rows:
         usable = usable.filter(F.pmod(F.xxhash64("__lid"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     one = usable.groupBy("__lid").agg(F.max("__y").alias("__y"))
-    return docs.select(docs[id_col].alias("__lid"), *[docs[c].alias(f"__{c}") for c in columns]).join(F.broadcast(one), "__lid").select("__lid", *[f"__{c}" for c in columns], "__y")
+    found = docs.select(docs[id_col].alias("__lid"), *[docs[c].alias(f"__{c}") for c in columns]).join(F.broadcast(one), "__lid")
+    # The same order for the same rows, however they are spread over files.
+    return found.select("__lid", *[f"__{c}" for c in columns], "__y").repartition(8, "__lid").sortWithinPartitions("__lid", *[f"__{c}" for c in columns])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """Fit on a bounded sample (max_rows, a parameter) of labelled rows that are not held out."""
     sample = training_sample(docs, labels, "toxic", max_rows, id_col, [text_col])
-    return fit((r[1], r[2]) for r in sorted(sample.toLocalIterator(), key=lambda r: r[0]))
+    return fit((r[1], r[2]) for r in sample.toLocalIterator())
 
 
 def score_toxicity(docs: DataFrame, tagger: Tagger, threshold: float = 0.3, span_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
