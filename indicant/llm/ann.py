@@ -20,7 +20,12 @@ SAMPLE = 20_000
 MAX_LISTS = 4096
 CODES = 256
 CELL_ROWS, QUERY_ROWS = 20_000, 2_000
-RERANK = 100
+RERANK = 64
+#: Share of a sample's own nearest neighbours that must lie in probed cells; it sets the number of probes.
+TARGET = 0.985
+LEAST_PROBES = 32
+#: Numbers of a distance matrix held at once.
+MATRIX = 2_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -45,16 +50,26 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Fitted centroids and codebooks; vectors are compared by direction, so they are scaled to length 1."""
 
-    def __init__(self, sample: np.ndarray, total: int, probes: int):
+    def __init__(self, sample: np.ndarray, total: int, probes: int | None):
         dim = sample.shape[1]
+        sample = np.unique(sample, axis=0)  # a vector with many copies must not take the centroids, nor pass for easy queries
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.centroids = kmeans(unit, max(1, min(MAX_LISTS, int(math.sqrt(total)), len(unit))), 8, 1)
-        self.probes = min(probes, len(self.centroids))
+        self.centroids = kmeans(unit, max(1, min(MAX_LISTS, int(math.sqrt(total) / 2), len(unit))), 8, 1)
+        self.probes = min(probes or max(LEAST_PROBES, self.enough(unit)), len(self.centroids))
         parts = max(d for d in range(1, min(16, dim) + 1) if dim % d == 0)
         self.width = dim // parts
         rest = unit - self.centroids[nearest(unit, self.centroids)]
         self.books = [kmeans(rest[:, p * self.width : (p + 1) * self.width], CODES, 6, 2 + p) for p in range(parts)]
 
+    def enough(self, unit: np.ndarray, queries: int = 256, k: int = 5) -> int:
+        """Probes that reach TARGET of the sample's own neighbours, which are farther off than those among all rows."""
+        self.probes = len(self.centroids)
+        q = unit[np.random.default_rng(3).choice(len(unit), min(queries, len(unit)), replace=False)]
+        near = np.argsort(-(q @ unit.T), axis=1)[:, 1 : k + 1]
+        place = np.argsort(self.probed(q), axis=1)  # the place of every cell in a query's order
+        ranks = np.take_along_axis(place, nearest(unit, self.centroids)[near], axis=1)
+        return int(np.quantile(ranks, TARGET, method="higher")) + 1 if ranks.size else self.probes
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         cell = nearest(unit, self.centroids)
@@ -66,41 +81,42 @@ class Index:
         far = ((self.centroids**2).sum(axis=1) / 2)[None, :] - unit @ self.centroids.T
         return np.argsort(far, axis=1, kind="stable")[:, : self.probes]
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of a query's parts with every codeword: the asymmetric tables."""
-        unit = q / np.linalg.norm(q)
-        out = np.zeros((len(self.books), CODES))
-        for p, b in enumerate(self.books):
-            out[p, : len(b)] = b @ unit[p * self.width : (p + 1) * self.width]
-        return out
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Inner products of queries' parts with every codeword: the asymmetric tables, one a part."""
+        unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        return [unit[:, p * self.width : (p + 1) * self.width] @ b.T for p, b in enumerate(self.books)]
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact cosines in double precision, summed from the first component to the last."""
-    last = lambda a: np.cumsum(a, axis=-1)[..., -1]
-    return last(x * q) / (np.sqrt(last(x * x)) * np.sqrt(last(q * q)))
+def in_order(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, added from the first component to the last."""
+    return np.cumsum(a, axis=-1)[..., -1]
 
 
 def search(index: Index, k: int, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, x: np.ndarray):
-    """(query id, id, cosine) of each query's k nearest within one block of a cell."""
+    """(query id, id, cosine) of each query's k nearest within one block of a cell; cosines are exact."""
     order = np.argsort(ids, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order]
-    parts = np.arange(codes.shape[1])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for one, v in zip(qid, q):
-        near = index.tables(v)[parts[None, :], codes].sum(axis=1)
-        near[ids == one] = -np.inf
-        if len(ids) > RERANK:  # ties in code go to smaller ids
-            edge = np.partition(near, len(near) - RERANK)[len(near) - RERANK]
-            above, level = np.flatnonzero(near > edge), np.flatnonzero(near == edge)
-            some = np.concatenate([above, level[: RERANK - len(above)]])
-        else:
-            some = np.arange(len(ids))
-        some = some[ids[some] != one]
-        score = cosines(v, x[some])
-        best = np.lexsort((ids[some], -score))[:k]
-        out.append((np.full(len(best), one), ids[some][best], score[best]))
-    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
+    length, out = np.sqrt(in_order(x * x)), []
+    step = max(1, MATRIX // len(ids))
+    for i in range(0, len(qid), step):
+        one, v = qid[i : i + step], q[i : i + step]
+        near = np.zeros((len(one), len(ids)))
+        for p, t in enumerate(index.tables(v)):
+            near += t[:, codes[:, p]]
+        near[one[:, None] == ids[None, :]] = -np.inf
+        some = np.argsort(-near, axis=1, kind="stable")[:, :RERANK]  # ties in code go to smaller ids
+        score = np.empty(some.shape)
+        for j in range(0, len(one), 64):
+            part = slice(j, j + 64)
+            own = v[part][:, None, :]
+            score[part] = in_order(x[some[part]] * own) / (length[some[part]] * np.sqrt(in_order(own * own)))
+        found = ids[some]
+        score[found == one[:, None]] = -np.inf
+        best = np.lexsort((found, -score), axis=1)[:, :k]
+        found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
+        good = np.isfinite(score)
+        out.append((np.broadcast_to(one[:, None], found.shape)[good], found[good], score[good]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -111,9 +127,12 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & v.isNotNull() & good)
 
 
-def nearest_neighbours(df: DataFrame, k: int = 5, every: int = 50, probes: int = 32, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(df: DataFrame, k: int = 5, every: int = 50, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest of every row whose id is divisible by ``every``.
 
+    ``probes`` cells are searched for each query; by default as many as reach TARGET of the
+    neighbours within the fitting sample.
+
     Vectors that are null, zero or hold null or non-finite components take no part, nor do
     those of another length than most.  Ties go to the smaller id; rows with the query's own
     id are never its neighbours; repeated rows are candidates each.  Other columns are
