@@ -50,7 +50,7 @@ def hosts_of(c: Column, found_domains: Column) -> Column:
     """Hosts among domains as extract gives them, and UNC machine names."""
     parts = lambda d: F.forall(F.split(d, r"\."), lambda p: p != "")
     named = F.filter(found_domains, lambda d: ~T.any_of(F.lower(d), lists.HOST_STOPS) & parts(d))
-    machines = F.filter(found(c, "unc_hosts"), lambda m: (F.length(m) > 3) & ~F.lower(m).isin(lists.UNC_STOPS))
+    machines = F.filter(found(c, "unc_hosts"), lambda m: (F.length(m) > 3) & ~T.one_of(F.lower(m), lists.UNC_STOPS))
     return F.array_union(named, machines)
 
 
@@ -88,7 +88,7 @@ def bitcoin(c: Column, defang: bool = True) -> Column:
 
 
 def filenames(c: Column, defang: bool = True) -> Column:
-    return F.filter(found(c, "filenames"), lambda v: (F.length(v) > 4) & ~F.lower(v).isin(lists.SYSTEM_FILES))
+    return F.filter(found(c, "filenames"), lambda v: (F.length(v) > 4) & ~T.one_of(F.lower(v), lists.SYSTEM_FILES))
 
 
 def filepaths(c: Column, defang: bool = True) -> Column:

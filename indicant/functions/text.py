@@ -13,9 +13,19 @@ from . import lists
 DOT, BRACKETED = ".", "[.]"
 
 
+def quoted(words: list[str]) -> str:
+    """Literal alternation of words: one expression, where a list of literals would be one for each."""
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
 def any_of(c: Column, needles: list[str]) -> Column:
     """True where the value contains one of the needles."""
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
+    return c.rlike(quoted(needles)) if needles else F.lit(False)
+
+
+def one_of(c: Column, words: list[str]) -> Column:
+    """True where the value is one of the words."""
+    return c.rlike(rf"\A(?:{quoted(words)})\z")
 
 
 def replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -75,9 +85,9 @@ def is_valid_domain(c: Column) -> Column:
     low = F.lower(c)
     labels = F.split(low, r"\.")
     tld = F.substring_index(low, ".", -1)
-    real = tld.isin(lists.TLDS) & ~tld.isin(lists.FILE_EXTENSIONS)
-    code = F.exists(labels, lambda x: x.isin(lists.CODE_WORDS))
-    known = low.isin(lists.LEGITIMATE_DOMAINS) | low.isin(lists.LEGITIMATE_HOSTS)
+    real = one_of(tld, lists.TLDS) & ~one_of(tld, lists.FILE_EXTENSIONS)
+    code = F.exists(labels, lambda x: one_of(x, lists.CODE_WORDS))
+    known = one_of(low, lists.LEGITIMATE_DOMAINS + lists.LEGITIMATE_HOSTS)
     endings = "|".join(d.replace(".", r"\.") for d in sorted(lists.LEGITIMATE_DOMAINS, key=len, reverse=True))
     prefix = F.regexp_extract(low, rf"^(.*?)\.(?:{endings})$", 1)
     sized = (F.length(c) <= 253) & F.forall(labels, lambda x: F.length(x) <= 63)
