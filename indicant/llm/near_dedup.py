@@ -11,7 +11,10 @@
    n x n pairs.
 3. Candidates are confirmed on full sets in two rounds: first each document's likeliest
    partners, then all candidates that still join different components.
-4. Components spread by smallest id with pointer jumping, in tables of the shared folder.
+4. Larger regions that share rows make clusters.  Clusters that are not one component by
+   then are compared in full on their sets, block against block, apart from pairs of one
+   component; a task of two blocks returns only links that join what was apart.
+5. Components spread by smallest id with pointer jumping, in tables of the shared folder.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SHINGLE = 5
 SIGNATURE = 128
 TREES, BASE_DEPTH, DEPTH = 24, 2, 8
 REGION, HUBS, CHUNK = 48, 4, 4096
+#: Rows and shingles of a block, by expectation; columns of a matrix product.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Estimated similarity from which a candidate is confirmed: more than four standard errors of the sketch below 0.75.
 LIKELY = 0.55
 SALTS = 8
@@ -185,12 +190,12 @@ class Regions:
 
 
 def candidates(forest: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) with their estimated similarity."""
+    """Distinct pairs (a < b): candidates with their estimated similarity s, and stars (large) around the smallest id of each region over REGION, where s may be -1."""
     dealt = forest.repartition("tree", "key").sortWithinPartitions("tree", "key", "row", "id")
     wide = 2 * (DEPTH - BASE_DEPTH)
 
-    def pairs(key, ids, rows, hubs):
-        """Candidates of whole regions, or of one part of a large region and the hubs of its earlier parts."""
+    def pairs(key, ids, rows, hubs, centre):
+        """Candidates of whole regions, or of one part of a large region and the hubs and the smallest id of its earlier parts."""
         walk = Regions(np.ascontiguousarray(rows[:, :wide]).view(np.uint16), np.ascontiguousarray(rows[:, wide:]).view(np.uint64))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(cut, len(key)))
@@ -213,10 +218,19 @@ def candidates(forest: DataFrame) -> DataFrame:
         keep = low != high
         _, once = np.unique(low.astype(np.int64) * np.int64(0x2545F4914F6CDD1D) + high.astype(np.int64), return_index=True)  # other depths find the same pairs
         keep = once[keep[once]]
-        return pa.RecordBatch.from_arrays([pa.array(low[keep].astype(np.int64)), pa.array(high[keep].astype(np.int64)), pa.array(s[keep].astype(np.float64))], names=["a", "b", "s"]), own
+        stars = [(low[keep].astype(np.int64), high[keep].astype(np.int64))]
+        for c, n in zip(cut, sizes):
+            if n > REGION or c == 0 and centre is not None:
+                part = ids[c : c + n] if c or centre is None else np.append(ids[:n], centre)
+                least = part.min()
+                others = part[part != least]
+                stars.append((np.full(len(others), least), others))
+        a, b = (np.concatenate([x[k] for x in stars]) for k in range(2))
+        s = np.concatenate([s[keep].astype(np.float64), np.full(len(a) - len(keep), -1.0)])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.arange(len(a)) >= len(keep))], names=["a", "b", "s", "large"]), own
 
     def run(batches):
-        held, hubs = None, []
+        held, hubs, centre = None, [], None
         for b in batches:
             tree = b.column(0).to_numpy().astype(np.int64)
             new = np.stack([tree, b.column(1).to_numpy()], axis=1), b.column(2).to_numpy(), fixed(b.column(3), wide + SIGNATURE // 4)
@@ -227,18 +241,19 @@ def candidates(forest: DataFrame) -> DataFrame:
                 whole = len(change) > 0  # the part ends where a region does, if one ends in it
                 n = int(change[-1]) + 1 if whole else CHUNK
                 code = np.cumsum(np.concatenate([[0], (key[1:n] != key[: n - 1]).any(axis=1)]))
-                out, own = pairs(code, held[1][:n], held[2][:n], hubs)
+                out, own = pairs(code, held[1][:n], held[2][:n], hubs, centre)
                 hubs = [] if whole else (hubs + own)[: 4 * HUBS]
+                centre = None if whole else min(held[1][:n].min(), held[1][0] if centre is None else centre)
                 held = tuple(x[n:] for x in held)
                 if out.num_rows:
                     yield out
         if held is not None and len(held[1]):
             code = np.cumsum(np.concatenate([[0], (held[0][1:] != held[0][:-1]).any(axis=1)]))
-            out, _ = pairs(code, held[1], held[2], hubs)
+            out, _ = pairs(code, held[1], held[2], hubs, centre)
             if out.num_rows:
                 yield out
 
-    return dealt.mapInArrow(run, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
+    return dealt.mapInArrow(run, "a long, b long, s double, large boolean").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("large").alias("large"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,6 +277,108 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y, or with each other where y is None (upper triangle).
+
+    Elements of many sets are counted by matrix products, the others pair by pair.
+    """
+    sets, n = x + (y or []), len(x)
+    first, width = (n, len(y)) if y is not None else (0, n)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    much = max(16, len(sets) // 32)
+    out = np.zeros(n * width, np.int64)
+    column = np.cumsum(often >= much) - 1
+    dense = np.flatnonzero(often[code] >= much)
+    dense = dense[np.argsort(column[code[dense]], kind="stable")]
+    at = column[code[dense]]
+    columns = int((often >= much).sum())
+    for c in range(0, columns, COLUMNS):
+        part = slice(*np.searchsorted(at, [c, c + COLUMNS]))
+        m = np.zeros((len(sets), min(COLUMNS, columns - c)), np.float32)
+        m[owner[dense[part]], at[part] - c] = 1
+        out += (m[:n] @ m[first:].T).astype(np.int64).ravel()
+    rare = np.flatnonzero((often[code] > 1) & (often[code] < much))
+    rare = rare[np.argsort(code[rare], kind="stable")]
+    value, row = code[rare], owner[rare]
+    for d in range(1, much - 1):
+        same = value[d:] == value[:-d]
+        if not same.any():
+            break
+        i, j = row[:-d][same], row[d:][same]
+        across = (i < n) & (j >= first)
+        out += np.bincount(i[across] * width + j[across] - first, minlength=n * width)
+    return out.reshape(n, width)
+
+
+def joins(x: tuple[list, list, list], y: tuple[list, list, list] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between (ids, labels, sets) x and y, or within x where y is None: as many as join all labels that links join."""
+    right = y or x
+    n, m = (np.array([len(s) for s in side[2]], np.int64) for side in (x, right))
+    both = common(x[2], y and y[2])
+    ok = 100 * both >= percent * (n[:, None] + m[None, :] - both)
+    ok &= np.array(x[1])[:, None] != np.array(right[1])[None, :]
+    root = {}
+
+    def find(k):
+        while k in root:
+            k = root[k]
+        return k
+
+    out = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(ok, 1) if y is None else ok))):
+        a, b = find(x[1][i]), find(right[1][j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((min(x[0][i], right[0][j]), max(x[0][i], right[0][j])))
+    return out
+
+
+def cluster_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between rows (cluster, id, n, label) of one cluster and different labels, as many as join all labels that links join.
+
+    Rows of like sizes, and of one label if it has many, are dealt to blocks by a hash; each two blocks of a cluster whose sizes
+    allow a link and that are not of one label are a task's work.
+    """
+    apart = rows.groupBy("cluster").agg((F.min("label") < F.max("label")).alias("apart")).filter("apart").select("cluster")
+    rows = rows.join(apart, "cluster", "left_semi")
+    heavy = rows.groupBy("cluster", "label").count().filter(F.col("count") >= BLOCK_ROWS).select("cluster", "label", F.lit(True).alias("heavy"))
+    group = F.xxhash64("cluster", F.when(F.col("heavy"), F.col("label")), F.floor(7 * F.log("n")))
+    rows = rows.join(heavy, ["cluster", "label"], "left").select("cluster", "id", "n", "label", group.alias("group"))
+    parts = rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    rows = rows.join(parts, "group").withColumn("block", F.xxhash64("group", F.pmod(F.xxhash64("id"), "parts"))).drop("group", "parts")
+    blocks = rows.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    sizes = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+    labels = F.least("x.low", "y.low") < F.greatest("x.high", "y.high")
+    two = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & sizes & labels)
+    work = two.select(F.col("x.cluster").alias("cluster"), F.xxhash64("x.cluster", "x.block", "y.block").alias("task"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+    spread = rows.join(work, ["cluster", "block"]).select("id", "task", "block", "label").join(sets, "id")
+    dealt = spread.select("task", "block", "id", "label", "set").repartition("task").sortWithinPartitions("task", "block")
+
+    def run(batches):
+        def links(held):
+            sides = list(held.values())
+            found = joins(sides[0], sides[1] if len(sides) > 1 else None, percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        task, held = None, {}
+        for b in batches:
+            for t, block, i, label, s in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4)):
+                if t != task and held:
+                    yield links(held)
+                    held = {}
+                task = t
+                ids, labels, own = held.setdefault(block, ([], [], []))
+                ids.append(i)
+                labels.append(label)
+                own.append(np.frombuffer(s.as_py(), np.uint64))
+        if held:
+            yield links(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, where: str, name: str) -> DataFrame:
     """(node, label): the smallest node reachable over the edges (a, b), for every node that has one.
 
@@ -294,10 +411,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     where = shared_dir(spark)
     prints = stored(fingerprints(docs, id_col, text_col), where, "prints")
     known = prints.filter("n > 0 AND id IS NOT NULL")
-    classes = stored(known.groupBy("digest").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.count("*").alias("copies")), where, "classes")
-    pairs = stored(candidates(orders(classes)), where, "pairs")
+    classes = stored(known.groupBy("digest").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies")), where, "classes")
+    near = stored(candidates(orders(classes)), where, "pairs")
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct().hint("merge")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("__node")).distinct().hint("merge")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(nodes, F.col("id") == F.col("__node"), "left_semi")
 
     def sets_of(batches):
@@ -305,6 +422,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "set"])
 
     sets = stored(texts.mapInArrow(sets_of, "id long, set binary"), where, "sets")
+    pairs = near.filter("s >= 0")
     likely = pairs.groupBy("b").agg(F.min("a").alias("x"), F.max_by("a", "s").alias("y"))
     first = likely.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
     one = stored(confirm(first, sets, percent), where, "links-1")
@@ -312,7 +430,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     label = {c: found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"}
     apart = pairs.join(label["a"], "a", "left").join(label["b"], "b", "left").withColumns({f"l{c}": F.coalesce(f"l{c}", c) for c in "ab"}).filter("la <> lb")
     two = stored(confirm(apart, sets, percent), where, "links-2")
-    final = components(one.union(two), where, "all")
+    final = components(one.union(two), where, "candidates")
+    centres = stored(near.filter("large").groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("centres")), where, "centres")
+    met = centres.select("centres").distinct().select(F.array_min("centres").alias("a"), F.explode("centres").alias("b")).filter("a < b")
+    merged = components(met, where, "clusters").withColumnsRenamed({"node": "centre", "label": "cluster"})
+    held = centres.select("id", F.array_min("centres").alias("centre")).union(near.filter("large").select(F.col("a").alias("id"), F.col("a").alias("centre")).distinct())
+    clusters = held.join(merged, "centre", "left").select("id", F.coalesce("cluster", "centre").alias("cluster")).distinct()
+    named = clusters.join(final.withColumnRenamed("node", "id"), "id", "left").join(classes.select("id", "n"), "id")
+    rows = stored(named.select("cluster", "id", "n", F.coalesce("label", "id").alias("label")), where, "rows")
+    three = stored(cluster_links(rows, sets, percent), where, "links-3")
+    if three.limit(1).count():
+        final = components(one.union(two).union(three), where, "all")
 
     moved = classes.join(final, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("label", "id").alias("component"), (F.col("label").isNotNull() | (F.col("copies") > 1)).alias("linked")).filter("linked").drop("linked")
     salted = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"digest": "d", "salt": "s"})

@@ -72,6 +72,48 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def template(n=1000, pairs=100):
+    """Fillings of one template: cubic polynomials over GF(11) give words to replace, so two of them share three at most and resemble each
+    other by 0.69 to 0.747; then partners of some of them at 0.767."""
+    base = [f"w{k}" for k in range(389)]
+    docs, planted = [], []
+    for d in range(n):
+        w = [*base, f"end{d}"]
+        for x in range(7):
+            w[5 * (11 * x + (d + d // 11 * x + d // 121 * x**2 + d // 1331 * x**3) % 11) + 4] = f"v{d}x{x}"
+        docs.append(w)
+    for d in range(0, n, n // pairs):
+        w = docs[d][:-1] + [f"end{len(docs)}"]
+        for k in random.Random(d).sample([k for k in range(4, 385, 5) if w[k] == base[k]], 10):
+            w[k] = f"u{d}k{k}"
+        planted.append((d, len(docs)))
+        docs.append(w)
+    return [(k, " ".join(w)) for k, w in enumerate(docs)], planted
+
+
+def test_links_in_a_large_region_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TREES", 2)  # no other trees make up for a link missed in a region
+    docs, planted = template()
+    sets = [shingle_set(t) for _, t in docs]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.75 < like(a, b) < 0.8 for a, b in planted) and max(like(a, b) for a in range(0, 1000, 97) for b in range(1000) if a != b) < 0.75
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    label = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()}
+    found = [(a, b) for a, b in planted if label[b] == a]
+    sig = [near_dedup.signature(near_dedup.shingles(t)) for _, t in docs]
+    shared = [(a, b) for a, b in planted if any((sig[a][t : t + 2] == sig[b][t : t + 2]).all() for t in (0, 64))]
+    assert len(shared) > 50 and set(shared) <= set(found)
+    assert label == {k: k for k, _ in docs} | {b: a for a, b in found}
+
+
+def test_intersections_of_blocks():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(rng.choice([50, 3000]), 60).astype(np.uint64)) for _ in range(90)]
+    exact = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert np.array_equal(near_dedup.common(sets[:40], sets[40:]), exact[:40, 40:])
+    assert np.array_equal(np.triu(near_dedup.common(sets, None), 1), np.triu(exact, 1))
+
+
 def test_shingles_of_long_texts_are_cut_without_loss(monkeypatch):
     text = " ".join(f"W{k % 700}" for k in range(3000))
     whole = near_dedup.shingles(text)
