@@ -36,8 +36,12 @@ def extract_stream(stream: DataFrame, keys: list[str], text_col: str = "text", t
     return found.dropDuplicatesWithinWatermark([*keys, "ioc_type", "value"])
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 600) -> StreamingQuery:
-    """Work off all that is there and append it as Parquet."""
+def run_available(stream: DataFrame, out: str, checkpoint: str, timeout_s: float | None = None) -> StreamingQuery:
+    """Work off all that is there and append it as Parquet; with a limit of time, stop and raise when it has passed."""
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(timeout_s)
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not end in {timeout_s} s; {out} holds only a part")
     return query

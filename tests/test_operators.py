@@ -173,3 +173,13 @@ def test_streaming(spark, tmp_path):
     assert run() == [(1, "1[.]2[.]3[.]4"), (2, "1[.]2[.]3[.]4")]
     rows((1, "1.2.3.4 5.6.7.8"))
     assert run() == [(1, "1[.]2[.]3[.]4"), (1, "5[.]6[.]7[.]8"), (2, "1[.]2[.]3[.]4")]
+
+
+def test_streaming_gives_no_part_as_a_whole(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    spark.createDataFrame([(k, f"10.0.0.{k}") for k in range(6)], "doc_id bigint, text string").repartition(6).write.parquet(src)
+    found = stream.extract_stream(stream.stream_parquet(spark, src, "doc_id bigint, text string", files_per_trigger=1), ["doc_id"], types=["ips"])
+    with pytest.raises(TimeoutError):
+        stream.run_available(found, out, check, timeout_s=0.01)
+    stream.run_available(found, out, check)
+    assert sorted(r.doc_id for r in spark.read.schema("doc_id bigint").parquet(out).collect()) == list(range(6))
