@@ -28,13 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bounds of an Arrow batch, in bytes as well as rows, for sessions that set none of their own.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes as well as rows, and ship this package where workers lack it."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bound Arrow batches where the caller has not, and ship this package where workers lack it."""
+    own = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
     sc = spark.sparkContext
-    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
-    if str(ROOT) not in known and not getattr(sc, "_indicant_shipped", False):
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(ROOT) not in known and not is_local(spark) and not getattr(sc, "_indicant_shipped", False):
         archive = os.path.join(tempfile.mkdtemp(), "indicant.zip")
         with zipfile.ZipFile(archive, "w") as z:
             for p in (ROOT / "indicant").rglob("*.py"):
@@ -44,10 +50,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def file_stamp(path: str) -> str:
+    """Size and time of a file: caches of what was read from it hold for one state of it."""
+    s = os.stat(path)
+    return f"{s.st_size}-{s.st_mtime_ns}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
+    """A new folder under spark.checkpoint.dir; a temporary one where that is unset and all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/indicant-shared"
     return f"{base.rstrip('/')}/indicant-{uuid.uuid4().hex}"
 

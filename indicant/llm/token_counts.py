@@ -7,43 +7,73 @@ first met and joined to the per-document frequencies from then on.  The table is
 a worker because the distinct pre-tokens of a corpus have no size bound for a broadcast
 and a shuffled join would move every (document, pre-token) pair; it is emptied beyond
 ``CACHE_ENTRIES`` entries, which costs time and never changes a count.
+
+Which characters are letters, numbers or white space is asked of the tokenizer itself,
+block by block, so that texts of every script split as the library splits them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import file_stamp, prepare
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts wholly of these characters split alike under every Unicode version; others are left to the library.
-SETTLED_CLASS = "[\x00-\x1b\x20-\x84\x86-˿Ͱ-ͷΑ-ΡΣ-ϿЀ-҂Ҋ-ԯ‐-‧‰-⁞€]"
-SETTLED = re.compile(SETTLED_CLASS + "*")
+#: Characters are classified in blocks of as many; the first 16 are the basic plane.
+BLOCK, BASIC = 4096, 16
 CACHE_ENTRIES = 800_000
 LONG_PRETOKEN = 64
 
 
-def settled_pattern() -> str:
-    """PRETOKEN for the standard library's faster engine, its classes spelt out over the settled characters."""
-    settled = [c for c in map(chr, range(0x3000)) if SETTLED.fullmatch(c)]
-
-    def ranges(major: str) -> str:
-        out: list[list[int]] = []
-        for o in (ord(c) for c in settled if unicodedata.category(c)[0] == major):
-            if out and out[-1][1] == o - 1:
-                out[-1][1] = o
-            else:
-                out.append([o, o])
-        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
-
-    return PRETOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{ranges('L')}{ranges('N')}]").replace(r"\p{L}", f"[{ranges('L')}]").replace(r"\p{N}", f"[{ranges('N')}]")
+def ranges(chars: list[int]) -> str:
+    """Code points in rising order as the inside of a character class."""
+    out: list[list[int]] = []
+    for o in chars:
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+class Splitter:
+    """PRETOKEN for the standard library's engine, its classes spelt out as the tokenizer has them."""
+
+    def __init__(self, pre_tokenizer):
+        self.pre_tokenizer = pre_tokenizer
+        self.classes: dict[str, list[int]] = {"L": [], "N": [], "S": []}
+        self.blocks: set[int] = set()
+        self.learn(set(range(BASIC)))
+
+    def learn(self, blocks: set[int]) -> None:
+        """Classify the characters of new blocks: a character is of the class of 'a', '1' or '!' if it joins that one's token."""
+        for block in blocks - self.blocks:
+            chars = [o for o in range(block * BLOCK, (block + 1) * BLOCK) if not 0xD800 <= o <= 0xDFFF]
+            joins = {}
+            for probe in "a1!":
+                line = "".join(f"{probe}{chr(o)}\n" for o in chars)
+                ends = {start: end for _, (start, end) in self.pre_tokenizer.pre_tokenize_str(line)}
+                joins[probe] = {o for k, o in enumerate(chars) if ends.get(3 * k, 0) >= 3 * k + 2}
+            self.classes["L"] += [o for o in chars if o in joins["a"]]
+            self.classes["N"] += [o for o in chars if o in joins["1"]]
+            self.classes["S"] += [o for o in chars if not any(o in j for j in joins.values())]
+        self.blocks |= blocks
+        letters, numbers, space = (ranges(sorted(self.classes[k])) for k in "LNS")
+        pattern = PRETOKEN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
+        self.find = re.compile(pattern.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")).findall
+        self.other = re.compile(f"[^{ranges(sorted(o for b in self.blocks for o in range(b * BLOCK, (b + 1) * BLOCK)))}]")
+
+    def __call__(self, text: str) -> list[str]:
+        if not text.isascii() and self.other.search(text):
+            self.learn({ord(c) // BLOCK for c in self.other.findall(text)})
+        return self.find(text)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -88,13 +118,13 @@ class TokenCounter:
         )
         self.added = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
         self.border = re.compile("|".join(map(re.escape, self.added))) if self.added else None
-        self.find = re.compile(settled_pattern()).findall
+        self.split = Splitter(self.tokenizer.pre_tokenizer) if self.additive else None
         self.pieces = PieceTable(self.tokenizer)
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.additive or not SETTLED.fullmatch(text):
+        if not self.additive:
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         total, parts = 0, [text]
         if self.border is not None and any(a in text for a in self.added):
@@ -102,11 +132,17 @@ class TokenCounter:
             total = len(parts) - 1
         pieces = self.pieces
         for part in parts:
-            frequency = Counter(self.find(part))
+            frequency = Counter(self.split(part))
             total += sum([pieces[p] * n for p, n in frequency.items()])
         return total
 
 
+@lru_cache(maxsize=2)
+def counter(path: str, stamp: str) -> TokenCounter:
+    """One counter a worker and tokenizer file, kept from task to task."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row, in one pass without a shuffle.
 
@@ -116,18 +152,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     prepare(docs.sparkSession)
 
     def run(batches):
-        counter = TokenCounter(tokenizer_path)
+        count = counter(tokenizer_path, file_stamp(tokenizer_path)).count
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             sizes, tokens = [], []
             for t in texts:
                 t = t.as_py() or ""
                 sizes.append(len(t.encode()))
-                tokens.append(counter.count(t))
+                tokens.append(count(t))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
