@@ -9,8 +9,9 @@ Events (conv_id, turn, seq, kind, role, text) are folded into final messages, on
 - regenerate: drops its text, later deltas write it anew
 - delete: removes it
 
-Messages are then sorted by turn within their conversation and rendered as a stream, with a
-bounded state per conversation.  Markers in texts are escaped, reversibly.
+Messages are rendered where they were folded; only a conversation's digest, which depends on
+all its messages in order, is taken from one sorted stream, with a bounded state.  Markers in
+texts are escaped, reversibly.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -53,8 +54,22 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Rows of finished turns as an event log of their own."""
-    return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """The event log that finished turns would have come from; fold() gives the turns back.
+
+    Assistants stream: a message is opened, a first attempt is dropped by a regeneration, then
+    the text comes in two deltas.  Others send the first half and edit it to the whole.  Rows
+    of one turn are numbered by role and text; the sequence goes on from row to row.
+    """
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
+    half = (F.length("text") / 2).cast("int")
+    head, tail = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    none = F.lit(None).cast("string")
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    streamed = F.array(event("message", F.col("role"), F.lit("")), event("delta", none, tail), event("regenerate", none, none), event("delta", none, head), event("delta", none, tail))
+    typed = F.array(event("message", F.lit("draft"), head), event("edit", F.col("role"), F.col("text")))
+    events = rows.withColumn("n", number).select("conv_id", "turn", "n", F.posexplode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("k", "e"))
+    return events.select("conv_id", "turn", (8 * F.col("n") + F.col("k")).cast("long").alias("seq"), "e.kind", "e.role", "e.text")
 
 
 KEY = ("conv_id", "turn")
@@ -109,32 +124,36 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def format_messages(messages: DataFrame) -> DataFrame:
-    """Formatted messages in the order of their conversation: conv_id, number, formatted, loss_start, loss_end.
+    """Every message formatted where it lies: conv_id, turn, ordinal, formatted, loss_start, loss_end.
 
-    Rows of a conversation stand one after another in one partition, sorted; a conversation's
-    formatted text is their concatenation.  Sorting spills to disk and rendering keeps one
-    message, so a conversation of any size passes.
+    A conversation's formatted text is the concatenation of its messages by turn and ordinal;
+    loss_start and loss_end, the text of an assistant under the loss mask, are null for other
+    roles.  Null roles and texts are empty; repeated rows are messages each; an empty table
+    gives no rows; other columns are ignored.
     """
-    dealt = messages.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ordinal", "role", "text")
-    schema = pa.schema([("conv_id", pa.int64()), ("number", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    prepare(messages.sparkSession)
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("ordinal", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches):
-        last, n = object(), 0
         for b in batches:
-            out = []
-            for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                last, n = conv, n + 1 if conv == last else 0
-                formatted, start, end = render(role or "", text or "")
-                loss = role == "assistant"
-                out.append({"conv_id": conv, "number": n, "formatted": formatted, "loss_start": start if loss else None, "loss_end": end if loss else None})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out = [render(role or "", text or "") for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
+            loss = [role == "assistant" for role in b.column("role").to_pylist()]
+            places = [pa.array([o[k] if on else None for o, on in zip(out, loss)], pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("conv_id", "turn", "ordinal")] + [pa.array([o[0] for o in out], pa.string()), *places], schema=schema)
 
-    return dealt.mapInArrow(run, "conv_id long, number long, formatted string, loss_start long, loss_end long")
+    return messages.select("conv_id", "turn", "ordinal", "role", "text").mapInArrow(run, "conv_id long, turn long, ordinal long, formatted string, loss_start long, loss_end long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, parsed from format_messages() output: n_turns, digests, loss and formatted sizes."""
+    """Per conversation, parsed from format_messages() output: n_turns, digests, loss and formatted sizes.
+
+    A digest is sequential: a conversation's messages go sorted through one task, which holds
+    one message and the running state; the sort spills.  Null conversations are one of their
+    own; messages of equal turn and ordinal are taken by their formatted text; an empty table
+    gives no rows.
+    """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    dealt = formatted.select("conv_id", "turn", "ordinal", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ordinal", "formatted")
 
     def run(batches):
         conv, state = None, None
@@ -161,4 +180,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def result(conv, s):
         return {"conv_id": conv, "n_turns": s[0], "turns_sha256": s[1].hexdigest(), "loss_chars": s[2], "loss_sha256": s[3].hexdigest(), "formatted_chars": s[4]}
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
