@@ -1,14 +1,17 @@
 """WARC archives: a distributed writer and a PySpark Python data source.
 
-Archives hold one gzip member per record.  A member's extra field "sl" gives its compressed
-size, so a reader that does not want a payload inflates the header lines only and seeks to
-the next member; other tools read the files as ordinary .warc.gz.
+The reader takes any folder of .warc and .warc.gz files.  Headers are parsed first; payloads
+that are not wanted are skipped: in plain files by a seek, in gzip files by inflating on
+without keeping.  The writer puts one gzip member a record, whose extra field "sl" gives its
+compressed size, so that its payloads are skipped by a seek as well; other tools read its
+files as ordinary .warc.gz.  Its manifest lists the files that count and places to split them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -23,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .common import prepare, shared_dir, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ROTATE_BYTES = 256 << 20
+ROTATE_BYTES, SPLIT_BYTES = 256 << 20, 64 << 20
 BATCH_BYTES = 4 << 20
 SALTS = 16
 HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type", "page_id": "X-Page-ID", "payload_bytes": "X-Payload-Length"}
@@ -73,7 +76,7 @@ def plan_records(pages: DataFrame, min_dedup: int, id_col: str, url_col: str, pa
 
 
 def write_warc(pages: DataFrame, where: str, min_dedup: int = 1000, level: int = 1, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write one record per page into archives in the folder ``where``; returns the stored manifest (path, n_records).
+    """Write one record per page into archives in the folder ``where``; returns the stored manifest (path, n_records, splits).
 
     Of records with equal payloads of at least ``min_dedup`` bytes, that with the largest id
     is a response and the others revisit it; smaller ones are all responses.  Null payloads
@@ -87,34 +90,41 @@ def write_warc(pages: DataFrame, where: str, min_dedup: int = 1000, level: int =
     def run(batches):
         fs, folder = filesystem(where)
         fs.create_dir(folder, recursive=True)
-        out, name, n, size, done = None, "", 0, 0, []
+        out, name, n, size, splits, done = None, "", 0, 0, [], []
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
-                    name, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, n, size, splits = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0, [0]
                     out = fs.open_output_stream(name, compression=None)
                 revisit = r["refers_to"] is not None
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                 headers = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "WARC-Target-URI": r["url"], "WARC-Payload-Digest": f"sha1:{r['digest']}", "WARC-Profile": PROFILE if revisit else None, "WARC-Refers-To": f"<urn:page:{r['refers_to']}>" if revisit else None, "Content-Type": "application/http; msgtype=response", "X-Page-ID": r["id"], "X-Payload-Length": r["size"]}
                 data = member(record(headers, http if revisit else http + r["payload"].encode()), level)
+                if size >= splits[-1] + SPLIT_BYTES:
+                    splits.append(size)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ROTATE_BYTES:
                     out.close()
-                    done.append((name, n))
+                    done.append((name, n, splits))
                     out = None
         if out is not None:
             out.close()
-            done.append((name, n))
+            done.append((name, n, splits))
         if done:
-            yield pa.RecordBatch.from_pylist([{"path": p, "n_records": k} for p, k in done], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
+            schema = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("splits", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_pylist([{"path": p, "n_records": k, "splits": at} for p, k, at in done], schema=schema)
 
-    return stored(plan_records(pages, min_dedup, id_col, url_col, payload_col).mapInArrow(run, "path string, n_records long"), where, "manifest.parquet")
+    return stored(plan_records(pages, min_dedup, id_col, url_col, payload_col).mapInArrow(run, "path string, n_records long, splits array<long>"), where, "manifest.parquet")
 
 
 @dataclass
 class ArchivePartition(InputPartition):
+    """Records that start in [start, end) of a file; end None: to its end."""
+
     path: str
+    start: int = 0
+    end: int | None = None
 
 
 @dataclass
@@ -152,57 +162,214 @@ class Wanted:
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
-    lines = block.decode("utf-8", "replace").split("\r\n")
-    return dict((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k)
+    """Headers by lower-case name; a line that starts with white space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", block.decode("utf-8", "replace")).split("\r\n")
+    return dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k)
 
 
 def columns(headers: dict[str, str]) -> dict:
-    row: dict = {c: headers.get(h) for c, h in HEADER.items()}
+    row: dict = {c: headers.get(h.lower()) for c, h in HEADER.items()}
     for c in ("page_id", "payload_bytes"):
-        row[c] = int(row[c]) if row[c] is not None else None
+        row[c] = int(row[c]) if row[c] is not None and re.fullmatch("-?[0-9]+", row[c]) else None
     if row["payload_digest"]:
         row["payload_digest"] = row["payload_digest"].rpartition(":")[2].lower()
     return row
 
 
-def read_archive(f, wanted: Wanted, payload: bool, verify: bool) -> Iterator[dict]:
-    """Records that fit, headers first; unwanted payloads are skipped, not inflated, where members say their size."""
+class Plain:
+    """An uncompressed archive: reads, and skips by a seek."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def read(self, n: int) -> bytes:
+        return self.f.read(n)
+
+    def skip(self, n: int) -> None:
+        self.f.seek(n, io.SEEK_CUR)
+
+
+class Inflated:
+    """A gzip archive of any number of members as one stream; what is skipped is inflated in bounded pieces."""
+
+    def __init__(self, f):
+        self.f, self.z, self.fed, self.out = f, None, b"", b""
+
+    def more(self) -> bool:
+        """Inflate some more; False at the end of the file."""
+        while True:
+            if not self.fed:
+                self.fed = self.f.read(1 << 16)
+                if not self.fed:
+                    if self.z is not None:
+                        raise EOFError("the archive ends inside a gzip member")
+                    return False
+            if self.z is None:
+                self.fed = self.fed.lstrip(b"\0")  # padding between members
+                if not self.fed:
+                    continue
+                self.z = zlib.decompressobj(31)
+            got = self.z.decompress(self.fed, 1 << 18)
+            if self.z.eof:
+                self.fed, self.z = self.z.unused_data, None
+            else:
+                self.fed = self.z.unconsumed_tail
+            if got:
+                self.out += got
+                return True
+
+    def read(self, n: int) -> bytes:
+        parts, left = [], n
+        while left > 0 and (self.out or self.more()):
+            parts.append(self.out[:left])
+            left -= len(parts[-1])
+            self.out = self.out[len(parts[-1]) :]
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (self.out or self.more()):
+            cut = min(n, len(self.out))
+            self.out, n = self.out[cut:], n - cut
+
+
+class Sized:
+    """One member of write_warc, whose size is known: skipping inflates nothing."""
+
+    def __init__(self, f, left: int):
+        self.f, self.left, self.z, self.fed = f, left, zlib.decompressobj(-15), b""
+
+    def read(self, n: int) -> bytes:
+        parts, missing = [], n
+        while missing > 0 and not self.z.eof:
+            if not self.fed:
+                self.fed = self.f.read(min(1 << 12 if n < 1 << 12 else 1 << 16, self.left))
+                self.left -= len(self.fed)
+                if not self.fed:
+                    raise EOFError("the archive ends inside a gzip member")
+            parts.append(self.z.decompress(self.fed, missing))
+            missing -= len(parts[-1])
+            self.fed = self.z.unconsumed_tail
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        pass
+
+
+MAX_HEADER = 16 << 20
+
+
+def read_headers(source) -> tuple[dict[str, str] | None, bytes]:
+    """The next record's headers, None at the end, and what was read of its block."""
+    got = b""
     while True:
-        at = f.tell()
+        part = source.read(2048)
+        got = got + part if got else part.lstrip(b"\r\n")
+        end = got.find(b"\r\n\r\n")
+        if end >= 0:
+            if not got.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record where one should start: {got[:40]!r}")
+            return parse_headers(got[:end]), got[end + 4 :]
+        if not part:
+            if got:
+                raise ValueError(f"a record without an end of headers: {got[:40]!r}")
+            return None, b""
+        if len(got) > MAX_HEADER:
+            raise ValueError(f"record headers over {MAX_HEADER} bytes")
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The block without the HTTP headers of a captured message."""
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    return block.partition(b"\r\n\r\n")[2] if http else block
+
+
+def settled(source, headers: dict[str, str], rest: bytes, wanted: Wanted, payload: bool, verify: bool) -> dict | None:
+    """The record's row if it fits; its block has been read or skipped afterwards."""
+    row, size = columns(headers), int(headers.get("content-length", "0"))
+    if not wanted.fits(row):
+        source.skip(size - len(rest))
+        return None
+    row |= {"headers": list(headers.items()), "payload": None}
+    if (payload or verify) and row["record_type"] != "revisit":
+        body = payload_of(headers, (rest + source.read(size - len(rest)))[:size])
+        if verify:
+            row["payload_digest"], row["payload_bytes"] = hashlib.sha1(body).hexdigest(), len(body)
+        row["payload"] = body if payload else None
+    else:
+        source.skip(size - len(rest))
+    return row
+
+
+class Pushed:
+    """A source with bytes put back before it: what was read beyond a record."""
+
+    def __init__(self, source):
+        self.source, self.front = source, b""
+
+    def read(self, n: int) -> bytes:
+        out, self.front = self.front[:n], self.front[n:]
+        return out + self.source.read(n - len(out)) if len(out) < n else out
+
+    def skip(self, n: int) -> None:
+        cut = min(n, len(self.front))
+        self.front = self.front[cut:]
+        if n > cut:
+            self.source.skip(n - cut)
+
+
+def read_archive(f, wanted: Wanted, payload: bool, verify: bool, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """Records that fit and start in [start, end), headers first."""
+    f.seek(start)
+    head = f.read(24)
+    f.seek(start)
+    if head[:2] != b"\x1f\x8b":
+        yield from read_stream(Pushed(Plain(f)), wanted, payload, verify)
+        return
+    at = start
+    while end is None or at < end:
         head = f.read(24)
         if not head:
             return
-        if head[:2] != b"\x1f\x8b":
-            raise ValueError(f"no gzip member at byte {at}")
-        sized = len(head) == 24 and head[3] == 4 and head[12:14] == b"sl"
-        if not sized:
-            raise ValueError("archive members without the size field are not supported; rewrite the archive with write_warc")
+        if not (len(head) == 24 and head[:2] == b"\x1f\x8b" and head[3] == 4 and head[12:14] == b"sl"):
+            f.seek(at)  # from here on members do not say their size
+            yield from read_stream(Pushed(Inflated(f)), wanted, payload, verify)
+            return
         size = struct.unpack("<Q", head[16:24])[0]
-        z = zlib.decompressobj(-15)
-        got, packed = b"", b""
-        left = size - 24 - 8
-        while b"\r\n\r\n" not in got:
-            if not packed:
-                packed = f.read(min(4096, left))
-                left -= len(packed)
-                if not packed:
-                    raise ValueError(f"record at byte {at} has no end of headers")
-            got += z.decompress(packed, 2048)
-            packed = z.unconsumed_tail
-        block, _, rest = got.partition(b"\r\n\r\n")
-        headers = parse_headers(block)
-        row = columns(headers)
-        if wanted.fits(row):
-            row["headers"] = list(headers.items())
-            row["payload"] = None
-            if (payload or verify) and row["record_type"] == "response":
-                rest += z.decompress(packed) + z.decompress(f.read(left)) + z.flush()
-                body = rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
-                if verify:
-                    row["payload_digest"], row["payload_bytes"] = hashlib.sha1(body).hexdigest(), len(body)
-                row["payload"] = body if payload else None
+        source = Sized(f, size - 24 - 8)
+        headers, rest = read_headers(source)
+        row = settled(source, headers, rest, wanted, payload, verify) if headers is not None else None
+        if row is not None:
             yield row
-        f.seek(at + size)
+        at += size
+        f.seek(at)
+
+
+def read_stream(source: Pushed, wanted: Wanted, payload: bool, verify: bool) -> Iterator[dict]:
+    while True:
+        headers, rest = read_headers(source)
+        if headers is None:
+            return
+        size = int(headers.get("content-length", "0"))
+        source.front = rest[size:] + source.front
+        row = settled(source, headers, rest[:size], wanted, payload, verify)
+        if row is not None:
+            yield row
+
+
+def archives(fs, folder: str) -> list[ArchivePartition]:
+    """Partitions of a folder: the files and splits of its manifest or, without one, every archive below it."""
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSelector
+
+    if fs.get_file_info(f"{folder}/manifest.parquet").type.name == "Directory":
+        rows = ds.dataset(f"{folder}/manifest.parquet", filesystem=fs, format="parquet").to_table(columns=["path", "splits"]).to_pylist()
+        return [ArchivePartition(r["path"], a, b) for r in sorted(rows, key=lambda r: r["path"]) for a, b in zip(r["splits"], [*r["splits"][1:], None])]
+    if fs.get_file_info(folder).type.name == "File":
+        return [ArchivePartition(folder)]
+    names = sorted(f.path for f in fs.get_file_info(FileSelector(folder, recursive=True)) if f.type.name == "File" and f.path.lower().endswith((".warc", ".warc.gz")))
+    if not names:
+        raise FileNotFoundError(f"no .warc or .warc.gz file in {folder}")
+    return [ArchivePartition(p) for p in names]
 
 
 class WarcReader(DataSourceReader):
@@ -219,13 +386,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """One partition a file of the manifest, planned from metadata alone."""
-        import pyarrow.dataset as ds
-
-        fs, folder = filesystem(self.folder)
-        paths = ds.dataset(f"{folder}/manifest.parquet", filesystem=fs, format="parquet").to_table(columns=["path"]) if fs.get_file_info(f"{folder}/manifest.parquet").type.name == "Directory" else None
-        names = sorted(paths["path"].to_pylist()) if paths is not None else []
-        return [ArchivePartition(p) for p in names] or [ArchivePartition("")]
+        """A partition for each file, or each split of a file that the writer noted, planned from metadata alone."""
+        return archives(*filesystem(self.folder)) or [ArchivePartition("")]
 
     def read(self, partition):
         if not partition.path:
@@ -233,7 +395,7 @@ class WarcReader(DataSourceReader):
         fs, _ = filesystem(self.folder)
         rows, held = [], 0
         with fs.open_input_file(partition.path) as raw:
-            for row in read_archive(io.BufferedReader(raw, 1 << 18), self.wanted, self.payload, self.verify):
+            for row in read_archive(io.BufferedReader(raw, 1 << 18), self.wanted, self.payload, self.verify, partition.start, partition.end):
                 rows.append(row)
                 held += len(row["payload"] or b"") + 500
                 if held >= BATCH_BYTES:
@@ -258,9 +420,16 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, where: str, payload: bool = True, verify: bool = False) -> DataFrame:
-    """The records of the archives in ``where``; verify recomputes digests and sizes of responses from their payloads."""
+    """The records of the archives in ``where`` (a folder or one file), of every type.
+
+    verify recomputes digests and sizes from the payloads.  The payload is the block, without
+    the HTTP headers of a captured message; revisits have none.  Headers that a record lacks
+    are null, so are page_id and payload_bytes that are no numbers.  A folder without archives
+    raises, one whose manifest names no file gives no rows; a damaged archive raises.
+    """
     prepare(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if "spark.sql.python.filterPushdown.enabled" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(where)
 
