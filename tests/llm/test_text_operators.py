@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from indicant.llm import chat_format, quality, sentencepiece_codec, toxicity
 from indicant.llm.common import WORD_BYTES
-from indicant.llm.decontaminate import automata, decontaminate, item_windows, scan
+from indicant.llm.decontaminate import Automaton, decontaminate, normalised
 from indicant.llm.license_scan import TEMPLATES, scan_licenses
 from indicant.llm.near_dedup import near_duplicates
 from indicant.llm.queries import tokenizer
@@ -93,12 +93,30 @@ def test_decontamination_against_brute_force(spark):
 
 
 def test_decontamination_offsets_point_into_the_original():
-    built = automata(item_windows([(7, "große Fragen, kurze Antwort")], 10))
+    built = Automaton([("7", normalised("große Fragen, kurze Antwort").split())], 10)
     text = "  ¡So! GROßE -- fragen; kurze\nAntwort?"
-    _, ranges, items, spans = scan(text.replace("GROßE", "Große"), built)
+    _, ranges, items, spans = built.scan(text.replace("GROßE", "Große"))
     assert ranges == [(1, 5)] and items == {"7"} and [text[a:b] for a, b in spans] == ["GROßE -- fragen; kurze\nAntwort"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10])
+def test_decontamination_automaton_equals_windows(n):
+    """Blocks and their extension find what all windows would, also in items of hardly any different words."""
+    rng = random.Random(n)
+    for _ in range(200):
+        letters = rng.choice(["ab", "abc", "abcd"])
+        items = [(str(i), " ".join(rng.choice(letters) for _ in range(rng.randint(0, 16)))) for i in range(5)]
+        text = " ".join(rng.choice(letters + "z") for _ in range(rng.randint(0, 50)))
+        count, ranges, found, _ = Automaton([(i, t.encode().split()) for i, t in items], n).scan(text)
+        assert (count, sum(b - a for a, b in ranges), sorted(found)) == brute_hits(text, items, n)
+
+
+def test_decontamination_refuses_a_benchmark_beyond_its_bound(spark):
+    docs, bench = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontaminate(docs, bench, max_words=2)
+
+
 def test_decontamination_hard_rows(spark, hard, none):
     bench = spark.createDataFrame([(1, "one two three"), (2, None), (None, "")], "item_id long, text string")
     rows = decontaminate(hard, bench).collect()
