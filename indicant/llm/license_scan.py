@@ -1,10 +1,12 @@
 """Licence scan over a positional rare-token index, DataFrame functions only.
 
-Every template is indexed by its two highest-IDF words.  A text's occurrences of such words
-give, by relative position, places where the template would start; the two posting lists
-are intersected; the mandatory key phrase is verified at what is left; the rest of the
-template is then scored by the IDF weight found in place.  All work is inside a row, so no
-key can be hot, nothing is shuffled and memory is bounded by one text.
+The index is one map from a word to its postings (template, offset): every template is posted
+under the two highest-IDF words of its key phrase.  A text's occurrences of indexed words are
+looked up once; each posting says where its template would start, and starts that both of a
+template's postings agree on are left; the mandatory key phrase is verified there; the rest
+of the template is then scored by the IDF weight found in place.  The expressions are the same
+for any number of templates; all work is inside a row, so no key can be hot, nothing is
+shuffled and memory is bounded by one text.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,53 +82,49 @@ def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     weight = idf(templates)
-    rare = sorted({t.words[i] for t in templates for i in anchors(t, weight)})
-    base = docs.select(docs[id_col].alias("__id"), words(docs[text_col]).alias("__w"))
-    found = base.select(
-        "__id", "__w",
-        F.filter(
-            F.transform("__w", lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()
-        ).alias("__rare"),
-    )
-
-    def places(t: Template) -> Column:
-        def starts(o: int) -> Column:
-            return F.transform(F.filter("__rare", lambda x: x.w == t.words[o]), lambda x: x.i - F.lit(o))
-
-        at, size = t.key_at
-        key = F.array(*map(F.lit, t.words[at : at + size]))
-        return F.filter(
-            reduce(F.array_intersect, map(starts, anchors(t, weight))),
-            lambda s: (s + at >= 0) & (F.slice("__w", F.greatest(s + at, F.lit(0)) + 1, F.lit(size)) == key),
-        )
-
-    hit = found.select(
-        "__id", "__w", F.size("__w").cast("long").alias("n_words"),
-        *[F.when(F.size("__rare") > 0, places(t)).otherwise(F.array().cast("array<int>")).alias(f"__p{k}") for k, t in enumerate(templates)],
-    )
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for k, t in enumerate(templates):
+        for o in anchors(t, weight):
+            postings.setdefault(t.words[o], []).append((k, o))
+    entry = lambda k, o: F.struct(F.lit(k).alias("t"), F.lit(o).alias("o"))
+    index = F.create_map(*[x for w, of in sorted(postings.items()) for x in (F.lit(w), F.array(*[entry(*p) for p in of]))])
+    per_template = lambda values: F.array(*values)
+    keys = per_template(F.array(*map(F.lit, t.words[t.key_at[0] : sum(t.key_at)])) for t in templates)
+    key_at = per_template(F.lit(t.key_at[0]) for t in templates)
+    wanted = per_template(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weight[w]).alias("v")) for w in t.words]) for t in templates)
+    total = per_template(F.lit(float(sum(weight[w] for w in t.words))) for t in templates)
 
-    def score(k: int, t: Template) -> Column:
-        total = sum(weight[w] for w in t.words)
-
-        def at(s: Column) -> Column:
-            inside = [F.when((s + j >= 0) & F.get("__w", s + j).eqNullSafe(F.lit(w)), F.lit(weight[w])).otherwise(F.lit(0)) for j, w in enumerate(t.words)]
-            return reduce(lambda a, b: a + b, inside)
-
-        return F.when(F.size(f"__p{k}") > 0, F.array_max(F.transform(f"__p{k}", at)) / F.lit(total).cast("double")).otherwise(F.lit(0.0))
+    base = docs.select(docs[id_col].alias("__id"), words(docs[text_col]).alias("__w"))
+    rare = F.filter(F.transform("__w", lambda w, i: F.when(w.isin(sorted(postings)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    starts = lambda x: F.transform(F.element_at(index, x.w), lambda p: F.struct(p.t.alias("t"), (x.i - p.o).alias("s")))
+    found = base.select("__id", "__w", F.sort_array(F.flatten(F.transform(rare, starts))).alias("__c"))
+    # A template of one word has one posting; all others need two that agree.
+    single = [k for k, t in enumerate(templates) if len(anchors(t, weight)) == 1]
+    agreed = F.filter("__c", lambda c, i: (c.t.isin(single) if single else F.lit(False)) | ((i > 0) & (c == F.get("__c", i - 1))))
+    key_of = lambda c: F.get(keys, c.t)
+    at = lambda c: c.s + F.get(key_at, c.t)
+    verified = F.filter("__p", lambda c: (at(c) >= 0) & (F.slice("__w", F.greatest(at(c), F.lit(0)) + 1, F.size(key_of(c))) == key_of(c)))
+    hit = found.select("__id", "__w", agreed.alias("__p")).select("__id", "__w", verified.alias("__p"))
+
+    def in_place(c: Column) -> Column:
+        """Share of the template's IDF weight that stands where it should."""
+        each = F.transform(F.get(wanted, c.t), lambda x, j: F.when((c.s + j >= 0) & F.get("__w", c.s + j).eqNullSafe(x.w), x.v).otherwise(0))
+        return F.aggregate(each, F.lit(0), lambda a, v: a + v) / F.get(total, c.t)
 
     own = [k for k, t in enumerate(templates) if t.base]
-    every = F.concat(*[F.col(f"__p{k}") for k in own])
-
-    def labels(of: list[int]) -> Column:
-        named = F.array(*[F.when(F.size(f"__p{k}") > 0, F.lit(templates[k].label)) for k in of])
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(named))), ",")
-
-    return hit.select(
+    names = per_template(F.lit(t.label) for t in templates)
+    every = F.transform(F.filter("__p", lambda c: c.t.isin(own)), lambda c: c.s)
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda c: F.get(names, c.t)))), ",")
+    result = hit.select(
+        "__id", F.size("__w").cast("long").alias("n_words"), F.col("__p"), every.alias("__own"),
+        F.when(F.size("__p") > 0, F.array_max(F.transform("__p", in_place))).otherwise(F.lit(0.0)).alias("score"),
+    )
+    return result.select(
         F.col("__id").alias(id_col), "n_words",
-        F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"),
-        labels(own).alias("base_labels"),
-        labels(list(range(len(templates)))).alias("labels"),
-        F.greatest(*[score(k, t) for k, t in enumerate(templates)]).alias("score"),
+        F.size("__own").cast("long").alias("n_base"),
+        F.array_min("__own").cast("long").alias("first_word"),
+        F.array_max("__own").cast("long").alias("last_word"),
+        labels(F.filter("__p", lambda c: c.t.isin(own))).alias("base_labels"),
+        labels(F.col("__p")).alias("labels"),
+        "score",
     )
