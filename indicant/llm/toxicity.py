@@ -1,16 +1,18 @@
 """Toxicity by a linear-chain conditional random field.
 
 Token labels come from the document labels: words that are significantly over-represented in
-toxic training documents are labelled toxic where they stand in one.  A two-state CRF (word
-emissions, transitions) is fitted on those sentences by gradient ascent; forward-backward
-marginals over every segment of a text give the offending spans and, through a calibrated
-logistic layer, the document's score.  Only words are inputs: never labels, language, source
-or identifiers.
+toxic training documents are labelled toxic where they stand in one.  A two-state CRF is
+fitted on all sentences of the sample by stochastic gradients; a word's emission is made of
+the word, its neighbours and its character trigrams, so that spellings and words that the
+labels never met are judged too.  Forward-backward marginals over every sentence of a text
+give the offending spans and, through a calibrated logistic layer, the document's score.
+Only words are inputs: never labels, language, source or identifiers.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,12 @@ from .common import WORD_BYTES, prepare, with_kept
 
 #: As WORD_BYTES, but ends of sentences and lines become a line feed.
 SEGMENT_BYTES = bytes(10 if chr(b) in ".!?\n\r" else WORD_BYTES[b] for b in range(256))
-#: Longer segments are cut, so that one endless sentence does not make a step per word; every word is still tagged.
-MAX_SEGMENT = 256
+#: Sentences of more words are stepped through one by one, shorter ones side by side.
+WIDE = 2048
+#: Buckets of character trigrams, and words that a worker remembers.
+TRIGRAM_BITS, CACHE_WORDS = 12, 400_000
+#: Words of a step of the fit.
+BATCH = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -31,25 +37,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 def segments(text: str | None) -> list[list[bytes]]:
-    out = []
-    for line in (text or "").encode().translate(SEGMENT_BYTES).split(b"\n"):
-        w = line.split()
-        for i in range(0, len(w), MAX_SEGMENT):
-            out.append(w[i : i + MAX_SEGMENT])
-    return out
+    """The words of a text's sentences and lines, whole."""
+    return [w for line in (text or "").encode().translate(SEGMENT_BYTES).split(b"\n") if (w := line.split())]
+
+
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the words' character trigrams one after another, how many each word has); ends of words count as a character."""
+    flat = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
+    sizes = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    three = flat[at] << 16 | flat[at + 1] << 8 | flat[at + 2]
+    return ((three * np.uint32(0x9E3779B1)) >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int32), sizes
 
 
 class Lattice:
-    """Segments of equal or falling length side by side, stepped through word by word."""
+    """Sentences side by side from the longest to the shortest, stepped through word by word."""
 
     def __init__(self, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        self.lengths = lengths[self.order]
-        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])[self.order]
-        self.steps = int(self.lengths[0]) if len(lengths) else 0
-        active = np.searchsorted(-self.lengths, -np.arange(self.steps), side="left")
-        #: The token of each active segment at every step.
-        self.at = [start[: active[t]] + t for t in range(self.steps)]
+        order = np.argsort(-lengths, kind="stable")
+        lengths, start = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        long = int((lengths > WIDE).sum())
+        #: Sentences for which a step of vectors would hold hardly anything.
+        self.single = list(zip(start[:long].tolist(), lengths[:long].tolist()))
+        start, lengths = start[long:], lengths[long:]
+        steps = int(lengths[0]) if len(lengths) else 0
+        active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+        #: The token of each active sentence at every step.
+        self.at = [start[: active[t]] + t for t in range(steps)]
+        inner = self.at[1:] + [np.arange(a + 1, a + n) for a, n in self.single]
+        #: Tokens that have one before them in their sentence, and those that have one after.
+        self.inner = np.concatenate(inner) if inner else np.zeros(0, np.int64)
 
     def messages(self, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ratios toxic : clean of the forward and backward messages; e: emission odds, t: 2 x 2 transition weights."""
@@ -60,38 +78,83 @@ class Lattice:
             else:
                 r = fwd[at - 1]
                 fwd[at] = e[at] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-        for k in range(self.steps - 2, -1, -1):
-            at = self.at[k + 1]
+        for at in reversed(self.at[1:]):
             x = e[at] * bwd[at]
             bwd[at - 1] = (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x)
+        t00, t01, t10, t11 = t.ravel().tolist()
+        for a, n in self.single:
+            odds, r, out = e[a : a + n].tolist(), 0.0, []
+            for k, x in enumerate(odds):
+                r = x * (t01 + r * t11) / (t00 + r * t10) if k else x
+                out.append(r)
+            fwd[a : a + n] = out
+            r, out = 1.0, [1.0]
+            for x in reversed(odds[1:]):
+                x *= r
+                r = (t10 + t11 * x) / (t00 + t01 * x)
+                out.append(r)
+            bwd[a : a + n] = out[::-1]
         return fwd, bwd
 
+    def neighbours(self, column: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the words before and after, ``none`` at a sentence's ends."""
+        before, after = np.full(len(column), none, column.dtype), np.full(len(column), none, column.dtype)
+        before[self.inner], after[self.inner - 1] = column[self.inner - 1], column[self.inner]
+        return before, after
+
+
+class Crf:
+    """Weights by word column (0: a word too rare to have one, the last: no word), for the word itself and as a neighbour, by trigram bucket, and transitions."""
+
+    def __init__(self, columns: int):
+        self.own, self.before, self.after = np.zeros(columns + 1), np.zeros(columns + 1), np.zeros(columns + 1)
+        self.gram, self.bias, self.trans = np.zeros(1 << TRIGRAM_BITS), np.array([-4.0]), np.zeros((2, 2))
 
-def fit_crf(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, n_words: int, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """(log emission odds by word, log transitions) from words x and labels y of sentences of the given lengths.
+    def emissions(self, column: np.ndarray, spelt: np.ndarray, near: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.exp(np.clip(self.bias[0] + self.own[column] + spelt + self.before[near[0]] + self.after[near[1]], -30, 30))
 
-    Full-batch Adagrad on the conditional likelihood, L2 on emissions.
+    def spelling(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Mean trigram weight of words whose trigrams stand one after another."""
+        return np.add.reduceat(self.gram[grams], np.cumsum(sizes) - sizes) / sizes if len(sizes) else np.zeros(0)
+
+
+def fit_crf(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], column: np.ndarray, grams: np.ndarray, sizes: np.ndarray, rounds: int = 20) -> Crf:
+    """Fit on batches of (word numbers, labels, sentence lengths): Adagrad on the conditional likelihood, L2 on all weights.
+
+    column has the weight's column of every word number; grams and sizes its trigrams.
     """
-    lattice = Lattice(lengths)
-    inner = np.concatenate([at for at in lattice.at[1:]]) if lattice.steps > 1 else np.zeros(0, np.int64)
-    theta, trans = np.full(n_words, -2.0), np.zeros((2, 2))
-    seen_w, seen_t = np.full(n_words, 1e-3), np.full((2, 2), 1e-3)
+    none = int(column.max()) + 1
+    crf = Crf(none)
+    parts = ("own", "before", "after", "gram", "bias", "trans")
+    seen = {k: np.full_like(getattr(crf, k), 1e-2) for k in parts}
+    rate = {"own": 0.5, "before": 0.2, "after": 0.2, "gram": 0.2, "bias": 0.3, "trans": 0.3}
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    lattices = [Lattice(n.astype(np.int64)) for _, _, n in batches]
     for _ in range(rounds):
-        e, t = np.exp(np.clip(theta[x], -30, 30)), np.exp(trans)
-        fwd, bwd = lattice.messages(e, t)
-        odds = fwd * bwd
-        p = odds / (1 + odds)
-        grad = np.bincount(x, weights=y - p, minlength=n_words) - 0.05 * (theta + 2)
-        r, after = fwd[inner - 1], e[inner] * bwd[inner]
-        pair = np.stack([np.full_like(r, t[0, 0]), t[0, 1] * after, r * t[1, 0], r * t[1, 1] * after])
-        pair /= pair.sum(axis=0)
-        gold = np.bincount(2 * y[inner - 1] + y[inner], minlength=4).astype(float)
-        grad_t = (gold - pair.sum(axis=1)).reshape(2, 2) - 0.1 * trans
-        seen_w += grad**2
-        seen_t += grad_t**2
-        theta += 1.0 * grad / np.sqrt(seen_w)
-        trans += 0.3 * grad_t / np.sqrt(seen_t)
-    return theta, trans
+        for (word, y, _), lattice in zip(batches, lattices):
+            c = column[word]
+            near = lattice.neighbours(c, none)
+            e, t = crf.emissions(c, crf.spelling(grams, sizes)[word], near), np.exp(crf.trans)
+            fwd, bwd = lattice.messages(e, t)
+            odds = fwd * bwd
+            short = y - odds / (1 + odds)
+            by_word = np.bincount(word, weights=short, minlength=len(sizes)) / sizes
+            inner, gold_y = lattice.inner, y.astype(np.int64)
+            r, after = fwd[inner - 1], e[inner] * bwd[inner]
+            pair = np.stack([np.full_like(r, t[0, 0]), t[0, 1] * after, r * t[1, 0], r * t[1, 1] * after])
+            pair /= pair.sum(axis=0)
+            gold = np.bincount(2 * gold_y[inner - 1] + gold_y[inner], minlength=4).astype(float)
+            grad = {
+                "own": np.bincount(c, weights=short, minlength=none + 1), "before": np.bincount(near[0], weights=short, minlength=none + 1),
+                "after": np.bincount(near[1], weights=short, minlength=none + 1), "gram": np.bincount(grams, weights=by_word[owner], minlength=1 << TRIGRAM_BITS),
+                "bias": np.array([short.sum()]), "trans": (gold - pair.sum(axis=1)).reshape(2, 2),
+            }
+            for k in parts:
+                w = getattr(crf, k)
+                g = grad[k] - (0.0 if k == "bias" else 0.02 if k == "own" else 0.3) * w
+                seen[k] += g**2
+                w += rate[k] * g / np.sqrt(seen[k])
+    return crf
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -101,28 +164,61 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 30) ->
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + l2 * np.eye(len(w))
-        w += np.linalg.solve(h, a.T @ (y - p) - l2 * w)
+        step = np.linalg.solve(h, a.T @ (y - p) - l2 * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 
+class Words(dict):
+    """Number of each word that was met, given when it is first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Tagger:
-    def __init__(self, emission: dict[bytes, float], unknown: float, trans: np.ndarray, layer: np.ndarray):
-        self.emission, self.unknown, self.trans, self.layer = emission, unknown, trans, layer
+    def __init__(self, crf: Crf, column: dict[bytes, int], layer: np.ndarray):
+        self.crf, self.column, self.layer = crf, column, layer
+        self.forget()
+
+    def __getstate__(self) -> dict:
+        return {"crf": self.crf, "column": self.column, "layer": self.layer}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def forget(self) -> None:
+        self.words, self.columns, self.spelt = Words(), np.zeros(0, np.int32), np.zeros(0)
+
+    def learn(self) -> None:
+        """Columns and spelling weights of words that are new to this worker."""
+        new, self.words.new = self.words.new, []
+        if new:
+            self.columns = np.concatenate([self.columns, np.array([self.column.get(w, 0) for w in new], np.int32)])
+            self.spelt = np.concatenate([self.spelt, self.crf.spelling(*trigrams(new))])
 
     def marginals(self, texts: list[list[list[bytes]]]) -> list[np.ndarray]:
         """Probability of being toxic of every word, by text."""
-        flat = [s for t in texts for s in t]
-        lengths = np.array([len(s) for s in flat], dtype=np.int64)
+        if len(self.words) > CACHE_WORDS:
+            self.forget()
+        lengths = np.array([len(s) for t in texts for s in t], dtype=np.int64)
         sizes = [sum(map(len, t)) for t in texts]
-        get, unknown = self.emission.get, self.unknown
-        e = np.fromiter((get(w, unknown) for s in flat for w in s), dtype=np.float64, count=sum(sizes))
-        return self.by_text(e, lengths, sizes)
-
-    def by_text(self, emissions: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-        """Marginals from emissions in a row, segment lengths and words by text."""
-        if not len(emissions):
+        if not sum(sizes):
             return [np.zeros(0) for _ in sizes]
-        fwd, bwd = Lattice(lengths[lengths > 0]).messages(np.exp(emissions), np.exp(self.trans))
+        known = self.words
+        number = np.fromiter((known[w] for t in texts for s in t for w in s), dtype=np.int64, count=sum(sizes))
+        self.learn()
+        column, lattice = self.columns[number], Lattice(lengths)
+        e = self.crf.emissions(column, self.spelt[number], lattice.neighbours(column, len(self.crf.own) - 1))
+        fwd, bwd = lattice.messages(e, np.exp(self.crf.trans))
         odds = fwd * bwd
         return np.split(odds / (1 + odds), np.cumsum(sizes)[:-1])
 
@@ -139,20 +235,22 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x @ self.layer, -30, 30)))
 
 
-def fit(rows, min_docs: int = 4, min_lift: float = 2.5, max_tokens: int = 400_000) -> Tagger:
-    """Fit on (text, toxic) rows of the training sample, which may be an iterator: texts are kept as word numbers."""
-    number: dict[bytes, int] = {}
-    docs: list[tuple[np.ndarray, np.ndarray]] = []  # word numbers and segment lengths
+def fit(rows, min_docs: int = 4, min_lift: float = 2.5) -> Tagger:
+    """Fit on all words of (text, toxic) rows of the training sample, which may be an iterator: texts are kept as word numbers."""
+    number = Words()
+    docs: list[tuple[np.ndarray, np.ndarray]] = []  # word numbers and sentence lengths
     toxic = []
     for text, y in rows:
         if y is not None:
-            segs = [s for s in segments(text) if s]
-            docs.append((np.array([number.setdefault(w, len(number)) for s in segs for w in s], np.int32), np.array([len(s) for s in segs], np.int32)))
+            segs = segments(text)
+            docs.append((np.array([number[w] for s in segs for w in s], np.int32), np.array([len(s) for s in segs], np.int32)))
             toxic.append(int(y))
     y = np.array(toxic, bool)
-    if not y.any() or y.all():  # one class or nothing to learn from: the base rate for every text
+    flat = Tagger(Crf(1), {}, np.zeros(4))
+    if not y.any() or y.all() or not len(number):  # one class or nothing to learn from: the base rate for every text
         rate = (y.sum() + 0.5) / (len(docs) + 1.0)
-        return Tagger({}, -20.0, np.zeros((2, 2)), np.array([math.log(rate / (1 - rate)), 0, 0, 0]))
+        flat.layer = np.array([math.log(rate / (1 - rate)), 0, 0, 0])
+        return flat
     bad, all_ = np.zeros(len(number)), np.zeros(len(number))
     for (w, _), t in zip(docs, y):
         once = np.unique(w)
@@ -162,28 +260,21 @@ def fit(rows, min_docs: int = 4, min_lift: float = 2.5, max_tokens: int = 400_00
     lift = (bad - all_ * rate) / np.sqrt(np.maximum(all_, 1) * rate * (1 - rate))
     lexicon = (bad >= min_docs) & (bad >= min_lift * rate * all_) & (lift > 5)
     known = lexicon | (all_ >= 20)
-    column = np.where(known, np.cumsum(known), 0)  # 0: a word too rare to have a weight
-    x, marks, lengths, used = [], [], [], [0, 0]
-    for (w, sizes), t in zip(docs, toxic):
-        for s in np.split(w, np.cumsum(sizes)[:-1]) if len(w) else []:
-            toxic_words = lexicon[s]
-            if toxic_words.any() or used[t] + len(s) <= max_tokens // 2:
-                used[t] += len(s)
-                x.append(column[s])
-                marks.append(toxic_words & bool(t))
-                lengths.append(len(s))
-    if x:
-        theta, trans = fit_crf(np.concatenate(x), np.concatenate(marks).astype(np.int64), np.array(lengths, np.int64), int(known.sum()) + 1)
-    else:
-        theta, trans = np.array([-20.0]), np.zeros((2, 2))
-    weight = theta[column]
-    emission = {w: float(weight[k]) for w, k in number.items() if known[k] and abs(weight[k] - theta[0]) > 1e-3}
-    tagger = Tagger(emission, float(theta[0]), trans, np.zeros(4))
-    seen = []
+    column = np.where(known, np.cumsum(known), 0).astype(np.int32)  # 0: a word too rare to have a weight
+    grams, sizes = trigrams(list(number))
+    batches, held = [], []
+    for k, ((w, n), t) in enumerate(zip(docs, toxic)):
+        held.append((w, lexicon[w] & bool(t), n))
+        if sum(len(h[0]) for h in held) >= BATCH or k == len(docs) - 1:
+            batches.append(tuple(np.concatenate([h[j] for h in held]) for j in range(3)))
+            held = []
+    batches = [b for b in batches if len(b[0])]
+    crf = fit_crf(batches, column, grams, sizes)
+    tagger = Tagger(crf, {w: int(column[k]) for w, k in number.items() if known[k]}, np.zeros(4))
+    words, seen = list(number), []
     for i in range(0, len(docs), 500):
         part = docs[i : i + 500]
-        marginals = tagger.by_text(weight[np.concatenate([w for w, _ in part])], np.concatenate([n for _, n in part]).astype(np.int64), [len(w) for w, _ in part])
-        seen += [tagger.summary(p) for p in marginals]
+        seen += [tagger.summary(p) for p in tagger.marginals([[[words[x] for x in s] for s in np.split(w, np.cumsum(n)[:-1])] if len(w) else [] for w, n in part])]
     tagger.layer = logistic(np.array(seen), y.astype(float), l2=0.1)
     return tagger
 
@@ -214,15 +305,14 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, threshold: float = 0.3, span
     """score, predicted and offending spans ([start, end) characters of the original text) of every row.
 
     Whole texts are tagged; null and empty texts get the score of a text without toxic words;
-    repeated rows and null ids are scored row by row; other columns pass through ``keep``.
+    repeated rows and null ids are scored row by row; other columns pass through ``keep``,
+    whatever their names; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(tagger)
     keep = [id_col] if keep is None else keep
 
     def spans(text: str, p: np.ndarray) -> list[dict]:
-        import re
-
         raw, out = text.encode(), []
         places = [m.span() for m in re.finditer(rb"[^ \n]+", raw.translate(SEGMENT_BYTES))]
         for k in np.flatnonzero(p >= span_threshold):
