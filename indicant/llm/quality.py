@@ -1,15 +1,19 @@
 """Quality by co-training.
 
 Two logistic classifiers see different views: the text's content (byte frequencies, words,
-lines) and the page's metadata (language, source, size).  Over some rounds each hands its
-most confident pseudo-labels on an unlabelled pool to the other.  Both are then calibrated
-on labelled rows that neither was fitted on, and the calibrated views are combined.
+lines) and the page's metadata (language, source, size).  They start from labelled rows.
+Over some rounds each hands the rows it is sure of, from the whole table, to the other as
+pseudo-labelled ones: a round is one pass that scores every row under both views and adds up
+the gradients of those rows, from which the driver takes a Newton step.  Both are then
+calibrated on labelled rows that neither was fitted on, and the calibrated views are combined.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +25,37 @@ from .toxicity import logistic, training_sample
 
 META = ("lang", "source", "n_chars")
 LANGS, SOURCES, SIZES = 16, 64, 24
+#: Buckets of a text's words.
+BUCKETS = 256
+CONTENT, METADATA = 256 + 5 + BUCKETS, LANGS + SOURCES + SIZES
+#: Gradients are added up as whole numbers of this unit, so that their order does not matter.
+UNIT = 1 << 20
+
+
+class Buckets(dict):
+    """Bucket of each word; bounded, words come again."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = k = zlib.crc32(word) % BUCKETS
+        return k
+
+
+BUCKET = Buckets()
 
 
 def content_view(text: str | None) -> np.ndarray:
     raw = (text or "").encode()
     n = len(raw)
-    w, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    w, lines = Counter(raw.lower().split()), [x for x in raw.split(b"\n") if x.strip()]
     freq = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(n, 1)
+    total = sum(w.values())
+    spread = np.bincount([BUCKET[x] for x in w], weights=list(w.values()), minlength=BUCKETS) if w else np.zeros(BUCKETS)
     return np.concatenate([
         np.log1p(1000 * freq) / 5,
-        [math.log1p(len(w)) / 10, n / (len(w) + 1) / 20, len(set(w)) / (len(w) + 1), len(set(lines)) / (len(lines) + 1), math.log1p(n / (len(lines) + 1)) / 10],
+        [math.log1p(total) / 10, n / (total + 1) / 20, len(w) / (total + 1), len(set(lines)) / (len(lines) + 1), math.log1p(n / (len(lines) + 1)) / 10],
+        np.sqrt(spread / max(total, 1)),
     ])
 
 
@@ -61,26 +86,45 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-z)) for z in (both, one, two))
 
 
-def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, aside: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 3, share: float = 0.1, sure: float = 0.95) -> CoTrained:
-    """Co-train on rows (x, y) that are not aside, with pseudo-labels on the pool; calibrate on those aside."""
+def sure_rows(views: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray], sure: float) -> list[tuple[int, int, int, np.ndarray]]:
+    """(view, label, rows, gradient of the view's likelihood) over the rows of which the other view is sure."""
+    p = [1 / (1 + np.exp(-margin(views[k], x[k]))) for k in (0, 1)]
+    out = []
+    for k in (0, 1):
+        for label in (0, 1):
+            rows = np.flatnonzero((p[1 - k] if label else 1 - p[1 - k]) >= sure)
+            left = label - p[k][rows]
+            out.append((k, label, len(rows), np.concatenate([[left.sum()], left @ x[k][rows]])))
+    return out
+
+
+def newton_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, pseudo: dict[int, tuple[int, np.ndarray]], weight: float, l2: float = 1.0) -> np.ndarray:
+    """w after a step on labelled rows and, for each label, pseudo-labelled ones of at most ``weight`` times as many."""
+    a = np.hstack([np.ones((len(x), 1)), x])
+    p = 1 / (1 + np.exp(-margin(w, x)))
+    gradient, mass = a.T @ (y - p) - l2 * w, float(len(y))
+    for label, (n, g) in pseudo.items():
+        if n:
+            most = min(float(n), weight * float((y == label).sum()))
+            gradient, mass = gradient + g * (most / n), mass + most
+    h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a * (mass / len(y)) + l2 * np.eye(len(w))
+    return w + np.linalg.solve(h, gradient)
+
+
+def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, aside: np.ndarray, pool: Callable, rounds: int = 2, weight: float = 0.5) -> CoTrained:
+    """Co-train on rows (x, y) that are not aside and on the pool; calibrate on those aside.
+
+    pool(views) gives {(view, label): (rows, gradient)} over all unlabelled rows.
+    """
     if len(y) == 0 or y.min() == y.max() or len(set(y[~aside])) < 2:  # nothing to tell apart: everything gets the base rate, good without labels
         rate = (y.sum() + 1.0) / (len(y) + 1.5)
         flat = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])
         return CoTrained(tuple(np.zeros(v.shape[1] + 1) for v in x), (np.zeros(2), np.zeros(2)), flat)
-    own = [([v[~aside]], [y[~aside]]) for v in x]
-    free = np.ones(len(pool[0]), bool)
-    prior = y[~aside].mean()
+    own, marks = tuple(v[~aside] for v in x), y[~aside]
+    views = tuple(logistic(v, marks, l2=1.0) for v in own)
     for _ in range(rounds):
-        fitted = [logistic(np.vstack(a), np.concatenate(b), l2=1.0) for a, b in own]
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-margin(fitted[k], pool[k])))
-            for label, part, conf in ((1, prior, p), (0, 1 - prior, 1 - p)):
-                rows = np.flatnonzero(free & (conf >= sure))
-                rows = rows[np.argsort(-conf[rows], kind="stable")[: int(share * part * len(free)) + 1]]
-                free[rows] = False
-                own[1 - k][0].append(pool[1 - k][rows])
-                own[1 - k][1].append(np.full(len(rows), float(label)))
-    views = tuple(logistic(np.vstack(a), np.concatenate(b), l2=1.0) for a, b in own)
+        found = pool(views)
+        views = tuple(newton_step(views[k], own[k], marks, {label: found[k, label] for label in (0, 1) if (k, label) in found}, weight) for k in (0, 1))
     test = aside if len(set(y[aside])) == 2 else np.ones(len(y), bool)
     scales = tuple(logistic(margin(views[k], x[k][test])[:, None], y[test], l2=1.0) for k in (0, 1))
     model = CoTrained(views, scales, np.zeros(3))
@@ -92,39 +136,67 @@ def stacked(rows: list[np.ndarray], width: int) -> np.ndarray:
     return np.array(rows) if rows else np.zeros((0, width))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_pool: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> CoTrained:
-    """Fit on bounded samples: max_rows labelled rows and max_pool others (parameters), drawn by a hash of the id.
+def with_meta(docs: DataFrame) -> DataFrame:
+    """docs with null metadata where a column is missing."""
+    return docs.withColumns({c: F.lit(None).cast("string") for c in META if c not in docs.columns})
+
+
+def pool_gradients(docs: DataFrame, known: set, views: tuple[np.ndarray, np.ndarray], sure: float, id_col: str, text_col: str) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """sure_rows() over all rows of docs whose id is not in known: one pass, of which a few sums a partition are left."""
+    shared = docs.sparkSession.sparkContext.broadcast((views, known))
+
+    def run(batches):
+        views, known = shared.value
+        total: dict[tuple[int, int], list] = {}
+        for b in batches:
+            free = [k for k, i in enumerate(b.column(0).to_pylist()) if i not in known]
+            b = b.take(pa.array(free, pa.int64()))
+            if b.num_rows:
+                x = stacked([content_view(t.as_py()) for t in b.column(1)], CONTENT), stacked([metadata_view(*m) for m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))], METADATA)
+                for k, label, n, g in sure_rows(views, x, sure):
+                    sums = total.setdefault((k, label), [0, np.zeros(len(g), np.int64)])
+                    sums[0] += n
+                    sums[1] += np.rint(g * UNIT).astype(np.int64)
+        for (k, label), (n, g) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([label], pa.int32()), pa.array([[n, *g.tolist()]], pa.list_(pa.int64()))], names=["view", "label", "sums"])
+
+    sums = docs.select(docs[id_col], docs[text_col], *[docs[c] for c in META]).mapInArrow(run, "view int, label int, sums array<long>")
+    rows = sums.select("view", "label", F.posexplode("sums").alias("at", "s")).groupBy("view", "label", "at").agg(F.sum("s").alias("s")).collect()  # a number a weight, however many rows
+    out = {}
+    for k, label in {(r.view, r.label) for r in rows}:
+        s = np.array([r.s for r in sorted((r for r in rows if (r.view, r.label) == (k, label)), key=lambda r: r["at"])], np.float64)
+        out[k, label] = int(s[0]), s[1:] / UNIT
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, rounds: int = 2, sure: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> CoTrained:
+    """Fit on a bounded sample of labelled rows (max_rows, a parameter, drawn by a hash of the id) and on all other rows of docs.
 
-    As for toxicity, labels of held-out rows are never learnt from.
+    As for toxicity, labels of held-out rows are never learnt from.  Null texts count as empty,
+    null or missing metadata as a value of its own; without labels of two classes every
+    document gets the base rate, good if there are none; an empty table trains that too.
     """
-    columns = [text_col, *META]
+    docs = with_meta(docs)
     y, views, names = [], ([], []), []
-    sample = training_sample(docs, labels, "quality", max_rows, id_col, columns)
+    sample = training_sample(docs, labels, "quality", max_rows, id_col, [text_col, *META])
     for r in sample.toLocalIterator():
         names.append(r[0])
         views[0].append(content_view(r[1]))
         views[1].append(metadata_view(*r[2:5]))
         y.append(float(r[5]))
-    total = docs.count()
-    cut = math.ceil(1_000_000 * min(1.0, max_pool / max(total, 1)))
-    some = docs.filter(F.pmod(F.xxhash64(docs[id_col], F.lit("pool")), F.lit(1_000_000)) < cut).select(id_col, *columns)
-    pool = ([], [])
-    known = set(names)
-    for r in some.toLocalIterator():
-        if r[0] not in known:
-            pool[0].append(content_view(r[1]))
-            pool[1].append(metadata_view(*r[2:5]))
-    width = len(content_view("")), LANGS + SOURCES + SIZES
     aside = np.array([zlib.crc32(f"aside {n}".encode()) % 4 == 0 for n in names], bool)
-    return fit(tuple(stacked(views[k], width[k]) for k in (0, 1)), np.array(y), aside, tuple(stacked(pool[k], width[k]) for k in (0, 1)))
+    pool = lambda w: pool_gradients(docs, set(names), w, sure, id_col, text_col)
+    return fit((stacked(views[0], CONTENT), stacked(views[1], METADATA)), np.array(y), aside, pool, rounds)
 
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """score, content_score, metadata_score and predicted (1: good) of every row.
 
-    Whole texts are read.  Null texts count as empty and null metadata as a value of their
-    own; repeated rows and null ids are scored row by row; an empty table gives no rows.
+    Whole texts are read.  Null texts count as empty and null or missing metadata as a value of
+    their own; repeated rows and null ids are scored row by row; other columns pass through
+    ``keep``, whatever their names; an empty table gives no rows.
     """
+    docs = with_meta(docs)
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     keep = [id_col] if keep is None else keep
@@ -133,8 +205,8 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5, tex
         model = shared.value
         for b in batches:
             meta = [b.column(f"__{c}").to_pylist() for c in META]
-            content = stacked([content_view(t.as_py()) for t in b.column("__text")], 261)
-            scores = model.scores(content, stacked([metadata_view(*m) for m in zip(*meta)], LANGS + SOURCES + SIZES)) if b.num_rows else (np.zeros(0),) * 3
+            content = stacked([content_view(t.as_py()) for t in b.column("__text")], CONTENT)
+            scores = model.scores(content, stacked([metadata_view(*m) for m in zip(*meta)], METADATA)) if b.num_rows else (np.zeros(0),) * 3
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(s, pa.float64()) for s in scores] + [pa.array((scores[0] >= threshold).astype(np.int32), pa.int32())], names=[*keep, "score", "content_score", "metadata_score", "predicted"])
 
     chosen = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"), *[docs[c].alias(f"__{c}") for c in META])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from indicant.llm import chat_format, quality, sentencepiece_codec, toxicity
 from indicant.llm.common import WORD_BYTES
 from indicant.llm.decontaminate import Automaton, decontaminate, normalised
-from indicant.llm.license_scan import TEMPLATES, scan_licenses
+from indicant.llm.license_scan import TEMPLATES, Template, scan_licenses
 from indicant.llm.near_dedup import near_duplicates
 from indicant.llm.queries import tokenizer
 from indicant.llm.token_counts import TokenCounter, count_tokens
@@ -62,6 +62,17 @@ def test_license_against_brute_force(spark):
         assert (got[k].n_words, got[k].n_base, got[k].first_word, got[k].last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
 
 
+def test_license_of_many_templates(spark):
+    """The expressions stay the same for hundreds of templates; single-word ones and ones whose anchors are one word included."""
+    rng = random.Random(9)
+    many = [*TEMPLATES, Template("one", "zlib"), Template("twice", "wtf wtf license")] + [Template(f"t{k}", " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(6)) + f" t{k}") for k in range(300)]
+    docs = [(k, " ".join(rng.choice([many[rng.randrange(len(many))].text, "zlib", "wtf", "license", "aa bb"]) for _ in range(6))) for k in range(60)]
+    for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), many).collect():
+        w = words(docs[r.doc_id][1])
+        expected = {t.label for t in many for i in range(len(w)) if i >= t.key_at[0] and w[i : i + t.key_at[1]] == t.words[t.key_at[0] : sum(t.key_at)]}
+        assert set(filter(None, r.labels.split(","))) == expected
+
+
 def test_license_hard_rows(hard, none):
     rows = scan_licenses(hard).collect()
     assert len(rows) == 11 and all(r.n_base == 0 and r.score == 0 for r in rows)
@@ -138,6 +149,20 @@ def test_token_counts_equal_the_library(spark, hard, none):
     assert count_tokens(none, path).count() == 0
 
 
+def test_token_counts_of_every_script_and_a_whole_table(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    whole, counter, rng = Tokenizer.from_file(path), TokenCounter(path), random.Random(3)
+    texts = ["日本語とэто ไทย 한국어", "नमस्ते दुनिया १२३", "שלום עולם", "Tiếng Việt™ 🙂🙃 x", "½ ² Ⅷ 𝔘𝔫𝔦 𐍈 \u3000\u2028 '’s"]
+    blocks = (range(0x80), range(0x80, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x110000), (32, 39, 10, 0x1F600))
+    texts += ["".join(chr(rng.choice(rng.choice(blocks))) for _ in range(30)) for _ in range(400)]
+    assert [counter.count(t) for t in texts] == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, path).collect()}
+    assert got == {r.doc_id: len(whole.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+
+
 def test_token_counts_other_tokenizer():
     from tokenizers import Tokenizer
 
@@ -190,6 +215,58 @@ def test_sentencepiece_draws_follow_the_lattice():
         assert abs(counts.get(way, 0) / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 1e-3
 
 
+LONG_TEXTS = ["日本語のテキストを使って長い文を作ります。" * 40, "a" * 9000, "x=ab/cd" * 900, "สวัสดีชาวโลก" * 50, " " * 500 + "b", "🙂🙃" * 100, "a  b   c " * 50, "\n \n  x\n"]
+
+
+def test_sentencepiece_long_runs_are_lossless_and_whole():
+    v = sentencepiece_codec.Vocabulary(tokenizer(MODEL), 1.0)
+    sampler, decoder = sentencepiece_codec.Sampler(v), sentencepiece_codec.Decoder(v.text)
+    keys = sentencepiece_codec.seeds(list(range(len(LONG_TEXTS))), 0)
+    together = sampler.encode(LONG_TEXTS, keys)
+    for k, text in enumerate(LONG_TEXTS):
+        assert decoder.decode(together[k]) == text and "".join(sampler.units_of(text)) == " " + text
+        assert sentencepiece_codec.Sampler(v).encode([text], keys[k : k + 1]) == [together[k]]
+
+
+def test_sentencepiece_cuts_only_where_no_piece_crosses():
+    v = sentencepiece_codec.Vocabulary(tokenizer(MODEL), 1.0)
+    sampler = sentencepiece_codec.Sampler(v)
+    for run in (t.split("\n")[0] for t in ("日本語のテキスト" * 12, "x=ab/cd" * 30, "Привет-мир" * 20, "thequickbrown" * 9)):
+        at, borders = 0, set()
+        for u in sampler.free_units(run):
+            at += len(u)
+            borders.add(at)
+        crossed = {b for i in range(len(run)) for j in range(i + 2, min(len(run), i + v.longest) + 1) if run[i:j] in v.weight for b in range(i + 1, j)}
+        assert borders == set(range(1, len(run) + 1)) - crossed
+
+
+def test_sentencepiece_long_units_are_drawn_as_short_ones(monkeypatch):
+    """Shares of the segmentations of one unit, block by block and all at once, against the lattice's weights."""
+    v, n, word = sentencepiece_codec.Vocabulary(tokenizer(MODEL), 0.3), 6000, "theathers"
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 4)
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", 4)
+    monkeypatch.setattr(sentencepiece_codec, "RUN", 5)
+    sampler, counts = sentencepiece_codec.Sampler(v), {}
+    assert sampler.units_of(word) == [" " + word]
+    for d in sampler.encode([word] * n, sentencepiece_codec.seeds(list(range(n)), 1)):
+        counts[d] = counts.get(d, 0) + 1
+    ways = {}
+
+    def walk(at, ids, p):
+        if at == len(word) + 1:
+            ways[np.array(ids, "<u2").tobytes()] = p
+        for end in range(at + 1, len(word) + 2):
+            w, i = v.weight.get((" " + word)[at:end], (0, 0))
+            if w:
+                walk(end, [*ids, i], p * w)
+
+    walk(0, [], 1.0)
+    total = sum(ways.values())
+    assert len(ways) > 20 and set(counts) <= set(ways)
+    for way, p in ways.items():
+        assert abs(counts.get(way, 0) / n - p / total) < 5 * (p / total / n) ** 0.5 + 2e-3
+
+
 def labelled(n=600, seed=3):
     rng = random.Random(seed)
     plain, bad = [f"w{k}" for k in range(40)], ["fool", "scum", "trash"]
@@ -221,20 +298,59 @@ def toxicity_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def test_crf_marginals_equal_enumeration():
-    rng = np.random.default_rng(1)
-    trans, length = rng.normal(size=(2, 2)), 6
-    words_ = [b"%d" % k for k in range(length)]
-    emission = {w: float(x) for w, x in zip(words_, rng.normal(size=length))}
-    got = toxicity.Tagger(emission, 0.0, trans, np.zeros(4)).marginals([[words_]])[0]
-    weights = np.zeros(length)
-    total = 0.0
-    for code in range(2**length):
-        y = [(code >> k) & 1 for k in range(length)]
-        p = np.exp(sum(emission[w] for w, l in zip(words_, y) if l) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+def random_crf(rng, columns=5):
+    crf = toxicity.Crf(columns + 1)
+    for part in ("own", "before", "after", "gram", "bias", "trans"):
+        setattr(crf, part, rng.normal(size=getattr(crf, part).shape))
+    crf.before[-1] = crf.after[-1] = 0.0  # no neighbour
+    return crf
+
+
+def by_enumeration(tagger, sentence):
+    """Marginals of one sentence from all its labellings."""
+    crf, n = tagger.crf, len(sentence)
+    column = [tagger.column.get(w, 0) for w in sentence]
+    score = []
+    for k, w in enumerate(sentence):
+        grams, _ = toxicity.trigrams([w])
+        score.append(crf.bias[0] + crf.own[column[k]] + crf.gram[grams].mean() + (crf.before[column[k - 1]] if k else 0) + (crf.after[column[k + 1]] if k + 1 < n else 0))
+    total, weights = 0.0, np.zeros(n)
+    for code in range(2**n):
+        y = [(code >> k) & 1 for k in range(n)]
+        p = np.exp(sum(x for x, l in zip(score, y) if l) + sum(crf.trans[a, b] for a, b in zip(y, y[1:])))
         total += p
         weights += p * np.array(y)
-    assert np.allclose(got, weights / total)
+    return weights / total
+
+
+@pytest.mark.parametrize("wide", [1, 4, 2048])
+def test_crf_marginals_equal_enumeration(monkeypatch, wide):
+    """Also of sentences that are stepped through one by one, and of words that the fit never met."""
+    monkeypatch.setattr(toxicity, "WIDE", wide)
+    rng = np.random.default_rng(1)
+    tagger = toxicity.Tagger(random_crf(rng), {b"%d" % k: k + 1 for k in range(5)}, rng.normal(size=4))
+    texts = [[[b"%d" % k for k in rng.integers(0, 7, n)] for n in sizes] for sizes in ((6,), (1, 9, 3), (), (2,))]
+    got = tagger.marginals(texts)
+    for t, p in zip(texts, got):
+        assert np.allclose(p, np.concatenate([by_enumeration(tagger, s) for s in t]) if t else np.zeros(0))
+    x = np.array([[1.0, *tagger.summary(p)] for p in got])
+    assert np.allclose(tagger.scores(got), 1 / (1 + np.exp(-x @ tagger.layer)))
+
+
+def test_trigrams_of_words_side_by_side():
+    words_ = [b"a", "öl".encode(), b"abcd", b"a"]
+    grams, sizes = toxicity.trigrams(words_)
+    alone = [toxicity.trigrams([w])[0].tolist() for w in words_]
+    assert sizes.tolist() == [1, 3, 4, 1] and grams.tolist() == [g for x in alone for g in x] and alone[0] == alone[3]
+
+
+def test_toxicity_of_words_out_of_the_sample():
+    """Spellings that no label showed are found by their trigrams."""
+    rng = random.Random(7)
+    rows = [(f"{' '.join(rng.choice('abcdefgh') * 3 for _ in range(20))} {'stinkface' + str(k % 40) if k % 4 == 0 else 'daisy' + str(k % 40)} end.", int(k % 4 == 0)) for k in range(800)]
+    tagger = toxicity.fit(iter(rows))
+    scores = tagger.scores(tagger.marginals([toxicity.segments(t) for t in ("aaa bbb stinkface77 end.", "aaa bbb daisy77 end.")]))
+    assert scores[0] > 0.3 > scores[1]
 
 
 def test_toxicity_hard_rows(spark, hard, none):
@@ -261,6 +377,50 @@ def test_quality_views_agree_on_junk(spark):
     assert all(0 <= x <= 1 for r in scored for x in (r.score, r.content_score, r.metadata_score))
 
 
+def test_quality_rounds_equal_brute_force(spark):
+    """train() takes the rounds that plain loops over all rows would take, without a cap on the pool."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "##", "=="][: 4 if k % 3 else 6]) for _ in range(rng.randint(5, 60))), rng.choice(["en", "de", None]), f"s{rng.randint(0, 3) if k % 3 else 9}", rng.randint(0, 900)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 900, 2)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sure=0.6)
+    known = [k for k in range(0, 900, 2) if not toxicity_held_out(k)]
+    views = tuple(np.array(v) for v in zip(*[(quality.content_view(r[1]), quality.metadata_view(*r[2:])) for r in rows]))
+    views = np.stack(views[0]), np.stack(views[1])
+    y = np.array([float(k % 3 > 0) for k in range(900)])
+    aside = np.array([__import__("zlib").crc32(f"aside {k}".encode()) % 4 == 0 for k in range(900)])
+    train = np.array([k in set(known) for k in range(900)])
+    rounds = []
+
+    def brute_pool(weights):
+        out = {}
+        for view in (0, 1):
+            for label in (0, 1):
+                n, g = 0, 0.0
+                for k in np.flatnonzero(~train):
+                    p = [1 / (1 + np.exp(-quality.margin(weights[v], views[v][k][None])[0])) for v in (0, 1)]
+                    if (p[1 - view] if label else 1 - p[1 - view]) >= 0.6:
+                        n, g = n + 1, g + (label - p[view]) * np.concatenate([[1.0], views[view][k]])
+                if n:
+                    out[view, label] = n, g
+        rounds.append({k: v[0] for k, v in out.items()})
+        return out
+
+    brute = quality.fit((views[0][train], views[1][train]), y[train], aside[train], brute_pool)
+    assert len(rounds) == 2 and min(rounds[0].values()) > 20
+    for k in (0, 1):
+        assert np.allclose(model.views[k], brute.views[k], atol=1e-4)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert np.allclose([got[k] for k in range(900)], brute.scores(*views)[0], atol=1e-4)
+
+
+def test_quality_without_metadata_columns(spark):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "## == ##", 1.5) for k in range(80)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    rows = quality.score_quality(docs, quality.train(docs, labels)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in rows) == 80
+
+
 def test_quality_hard_rows(spark, hard, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id long, quality int")
     for docs, n in ((hard, 11), (none, 0)):
@@ -283,6 +443,26 @@ def test_chat_folds_events(spark):
     assert chat_format.read_back(chat_format.format_messages(messages.limit(0))).count() == 0
 
 
+def test_chat_events_fold_back_to_the_turns(spark):
+    """Streamed, regenerated and edited turns of a log, one conversation with most of it, come out as they were."""
+    rows = [(7, t, "assistant" if t % 2 else "user", f"<|im_end|> text {t} ü🙂") for t in range(3000)] + [(8, 0, "user", None), (8, 0, "user", None), (8, 1, None, "x"), (None, None, "assistant", "y"), (-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (9, 1, "assistant", "b"), (9, 1, "assistant", "a"), (9, 0, "system", "")]
+    table = spark.createDataFrame([(*r, 1, "f") for r in rows], "conv_id long, turn long, role string, text string, seq long, formatted string").repartition(4)
+    events = chat_format.events_of(table)
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    messages = chat_format.fold(events)
+    order = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in (r[0], r[1])) + (r[2] or "", r[3] or "")
+    expected = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=order)
+    assert sorted(((m.conv_id, m.turn, m.role, m.text) for m in messages.collect()), key=order) == expected
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_messages(messages)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = [e for e in expected if e[0] == conv]
+        loss = "".join(x for _, _, r, x in own if r == "assistant")
+        assert (back[conv].n_turns, back[conv].loss_chars) == (len(own), len(loss))
+        assert back[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in own).encode()).hexdigest()
+        assert back[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat_format.fold(chat_format.events_of(table.limit(0))).count() == 0
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|im_end|>", "<\\\\|<|\\|", "<", "|>", "", "<|im_start|>assistant\nok<|im_end|>\n", "<<|<\\<|"])
 def test_chat_escape_round_trip(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
