@@ -7,13 +7,14 @@
    common prefix of BASE_DEPTH values make a region.  Regions up to REGION rows are
    compared in full; larger ones go deeper, value by value, until they fall apart, and on
    the way every row is compared with the region's most central rows (hubs) and its next
-   neighbours.  Candidates stay linear in the rows: a group of n near copies never makes
-   n x n pairs.
+   neighbours, which joins a group of near copies without n x n pairs.  A region that holds
+   much of the table is dealt to several tasks.
 3. Candidates are confirmed on full sets in two rounds: first each document's likeliest
    partners, then all candidates that still join different components.
-4. Larger regions that share rows make clusters.  Clusters that are not one component by
-   then are compared in full on their sets, block against block, apart from pairs of one
-   component; a task of two blocks returns only links that join what was apart.
+4. Hubs and neighbours are only the short way.  Larger regions that share rows make clusters,
+   and clusters that are not one component by then are compared in full on their sets, block
+   against block, apart from pairs of one component; a task of two blocks returns only links
+   that join what was apart.  So a link is missed only where two documents share no region.
 5. Components spread by smallest id with pointer jumping, in tables of the shared folder.
 """
 
@@ -34,9 +35,11 @@ TREES, BASE_DEPTH, DEPTH = 24, 2, 8
 REGION, HUBS, CHUNK = 48, 4, 4096
 #: Rows and shingles of a block, by expectation; columns of a matrix product.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
-#: Estimated similarity from which a candidate is confirmed: more than four standard errors of the sketch below 0.75.
-LIKELY = 0.55
+#: Estimated similarity from which a candidate is confirmed: 7.6 standard errors of the sketch below 0.75.
+LIKELY = 0.40
 SALTS = 8
+#: Rows of a region from which it is dealt to several tasks, at least; never under a thousandth of all rows, so that few regions are.
+HOT, SAMPLED = 200_000, 64
 BLOCK_WORDS = 1 << 17
 
 _rng = np.random.default_rng(20240101)
@@ -189,21 +192,37 @@ class Regions:
         return hubs
 
 
-def candidates(forest: DataFrame) -> DataFrame:
+def hot_regions(classes: DataFrame) -> DataFrame:
+    """(tree, key, parts, centre) of regions with very many rows, found in one row of SAMPLED; only the way of dealing hangs on it.
+
+    At most TREES x 1000 of them: a region counts from a thousandth of all rows on.
+    """
+    least = max(HOT, classes.count() // 1000)
+    some = orders(classes.filter(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(SAMPLED)) == 0))
+    counted = some.groupBy("tree", "key").agg((F.count("*") * SAMPLED).alias("n"), F.min("id").alias("centre"))
+    return counted.filter(F.col("n") >= least).select("tree", "key", F.ceil(F.col("n") / (least / 2)).alias("parts"), "centre")
+
+
+def candidates(forest: DataFrame, hot: DataFrame) -> DataFrame:
     """Distinct pairs (a < b): candidates with their estimated similarity s, and stars (large) around the smallest id of each region over REGION, where s may be -1."""
-    dealt = forest.repartition("tree", "key").sortWithinPartitions("tree", "key", "row", "id")
+    parted = forest.join(F.broadcast(hot), ["tree", "key"], "left").select("tree", "key", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), "parts")).otherwise(0).alias("part"), "id", "row", F.coalesce("centre", "id").alias("centre"))
+    dealt = parted.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part", "row", "id")
     wide = 2 * (DEPTH - BASE_DEPTH)
 
-    def pairs(key, ids, rows, hubs, centre):
-        """Candidates of whole regions, or of one part of a large region and the hubs and the smallest id of its earlier parts."""
+    def pairs(key, ids, rows, centres, hubs, first):
+        """Candidates of whole regions, or of one stretch of a large region and the hubs and the smallest id of its earlier ones.
+
+        centres: of rows of a region dealt to several tasks one common row, of others the row itself.
+        """
         walk = Regions(np.ascontiguousarray(rows[:, :wide]).view(np.uint16), np.ascontiguousarray(rows[:, wide:]).view(np.uint64))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(cut, len(key)))
         some = (sizes > 1) & (sizes <= REGION)
         walk.small(cut[some], sizes[some])
-        last = None
+        last, middle = None, {}
         for c, n in zip(cut[sizes > REGION], sizes[sizes > REGION]):
             last = (int(c), walk.large(int(c), int(n)))
+            middle[last[0]] = last[1]
         out = [(ids[i], ids[j], s) for i, j, s in walk.found]
         for hub, sketch in hubs:
             s = alike(walk.sketch[: sizes[0]], sketch[None, :])
@@ -213,6 +232,11 @@ def candidates(forest: DataFrame) -> DataFrame:
             own = [(ids[h], walk.sketch[h]) for h in last[1]]
         else:
             own = []
+        given = np.flatnonzero(centres != ids)
+        shared = dict(zip(cut[np.searchsorted(cut, given, side="right") - 1].tolist(), centres[given].tolist()))
+        for c, centre in shared.items():  # the central rows of each part and the common row are candidates too
+            h = ids[middle.get(c, [c])]
+            out.append((h, np.full(len(h), centre), np.full(len(h), LIKELY)))
         a, b, s = (np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in range(3))
         low, high = np.minimum(a, b), np.maximum(a, b)
         keep = low != high
@@ -220,36 +244,38 @@ def candidates(forest: DataFrame) -> DataFrame:
         keep = once[keep[once]]
         stars = [(low[keep].astype(np.int64), high[keep].astype(np.int64))]
         for c, n in zip(cut, sizes):
-            if n > REGION or c == 0 and centre is not None:
-                part = ids[c : c + n] if c or centre is None else np.append(ids[:n], centre)
+            if n > REGION or c in shared or c == 0 and first is not None:
+                part = ids[c : c + n] if c or first is None else np.append(ids[:n], first)
                 least = part.min()
                 others = part[part != least]
                 stars.append((np.full(len(others), least), others))
+                if c in shared and shared[c] != least:
+                    stars.append((np.array([min(least, shared[c])]), np.array([max(least, shared[c])])))
         a, b = (np.concatenate([x[k] for x in stars]) for k in range(2))
         s = np.concatenate([s[keep].astype(np.float64), np.full(len(a) - len(keep), -1.0)])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.arange(len(a)) >= len(keep))], names=["a", "b", "s", "large"]), own
 
     def run(batches):
-        held, hubs, centre = None, [], None
+        held, hubs, first = None, [], None
         for b in batches:
             tree = b.column(0).to_numpy().astype(np.int64)
-            new = np.stack([tree, b.column(1).to_numpy()], axis=1), b.column(2).to_numpy(), fixed(b.column(3), wide + SIGNATURE // 4)
+            new = np.stack([tree, b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1), b.column(3).to_numpy(), fixed(b.column(4), wide + SIGNATURE // 4), b.column(5).to_numpy()
             held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
             while len(held[1]) > CHUNK:
                 key = held[0]
                 change = np.flatnonzero((key[1 : CHUNK + 1] != key[:CHUNK]).any(axis=1))
-                whole = len(change) > 0  # the part ends where a region does, if one ends in it
+                whole = len(change) > 0  # the stretch ends where a region does, if one ends in it
                 n = int(change[-1]) + 1 if whole else CHUNK
                 code = np.cumsum(np.concatenate([[0], (key[1:n] != key[: n - 1]).any(axis=1)]))
-                out, own = pairs(code, held[1][:n], held[2][:n], hubs, centre)
-                hubs = [] if whole else (hubs + own)[: 4 * HUBS]
-                centre = None if whole else min(held[1][:n].min(), held[1][0] if centre is None else centre)
+                out, own = pairs(code, *(x[:n] for x in held[1:]), hubs, first)
+                hubs = [] if whole else (hubs + own)[: 4 * HUBS]  # a short way only: the region is compared in full later
+                first = None if whole else min(held[1][:n].min(), held[1][0] if first is None else first)
                 held = tuple(x[n:] for x in held)
                 if out.num_rows:
                     yield out
         if held is not None and len(held[1]):
             code = np.cumsum(np.concatenate([[0], (held[0][1:] != held[0][:-1]).any(axis=1)]))
-            out, _ = pairs(code, held[1], held[2], hubs, centre)
+            out, _ = pairs(code, *held[1:], hubs, first)
             if out.num_rows:
                 yield out
 
@@ -412,7 +438,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     prints = stored(fingerprints(docs, id_col, text_col), where, "prints")
     known = prints.filter("n > 0 AND id IS NOT NULL")
     classes = stored(known.groupBy("digest").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies")), where, "classes")
-    near = stored(candidates(orders(classes)), where, "pairs")
+    near = stored(candidates(orders(classes), hot_regions(classes)), where, "pairs")
 
     nodes = near.select(F.explode(F.array("a", "b")).alias("__node")).distinct().hint("merge")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(nodes, F.col("id") == F.col("__node"), "left_semi")
@@ -447,4 +473,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     rows = prints.select("id", "n", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = rows.join(salted, (rows.digest == salted.d) & (rows.salt == salted.s) & rows.id.isNotNull(), "left")
     component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+    result = joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+    kept = stored(result, f"{where}-result", "near_duplicates")
+    drop_stored(spark, where)  # only the small result stays, for the cluster's cleaner
+    return kept

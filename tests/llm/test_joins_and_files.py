@@ -106,6 +106,45 @@ def test_links_in_a_large_region_are_found(spark, monkeypatch):
     assert label == {k: k for k, _ in docs} | {b: a for a, b in found}
 
 
+def headed(n=20_000, pairs=5_000, seed=11):
+    """Texts with a common head of 60 words and a tail of their own of 15, of which some have a partner at a similarity of 0.753."""
+    rng = random.Random(seed)
+    head = [f"head{k}" for k in range(60)]
+    tail = lambda d: [f"t{d}x{k}" for k in range(15)]
+    docs = [head + tail(d) for d in range(n - pairs)]
+    partners = {}
+    for d in range(pairs):
+        w = tail(d)
+        partners[len(docs)] = d
+        docs.append(head + w[:5] + [f"p{d}x{k}" for k in range(10)])
+    order = list(range(n))
+    rng.shuffle(order)
+    return [(k, " ".join(docs[k])) for k in order], partners
+
+
+def test_no_link_is_lost_under_a_common_head(spark):
+    docs, partners = headed()
+    text = dict(docs)
+    sets = {k: shingle_set(text[k]) for k in (0, 1, 15_000, 15_001)}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.75 <= like(0, 15_000) < 0.76 and like(0, 1) < 0.75 and like(1, 15_000) < 0.75
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {k: partners.get(k, k) for k, _ in docs}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_regions_dealt_to_several_tasks(spark, monkeypatch, seed):
+    """With a lower mark for regions that are dealt out, the result stays that of brute force."""
+    monkeypatch.setattr(near_dedup, "HOT", 60)
+    monkeypatch.setattr(near_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    docs = copies(seed, groups=6, most=200)
+    classes = near_dedup.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").select("id", "sig")
+    assert near_dedup.hot_regions(classes).count() > 0
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(docs)
+
+
 def test_intersections_of_blocks():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.choice(rng.choice([50, 3000]), 60).astype(np.uint64)) for _ in range(90)]
@@ -191,6 +230,59 @@ def test_warc_filters_payloads_and_other_readers(spark):
     assert raw.count(b"WARC/1.1\r\n") == len(rows)
 
 
+def foreign(tmp_path, http):
+    """Records as other tools write them, in a plain file, a gzip member a record, and one gzip member for all."""
+    def rec(kind, uri, body, wrapped=True):
+        head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Target-URI: {uri}\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nX-Long: a\r\n b\r\nContent-Type: {'application/http; msgtype=response' if wrapped else 'text/plain'}\r\n"
+        block = (http if wrapped else b"") + body
+        return f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    rng = random.Random(4)
+    bodies = [b"", b"x", b"\r\n\r\nWARC/1.0\r\n", rng.randbytes(300_000), b"a" * 5_000_000, "ü".encode() * 700]
+    records = [rec("warcinfo", "info", b"software: other", False)] + [rec("response", f"http://{k}/", b) for k, b in enumerate(bodies)] + [rec("conversion", "c", b"plain text", False), rec("revisit", "r", b"")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "sub" / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "ignored.txt").write_text("no archive")
+    return bodies
+
+
+def test_warc_reads_the_archives_of_other_tools(spark, tmp_path):
+    bodies = foreign(tmp_path, b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n")
+    read = warc.read_warc(spark, str(tmp_path), verify=True)
+    rows = read.collect()
+    assert len(rows) == 3 * (len(bodies) + 3)
+    for k, body in enumerate(bodies):
+        own = [r for r in rows if r.target_uri == f"http://{k}/"]
+        assert len(own) == 3 and all(bytes(r.payload) == body and r.payload_digest == hashlib.sha1(body).hexdigest() and r.headers["x-long"] == "a b" for r in own)
+    assert [bytes(r.payload) for r in read.filter("record_type = 'conversion'").collect()] == [b"plain text"] * 3
+    assert read.filter("record_type = 'revisit' AND payload IS NULL AND page_id IS NULL").count() == 3
+    skipped = warc.read_warc(spark, str(tmp_path), payload=False)
+    assert skipped.filter("target_uri = 'r'").count() == 3 and skipped.filter("payload IS NOT NULL").count() == 0
+    assert warc.read_warc(spark, str(tmp_path / "a.warc")).count() == len(bodies) + 3
+
+
+def test_warc_faults_are_not_read_as_empty(spark, tmp_path):
+    with pytest.raises(Exception, match="no .warc"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n" * 500)[:-30])
+    with pytest.raises(Exception, match="gzip member"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_warc_splits_of_large_files(spark, monkeypatch, tmp_path):
+    rows = [(k, f"http://{k}/", str(random.Random(k).randbytes(3000))) for k in range(60)]
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 20_000)
+    where = shared_dir(spark)
+    batches = spark.createDataFrame([(*r, "d", len(r[2]), None) for r in rows], "page_id long, url string, html string, digest string, size long, refers_to long").coalesce(1)
+    warc.write_warc(batches, where)
+    parts = warc.archives(*warc.filesystem(where))
+    assert len(parts) >= len({p.path for p in parts})
+    got = warc.read_warc(spark, where).select("page_id", F.col("payload").cast("string").alias("p")).collect()
+    assert sorted((r.page_id, r.p) for r in got) == sorted((k, h) for k, _, h in rows)
+
+
 def test_warc_filters_are_settled_by_the_reader():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
