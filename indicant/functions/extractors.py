@@ -39,13 +39,17 @@ def mapped(values: Column, change: Callable[[Column], Column], on: bool = True)
     return F.array_distinct(F.transform(values, change)) if on else values
 
 
-def domains(c: Column, defang: bool = True) -> Column:
-    """Domains of the text and of its URLs that are valid."""
-    from_urls = F.transform(found(c, "urls"), lambda u: T.without_port(T.url_host(F.replace(F.replace(u, F.lit("[.]"), F.lit(".")), F.lit("hxxp"), F.lit("http")))))
+def domains_of(c: Column, found_urls: Column, defang: bool = True) -> Column:
+    """Domains of the text and of its URLs, as found, that are valid."""
+    from_urls = F.transform(found_urls, lambda u: T.without_port(T.url_host(F.replace(F.replace(u, F.lit("[.]"), F.lit(".")), F.lit("hxxp"), F.lit("http")))))
     every = F.array_union(F.transform(found(c, "domains"), T.plain_dots), F.transform(from_urls, T.plain_dots))
     return mapped(F.filter(every, T.is_valid_domain), T.defang_dotted, defang)
 
 
+def domains(c: Column, defang: bool = True) -> Column:
+    return domains_of(c, found(c, "urls"), defang)
+
+
 def hosts_of(c: Column, found_domains: Column) -> Column:
     """Hosts among domains as extract gives them, and UNC machine names."""
     parts = lambda d: F.forall(F.split(d, r"\."), lambda p: p != "")
@@ -63,8 +67,12 @@ def ips(c: Column, defang: bool = True) -> Column:
     return mapped(F.array_distinct(F.filter(clean, T.is_valid_ipv4)), T.defang_dotted, defang)
 
 
+def urls_of(found_urls: Column, defang: bool = True) -> Column:
+    return mapped(F.filter(found_urls, T.is_kept_url), T.defang_url, defang)
+
+
 def urls(c: Column, defang: bool = True) -> Column:
-    return mapped(F.filter(found(c, "urls"), T.is_kept_url), T.defang_url, defang)
+    return urls_of(found(c, "urls"), defang)
 
 
 def emails(c: Column, defang: bool = True) -> Column:

@@ -30,7 +30,7 @@ PATTERNS = {
     "domains": Pattern(
         r"\b((?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,63})\b"
         r"|\b((?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(?:\[\.\]|\(\.\)|\{\.\}|\.)){1,}[a-zA-Z]{2,63})\b",
-        (1, 2), r"[.\])}][a-zA-Z]{2}",
+        gate=r"[.\])}][a-zA-Z]{2}",
     ),
     "ips": Pattern(r"(?U)\b\d{1,3}(?:[\[\(\{]?\.[\]\)\}]?\d{1,3}){3}\b", gate=r"\.[\])}]?[0-9]"),
     "ipv6": Pattern(

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extractors import EXTRACTORS, hosts_of
+from ..functions.extractors import EXTRACTORS, domains_of, found, hosts_of, urls_of
 
 
 def indicator_columns(df: DataFrame, text_col: str = "text", types: list[str] | None = None, defang: bool = True) -> DataFrame:
-    """df with an array column for every type.  Domains are found once and shared with hosts."""
+    """df with an array column for every type.  URLs are found once and shared with domains, these with hosts."""
     types = list(EXTRACTORS) if types is None else types
     unknown = set(types) - set(EXTRACTORS)
     if unknown:
         raise ValueError(f"unknown indicator types: {sorted(unknown)}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    shared = "hosts" in types and "domains" in types
-    first = df.withColumns({f"__{t}": EXTRACTORS[t](text, defang) for t in types if not (shared and t == "hosts")})
+    own = {t: EXTRACTORS[t](text, defang) for t in types}
+    if {"domains", "urls"} <= own.keys():  # both look at the URLs of the text
+        df = df.withColumn("__found", found(text, "urls"))
+        own |= {"domains": domains_of(text, F.col("__found"), defang), "urls": urls_of(F.col("__found"), defang)}
+    shared = {"hosts", "domains"} <= own.keys()
+    first = df.withColumns({f"__{t}": c for t, c in own.items() if not (shared and t == "hosts")})
     return first.withColumn("__hosts", hosts_of(text, F.col("__domains"))) if shared else first
 
 
