@@ -8,20 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import lists
 from . import text as T
-from .patterns import PATTERNS, Pattern
+from .patterns import PATTERNS, Pattern, portable
 
 NONE = "array<string>"
 
 
+def java_version() -> int:
+    """Java's feature release in the running session."""
+    return int(SparkSession.active()._jvm.java.lang.System.getProperty("java.specification.version").rpartition(".")[2])
+
+
 def found(c: Column, pattern: str | Pattern) -> Column:
     """Distinct non-empty values of a pattern: of each match, the first group that took part."""
     p = PATTERNS[pattern] if isinstance(pattern, str) else pattern
-    every = [F.regexp_extract_all(c, F.lit(p.regex), F.lit(g)) for g in p.groups]
+    every = [F.regexp_extract_all(c, F.lit(portable(p.regex, java_version())), F.lit(g)) for g in p.groups]
     one = every[0] if len(every) == 1 else F.zip_with(*every, lambda a, b: F.when(a != "", a).otherwise(b))
     kept = F.array_distinct(F.filter(one, lambda v: v != ""))
     return F.when(c.rlike(p.gate), kept).otherwise(F.array().cast(NONE)) if p.gate else kept

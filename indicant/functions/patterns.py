@@ -1,8 +1,9 @@
 r"""Search patterns of the indicator types.
 
-Each pattern runs on java.util.regex: (?U) where \b, \w, \d or \s have to know Unicode, (?d)
+Each pattern runs on java.util.regex: (?U) where \w, \d or \s have to know Unicode, (?d)
 where $ must match before a final line feed only, possessive loops where backtracking could
-exhaust the stack without changing what matches.
+exhaust the stack without changing what matches.  \b has to know Unicode everywhere: up to Java
+18 it does by itself, from 19 on only under (?U), which ``portable`` adds there.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ class Pattern:
     gate: str = ""  # what every match contains, as a cheap regular expression
 
 
+def portable(regex: str, java: int) -> str:
+    """The pattern for a Java version."""
+    return f"(?U){regex}" if java >= 19 and r"\b" in regex else regex
+
+
 #: One gate for all hashes: planned once and shared.  Gates start with something rare, so that a scan passes over most places at once.
 HEX_RUN = "[a-fA-F0-9]{32}"
 

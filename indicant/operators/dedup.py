@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["ioc_type", "value"]
 
 
 def ordered_distinct(iocs: DataFrame, pos_col: str = "pos", keys: list[str] | None = None) -> DataFrame:
-    """First occurrence by position of each (type, value); attribute maps count by their sorted entries."""
+    """First occurrence by position of each (type, value); attribute maps count by their sorted entries.
+
+    A minimum by key, so rows are combined before they are shuffled.
+    """
     by = [*(keys or []), *KEY]
-    part = [F.to_json(F.sort_array(F.map_entries(c))) if dict(iocs.dtypes)[c].startswith("map") else F.col(c) for c in [*by, *(["attrs"] if "attrs" in iocs.columns else [])]]
-    first = Window.partitionBy(*part).orderBy(pos_col)
-    return iocs.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    maps = {c for c, t in iocs.dtypes if t.startswith("map")}
+    plain = lambda c: F.to_json(F.sort_array(F.map_entries(c))) if c in maps else F.col(c)
+    rest = [c for c in iocs.columns if c not in by or c in maps]
+    order = F.struct(pos_col, *[plain(c).alias(f"__o{k}") for k, c in enumerate(rest) if c != pos_col])
+    part = {f"__k{k}": plain(c) for k, c in enumerate([*by, *(["attrs"] if "attrs" in iocs.columns else [])])}
+    first = iocs.withColumns(part).groupBy(*part).agg(F.min_by(F.struct(*iocs.columns), order).alias("__f"))
+    return first.select("__f.*")
 
 
 def unseen(new: DataFrame, seen: DataFrame, keys: list[str] | None = None) -> DataFrame:

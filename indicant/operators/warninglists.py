@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from ..functions.extractors import EXTRACTORS
 
 SCHEMA = "list_id string, name string, description string, type string, matching_attributes array<string>, list array<string>"
 TYPES = [*EXTRACTORS, "imphash"]
-MAX_REGEX = 10_000
+#: Regular expressions of one alternation; characters of the pieces by which substrings are joined.
+ALTERNATION, GRAM = 200, 4
 
 
 def load_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -106,29 +108,43 @@ def java_regex(pattern: str) -> str:
 
 
 def valid_regexes(lists: DataFrame) -> dict[str, list[str]]:
-    """Patterns by list that compile; others are left out.  Bounded by MAX_REGEX patterns."""
+    """Patterns by list that compile; others are left out.  They become part of the plan, so all come to the driver."""
     spark = lists.sparkSession
-    rows = entries(lists, "regex").limit(MAX_REGEX + 1).collect()
-    if len(rows) > MAX_REGEX:
-        raise ValueError(f"more than {MAX_REGEX} regular expressions in warning lists")
+    compile_ = spark._jvm.java.util.regex.Pattern.compile
     out: dict[str, list[str]] = {}
-    for r in rows:
+    for r in entries(lists, "regex").distinct().orderBy("list_id", "entry").toLocalIterator():
         try:
-            spark._jvm.java.util.regex.Pattern.compile(java_regex(r.entry))
+            compile_(java_regex(r.entry))
         except Exception:  # noqa: BLE001  an invalid pattern is skipped, whatever Java says of it
             continue
         out.setdefault(r.list_id, []).append(java_regex(r.entry))
     return out
 
 
+def own_group_numbers(pattern: str) -> bool:
+    """Whether a pattern refers to its groups or names them, so that it cannot stand beside others in one expression."""
+    return re.search(r"\\(?:[1-9]|k)|\(\?<[a-zA-Z]|\\Q|\(\?[a-zA-Z-]+\)", pattern) is not None
+
+
+def expressions(patterns: list[str]) -> list[str]:
+    """The patterns as few expressions, each compiled once: alternations, and alone what cannot be joined."""
+    alone = [p for p in patterns if own_group_numbers(p)]
+    plain = [p for p in patterns if not own_group_numbers(p)]
+    return [f"(?iu)(?:{p})" for p in alone] + ["(?iu)" + "|".join(f"(?:{p})" for p in plain[i : i + ALTERNATION]) for i in range(0, len(plain), ALTERNATION)]
+
+
+def holds_any(c: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [c.rlike(e) for e in expressions(patterns)])
+
+
 def regex_hit(patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> Column:
-    """The best match among regular expressions: one literal alternation a list, compiled once; null without one."""
+    """The best match among regular expressions, as part of the projection; null without one."""
     checks = [F.lit(None).cast(HIT_TYPE)]
     for m in {m.list_id: m for own in by_type.values() for m in own}.values():
         if m.list_id in patterns:
             types = [t for t, own in by_type.items() if m in own]
-            one = "(?iu)" + "|".join(f"(?:{p})" for p in patterns[m.list_id])
-            found = F.col("ioc_type").isin(types) & (F.col("clean").rlike(one) | F.coalesce(F.col("host").rlike(one), F.lit(False)))
+            own = patterns[m.list_id]
+            found = F.col("ioc_type").isin(types) & (holds_any(F.col("clean"), own) | F.coalesce(holds_any(F.col("host"), own), F.lit(False)))
             checks.append(F.when(found, hit_of(1, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description))))
     return F.array_min(F.array(*checks))
 
@@ -173,15 +189,34 @@ def substring_table(lists: DataFrame, pairs: DataFrame) -> DataFrame:
     return entries(lists, "substring").select("list_id", F.lower("entry").alias("e")).distinct().join(pairs, "list_id").withColumnRenamed("ioc_type", "t")
 
 
-def holds_either() -> Column:
-    low, host = F.lower("clean"), F.lower("host")
-    either = F.contains(low, F.col("e")) | F.contains(F.col("e"), low) | F.coalesce(F.contains(host, F.col("e")) | F.contains(F.col("e"), host), F.lit(False))
-    return (F.col("ioc_type") == F.col("t")) & either
+def grams(c: Column, size: Column | int) -> Column:
+    """Distinct pieces of ``size`` characters; a shorter text has none."""
+    n = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def rare_gram(c: Column, size: Column | int) -> Column:
+    """One piece of the text to join by, by a hash, so that frequent endings are seldom chosen."""
+    return F.array_min(F.transform(grams(c, size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))).g
 
 
 def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Either contains the other, on the value or the host, lower case."""
-    found = values.join(substring_table(lists, pairs), holds_either())
+    """Either contains the other, on the value or the host, lower case: (..., which 0).
+
+    What contains the other has all its pieces, so both ways are hash joins by type and one
+    piece of the contained text, checked afterwards.  Texts under GRAM characters are pieces
+    themselves; an empty one is part of everything.
+    """
+    table = substring_table(lists, pairs).withColumnRenamed("t", "ioc_type")
+    low, host = F.lower("clean"), F.lower("host")
+    sides = values.select("ioc_type", "value", F.explode(F.array_distinct(F.array_compact(F.array(low, host)))).alias("v"))
+    size = lambda c: F.least(F.length(c), F.lit(GRAM))
+    pieces = lambda c: F.array_union(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: grams(c, n))))
+    key = lambda c: F.when(F.length(c) == 0, "").otherwise(rare_gram(c, size(c)))
+    columns = ["list_rank", "warning_list", "description"]
+    entry_in = sides.select("ioc_type", "value", "v", F.explode(pieces(F.col("v"))).alias("g")).join(table.withColumn("g", key(F.col("e"))), ["ioc_type", "g"]).filter(F.contains("v", F.col("e")))
+    value_in = sides.withColumn("g", key(F.col("v"))).join(table.select("ioc_type", "e", *columns, F.explode(pieces(F.col("e"))).alias("g")), ["ioc_type", "g"]).filter(F.contains("e", F.col("v")))
+    found = entry_in.select("ioc_type", "value", *columns).union(value_in.select("ioc_type", "value", *columns))
     return found.withColumns({"stage": F.lit(3), "which": F.lit(0)}).select(*HIT)
 
 
@@ -208,29 +243,29 @@ def probe_keys(sizes: dict[str, list[int]]) -> Column:
 def matches(iocs: DataFrame, lists: DataFrame) -> DataFrame:
     """(ioc_type, value, warning_list, description, stage) of each distinct value that some list holds.
 
-    One line of operators: regular expressions as a column, substrings as a theta join,
-    strings and networks as one hash join over keys, then the best hit of each value.
+    Regular expressions are a column; strings and networks are one hash join over keys,
+    substrings two by pieces; then the best hit of each value.
     """
     spark, values, meta = iocs.sparkSession, prepared(iocs), metadata(lists)
     by_type, kinds = relevant(meta), {m.type for m in meta}
     pairs = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own])
     regex = regex_hit(valid_regexes(lists) if "regex" in kinds else {}, by_type)
     rows = values.select("*", regex.alias("rx"))
-    substring = F.lit(None).cast(HIT_TYPE)
-    if "substring" in kinds:
-        fitting = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if m.type == "substring" and applicable(m, t)])
-        rows = rows.join(substring_table(lists, fitting), holds_either(), "left")
-        substring = F.when(F.col("e").isNotNull(), hit_of(3, F.lit(0), F.col("list_rank"), F.col("warning_list"), F.col("description")))
-    rows = rows.select("ioc_type", "value", "clean", "host", "rx", substring.alias("sub"))
+    rows = rows.select("ioc_type", "value", "clean", "host", "rx")
     nets, sizes = None, {}
     if "cidr" in kinds:
         nets = networks(lists)
         used = nets.select("family", "len").distinct().collect()  # at most 33 + 129 prefix lengths
         sizes = {f: sorted(r.len for r in used if r.family == f) for f in "46"}
-    keyed = rows.select("ioc_type", "value", "rx", "sub", F.explode(probe_keys(sizes)).alias("k")).select("ioc_type", "value", "rx", "sub", "k.which", "k.key")
+    keyed = rows.select("ioc_type", "value", "rx", F.explode(probe_keys(sizes)).alias("k")).select("ioc_type", "value", "rx", "k.which", "k.key")
     joined = keyed.join(key_index(lists, pairs, nets), ["ioc_type", "key"], "left")
     equal = F.when(F.col("m").isNotNull(), F.struct("m.stage", "which", "m.list_rank", "m.warning_list", "m.description"))
-    best = joined.groupBy("ioc_type", "value").agg(F.min(F.array_min(F.array("rx", "sub", equal.cast(HIT_TYPE)))).alias("b")).filter("b IS NOT NULL")
+    hits = joined.select("ioc_type", "value", F.array_min(F.array("rx", equal.cast(HIT_TYPE))).alias("h")).filter("h IS NOT NULL")
+    if "substring" in kinds:
+        fitting = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if m.type == "substring" and applicable(m, t)])
+        held = substring_hits(values, lists, fitting).select("ioc_type", "value", hit_of(3, F.col("which"), F.col("list_rank"), F.col("warning_list"), F.col("description")).cast(HIT_TYPE).alias("h"))
+        hits = hits.union(held)
+    best = hits.groupBy("ioc_type", "value").agg(F.min("h").alias("b"))
     return best.select("ioc_type", "value", "b.warning_list", "b.description", "b.stage")
 
 
@@ -289,7 +324,7 @@ def diagnose(value: str, ioc_type: str, lists: DataFrame, expected: list[str] |
     patterns = valid_regexes(worth)
     regex = F.lit(False)
     for list_id, own in patterns.items():
-        regex = regex | ((F.col("list_id") == list_id) & clean.rlike("(?iu)" + "|".join(f"(?:{p})" for p in own)))
+        regex = regex | ((F.col("list_id") == list_id) & holds_any(clean, own))
     probe = lists.sparkSession.range(1).select(T.address_hex(clean).alias("h")).select(F.substr("h", F.lit(1), F.lit(1)).alias("family"), bits(F.col("h")).alias("b"))
     held = networks(worth, exact=True).join(probe, "family").filter(F.col("b").startswith(F.col("prefix"))).select("list_id").distinct().withColumn("in_net", F.lit(True))
     report = worth.join(held, "list_id", "left")

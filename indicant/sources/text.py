@@ -4,26 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists as L
-from ..functions.text import url_host, url_path
+from ..functions.text import let, url_host, url_path
 
 MAX_FILE_BYTES = 100 << 20
 MAX_URL_BYTES = 50 << 20
 
 
-def read_text(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(source_kind, source_value, text) of whole files; malformed bytes are left out, larger files refused."""
+def read_text(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_FILE_BYTES, strict: bool = True) -> DataFrame:
+    """(source_kind, source_value, text) of whole files; malformed bytes are left out.
+
+    A file over max_bytes raises or, unless strict, has an empty text.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    size = F.when(F.col("length") > max_bytes, F.raise_error(F.concat(F.lit("file too large: "), F.col("path")))).otherwise(F.col("content"))
-    text = F.replace(F.make_valid_utf8(size.cast("string")), F.lit("�"), F.lit(""))
+    refused = F.raise_error(F.concat(F.lit("file too large: "), F.col("path"))).cast("binary") if strict else F.lit(b"")
+    content = F.when(F.col("length") > max_bytes, refused).otherwise(F.col("content"))
+    text = without_malformed(content)
     return files.select(F.lit("file").alias("source_kind"), F.col("path").alias("source_value"), text.alias("text"))
 
 
+def without_malformed(content: Column) -> Column:
+    """Bytes as UTF-8, malformed ones left out; replacement characters of the text itself stay."""
+    text, own, stand = content.cast("string"), F.lit("\ufffd"), F.lit("\ue000\uf8ff\ue000")
+    fixed = F.replace(F.replace(F.make_valid_utf8(F.replace(text, own, stand)), own, F.lit("")), stand, own)
+    return F.when(F.is_valid_utf8(text), text).otherwise(fixed)
+
+
 def type_by_mime(mime: Column) -> Column:
     low = F.lower(mime)
     return F.when(low.contains("pdf"), "pdf").when(low.contains("html") | low.contains("xml"), "html").when(low.contains("text"), "text")
@@ -62,34 +74,56 @@ def temp_filename(url: Column, content_type: Column) -> Column:
     ).otherwise(name)
 
 
-# Named characters that HTML text commonly holds.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "middot": "·", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "euro": "€"}
+#: Parts of a page that are no text.  One that is never closed reaches to the page's end.
+HIDDEN = ("script", "style", "noscript", "head")
 
 
 def html_to_text(html: Column) -> Column:
     """Visible text of a page: script, style, noscript and head fall away, white space becomes one space.
 
+    All named, decimal and hexadecimal references are read; unknown names stay as they are.
     A page that is only a web address of under five lines is given back stripped.
     """
     bare = F.regexp_replace(html, r"(?U)^\s+|\s+$", "")
     address = bare.rlike(r"^(?:https?|hxxps?)://") & (F.size(F.split(bare, r"\r\n|\n|\r")) < 5)
     text = html
-    for tag in ("script", "style", "noscript", "head"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?s)<[!/a-zA-Z?][^>]*>", " ")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    coded = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
-    text = F.when(F.size(coded) > 0, F.aggregate(coded, text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), code_point(n)))).otherwise(text)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    for tag in HIDDEN:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
+    text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", " ")
+    text = F.regexp_replace(text, r"(?s)<[!/a-zA-Z?][^>]*(?:>|\z)", " ")
+    text = let(text, unescaped)
     return F.when(address, bare).otherwise(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""))
 
 
+REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;"
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its character references read, each place once: pieces between them and characters by turns."""
+    codes = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    joined = lambda chars: F.array_join(F.transform(F.split(text, REFERENCE), lambda p, i: F.concat(p, F.coalesce(F.get(chars, i), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")) & text.rlike(REFERENCE), let(F.transform(codes, character), joined)).otherwise(text)
+
+
+def character(code: Column) -> Column:
+    """The characters of one reference."""
+    digits = F.regexp_replace(code, "[&#;xX]", "")
+    number = F.when(code.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.when(code.startswith("&#"), code_point(number)).otherwise(F.coalesce(F.try_element_at(names, code), code))
+
+
+#: Named references with their semicolon, of the standard library's table, and what 0x80 to 0x9F mean on the web: Windows-1252.
+NAMED = {f"&{name}": chars for name, chars in html5.items() if name.endswith(";")}
+WESTERN = {n: char for n in range(0x80, 0xA0) if (char := bytes([n]).decode("cp1252", "ignore"))}
+
+
 def code_point(n: Column) -> Column:
-    """The character of a decimal code point up to U+FFFF; others are left out."""
-    v = n.try_cast("int")
-    return F.when(v.between(1, 0xD7FF) | v.between(0xE000, 0xFFFF), F.decode(F.unhex(F.lpad(F.hex(v), 4, "0")), "UTF-16BE")).otherwise("")
+    """The character of a code point; what is no character becomes U+FFFD."""
+    western = F.create_map(*[F.lit(x) for pair in WESTERN.items() for x in pair])
+    good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    plain = F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    return F.coalesce(F.when(n.between(0x80, 0x9F), F.try_element_at(western, n.cast("int"))), plain)
 
 
 def table_text(tables: Column) -> Column:
@@ -99,24 +133,41 @@ def table_text(tables: Column) -> Column:
     return F.when(F.size(rows) > 0, F.concat(F.array_join(rows, "\n"), F.lit("\n"))).otherwise("")
 
 
-def read_pdf(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str]) -> DataFrame:
-    """(source_kind, source_value, text) of the PDF files among paths, with a parser of the caller's choice."""
+def read_pdf(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str] | None, max_bytes: int = MAX_FILE_BYTES, strict: bool = True) -> DataFrame:
+    """(source_kind, source_value, text) of the PDF files among paths, with a parser of the caller's choice.
+
+    A file over max_bytes, one that the parser refuses and, without a parser, every one raises
+    or, unless strict, has an empty text.
+    """
+
+    def text_of(path: str, size: int, content: bytes) -> str:
+        try:
+            if parse is None:
+                raise ValueError("no PDF parser was given")
+            if size > max_bytes:
+                raise ValueError("file too large")
+            return parse(content)
+        except Exception as e:
+            if strict:
+                raise ValueError(f"{path}: {e}") from e
+            return ""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            texts = [parse(c.as_py()) for c in b.column(1)]
+            texts = [text_of(*(b.column(k)[i].as_py() for k in range(3))) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["source_value", "text"])
 
-    files = spark.read.format("binaryFile").load(paths).filter((F.col("length") <= MAX_FILE_BYTES) & (type_by_extension(F.col("path")) == "pdf")).select("path", "content")
-    return files.mapInArrow(run, "source_value string, text string").select(F.lit("file").alias("source_kind"), "source_value", "text")
+    files = spark.read.format("binaryFile").load(paths).filter(type_by_extension(F.col("path")) == "pdf")
+    some = files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    return some.mapInArrow(run, "source_value string, text string").select(F.lit("file").alias("source_kind"), "source_value", "text")
 
 
-def read_documents(spark: SparkSession, paths: str | list[str], pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """Files of mixed kinds as text, each by its detected type."""
-    files = read_text(spark, paths)
-    kind = detect_type(F.col("source_value"))
-    plain = files.withColumn("kind", kind)
-    parts = [plain.filter("kind = 'text'").drop("kind"), plain.filter("kind = 'html'").drop("kind").withColumn("text", html_to_text(F.col("text")))]
-    if pdf is not None:
-        parts.append(read_pdf(spark, paths, pdf))
+def read_documents(spark: SparkSession, paths: str | list[str], pdf: Callable[[bytes], str] | None = None, max_bytes: int = MAX_FILE_BYTES, strict: bool = True) -> DataFrame:
+    """Files of mixed kinds as text, each by its detected type.
+
+    A file that cannot be read raises or, unless strict, gives an empty text, so that one bad
+    file does not end a batch.
+    """
+    plain = read_text(spark, paths, max_bytes, strict).withColumn("kind", detect_type(F.col("source_value")))
+    parts = [plain.filter("kind = 'text'").drop("kind"), plain.filter("kind = 'html'").drop("kind").withColumn("text", html_to_text(F.col("text"))), read_pdf(spark, paths, pdf, max_bytes, strict)]
     return reduce(DataFrame.unionByName, parts)
