@@ -1,22 +1,24 @@
 """The relational store: sources, runs, iocs and their links, as Parquet tables.
 
-Ids are 64-bit hashes of the unique keys, so no sequence, single writer or global order is
-needed and a repeated write gives the same rows.  Sightings, runs, iocs and links are only
-appended to; ``sources`` is what the sightings add up to.
+Ids are 128-bit digests of the unique keys, so no sequence, single writer or global order is
+needed.  Sightings, runs, iocs and links are kept by batch, a folder for each call of
+``persist``; the same call again replaces its own batch, so it can be repeated after a failure
+at any point.  ``sources`` is what the sightings add up to.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SOURCES = "id bigint, kind string, value string, content_hash string, first_seen timestamp, last_seen timestamp"
-RUNS = "id bigint, source_id bigint, started_at timestamp, finished_at timestamp, tool_version string, options_json string"
-IOCS = "id bigint, ioc_type string, value string, is_warning boolean, warning_list string, warning_description string"
-RUN_IOCS = "id bigint, run_id bigint, ioc_id bigint"
+SOURCES = "id string, kind string, value string, content_hash string, first_seen timestamp, last_seen timestamp"
+RUNS = "id string, source_id string, started_at timestamp, finished_at timestamp, tool_version string, options_json string"
+IOCS = "id string, ioc_type string, value string, is_warning boolean, warning_list string, warning_description string"
+RUN_IOCS = "id string, run_id bigint, ioc_id bigint"
 IOC_KEY = ["ioc_type", "value", "is_warning", "warning_list", "warning_description"]
 
 
@@ -31,8 +33,13 @@ class Options:
         return json.dumps(asdict(self))
 
 
-def source_id() -> Column:
-    return F.xxhash64("kind", "value")
+def digest(*parts: Column | str) -> Column:
+    """Id of a key: parts keep their borders, so that no two keys run into one text."""
+    return F.md5(F.to_json(F.array(*[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])))
+
+
+def source_id(kind: str = "kind", value: str = "value") -> Column:
+    return digest(kind, value)
 
 
 def merged_sources(existing: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
@@ -50,7 +57,7 @@ def ioc_rows(classified: DataFrame) -> DataFrame:
     warned = F.coalesce(F.col("is_warning"), F.lit(False))
     text = lambda c: F.when(warned, F.coalesce(c, F.lit(""))).otherwise("")
     rows = classified.filter("value IS NOT NULL AND value <> ''").select("ioc_type", "value", warned.alias("is_warning"), text("warning_list").alias("warning_list"), text("description").alias("warning_description"))
-    return rows.distinct().select(F.xxhash64(*IOC_KEY).alias("id"), *IOC_KEY)
+    return rows.distinct().select(digest(*IOC_KEY).alias("id"), *IOC_KEY)
 
 
 def new_iocs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -61,7 +68,7 @@ def new_iocs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def run_rows(sources: DataFrame, now: Column, version: str, options: Options) -> DataFrame:
     """One run a source (kind, value): started and finished at ``now``."""
     own = sources.select("kind", "value").distinct().select(source_id().alias("source_id"), now.alias("started_at"))
-    return own.select(F.xxhash64("source_id", "started_at").alias("id"), "source_id", "started_at", F.col("started_at").alias("finished_at"), F.lit(version).alias("tool_version"), F.lit(options.to_json()).alias("options_json"))
+    return own.select(digest("source_id", "started_at").alias("id"), "source_id", "started_at", F.col("started_at").alias("finished_at"), F.lit(version).alias("tool_version"), F.lit(options.to_json()).alias("options_json"))
 
 
 def link_rows(classified: DataFrame, now: Column) -> DataFrame:
@@ -69,10 +76,10 @@ def link_rows(classified: DataFrame, now: Column) -> DataFrame:
     warned = F.coalesce(F.col("is_warning"), F.lit(False))
     text = lambda c: F.when(warned, F.coalesce(c, F.lit(""))).otherwise("")
     ids = classified.filter("value IS NOT NULL AND value <> ''").select(
-        F.xxhash64(F.xxhash64("kind", "source_value"), now).alias("run_id"),
-        F.xxhash64("ioc_type", "value", warned, text("warning_list"), text("description")).alias("ioc_id"),
+        digest(source_id("kind", "source_value"), now).alias("run_id"),
+        digest("ioc_type", "value", warned, text("warning_list"), text("description")).alias("ioc_id"),
     ).distinct()
-    return ids.select(F.xxhash64("run_id", "ioc_id").alias("id"), "run_id", "ioc_id")
+    return ids.select(digest("run_id", "ioc_id").alias("id"), "run_id", "ioc_id")
 
 
 class Store:
@@ -85,12 +92,17 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+    def _read(self, name: str, schema: str, without: str | None = None) -> DataFrame:
+        """A table, or what it was before a batch."""
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}")
+        return (rows if without is None else rows.filter(F.col("batch") != without)).drop("batch")
 
     def sources(self) -> DataFrame:
-        seen = self._read("sightings", "kind string, value string, seen timestamp")
-        return seen.groupBy("kind", "value").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen")).select(source_id().alias("id"), "kind", "value", F.lit(None).cast("string").alias("content_hash"), "first_seen", "last_seen")
+        seen = self._read("sightings", SIGHTINGS)
+        last = F.max_by("content_hash", F.when(F.col("content_hash").isNotNull(), F.col("seen"))).alias("content_hash")
+        return seen.groupBy("kind", "value").agg(last, F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen")).select(source_id().alias("id"), "kind", "value", "content_hash", "first_seen", "last_seen")
 
     def runs(self) -> DataFrame:
         return self._read("runs", RUNS)
@@ -101,15 +113,23 @@ class Store:
     def run_iocs(self) -> DataFrame:
         return self._read("run_iocs", RUN_IOCS)
 
-    def persist(self, classified: DataFrame, now: str, version: str = "1.0", options: Options = Options(), sources: DataFrame | None = None) -> None:
-        """Add one run for each source in classified (kind, source_value, ...), or in ``sources`` (kind, value) if some have none."""
+    def persist(self, classified: DataFrame, now: str, version: str = "1.0", options: Options = Options(), sources: DataFrame | None = None) -> str:
+        """Add one run for each source in classified (kind, source_value, ...), or in ``sources`` (kind, value[, content_hash]) if some have none.
+
+        Returns the batch, which names the time and the sources.
+        """
         at = F.lit(now).cast("timestamp")
         own = classified.select("kind", F.col("source_value").alias("value")) if sources is None else sources
-        fresh = new_iocs(self.iocs(), ioc_rows(classified))
-        fresh.write.mode("append").parquet(f"{self.path}/iocs")
-        link_rows(classified, at).write.mode("append").parquet(f"{self.path}/run_iocs")
-        run_rows(own, at, version, options).write.mode("append").parquet(f"{self.path}/runs")
-        own.select("kind", "value").distinct().withColumn("seen", at).write.mode("append").parquet(f"{self.path}/sightings")
+        own = own.select("kind", "value", (F.col("content_hash") if "content_hash" in own.columns else F.lit(None)).cast("string").alias("content_hash")).distinct()
+        total = own.agg(F.sum(F.xxhash64("kind", "value").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
+        batch = hashlib.md5(f"{now}|{total.h}|{total.n}".encode()).hexdigest()
+        rows = {
+            "iocs": new_iocs(self._read("iocs", IOCS, batch), ioc_rows(classified)), "run_iocs": link_rows(classified, at),
+            "sightings": own.withColumn("seen", at), "runs": run_rows(own, at, version, options),
+        }
+        for name, df in rows.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        return batch
 
     def iocs_per_run(self) -> DataFrame:
         return self.run_iocs().join(self.iocs().withColumnRenamed("id", "ioc_id"), "ioc_id").join(self.runs().withColumnRenamed("id", "run_id"), "run_id")

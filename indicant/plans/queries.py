@@ -247,7 +247,7 @@ def persist_run_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = as_classified(spark, sf_dir).withColumn("kind", F.lit("file"))
     now = F.lit(NOW).cast("timestamp")
     runs = store.run_rows(rows.select("kind", F.col("source_value").alias("value")), now, "1.0", store.Options()).withColumnRenamed("id", "run_id")
-    own = rows.select(store.F.xxhash64("kind", "source_value").alias("source_id"), "source_value").distinct()
+    own = rows.select(store.source_id("kind", "source_value").alias("source_id"), "source_value").distinct()
     links = store.link_rows(rows, now).join(store.ioc_rows(rows).select(F.col("id").alias("ioc_id"), "is_warning"), "ioc_id")
     joined = links.join(runs, "run_id").join(own, "source_id")
     return joined.groupBy("source_value").agg(F.count("*").alias("n_iocs"), F.count_if("is_warning").alias("n_warnings"))
