@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 SOURCES = "id string, kind string, value string, content_hash string, first_seen timestamp, last_seen timestamp"
 RUNS = "id string, source_id string, started_at timestamp, finished_at timestamp, tool_version string, options_json string"
 IOCS = "id string, ioc_type string, value string, is_warning boolean, warning_list string, warning_description string"
-RUN_IOCS = "id string, run_id bigint, ioc_id bigint"
+RUN_IOCS = "id string, run_id string, ioc_id string"
+SIGHTINGS = "kind string, value string, content_hash string, seen timestamp"
 IOC_KEY = ["ioc_type", "value", "is_warning", "warning_list", "warning_description"]
 
 

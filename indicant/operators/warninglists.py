@@ -211,11 +211,12 @@ def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> Dat
     low, host = F.lower("clean"), F.lower("host")
     sides = values.select("ioc_type", "value", F.explode(F.array_distinct(F.array_compact(F.array(low, host)))).alias("v"))
     size = lambda c: F.least(F.length(c), F.lit(GRAM))
-    pieces = lambda c: F.array_union(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: grams(c, n))))
+    pieces = lambda c, sizes: reduce(F.array_union, [grams(c, n) if n else F.array(F.lit("")) for n in sizes], F.array().cast("array<string>"))
+    used = sorted(r.n for r in table.select(size(F.col("e")).alias("n")).distinct().collect())  # at most GRAM + 1 lengths
     key = lambda c: F.when(F.length(c) == 0, "").otherwise(rare_gram(c, size(c)))
     columns = ["list_rank", "warning_list", "description"]
-    entry_in = sides.select("ioc_type", "value", "v", F.explode(pieces(F.col("v"))).alias("g")).join(table.withColumn("g", key(F.col("e"))), ["ioc_type", "g"]).filter(F.contains("v", F.col("e")))
-    value_in = sides.withColumn("g", key(F.col("v"))).join(table.select("ioc_type", "e", *columns, F.explode(pieces(F.col("e"))).alias("g")), ["ioc_type", "g"]).filter(F.contains("e", F.col("v")))
+    entry_in = sides.select("ioc_type", "value", "v", F.explode(pieces(F.col("v"), used)).alias("g")).join(table.withColumn("g", key(F.col("e"))), ["ioc_type", "g"]).filter(F.contains("v", F.col("e")))
+    value_in = sides.withColumn("g", key(F.col("v"))).join(table.select("ioc_type", "e", *columns, F.explode(pieces(F.col("e"), range(GRAM + 1))).alias("g")), ["ioc_type", "g"]).filter(F.contains("e", F.col("v")))
     found = entry_in.select("ioc_type", "value", *columns).union(value_in.select("ioc_type", "value", *columns))
     return found.withColumns({"stage": F.lit(3), "which": F.lit(0)}).select(*HIT)
 

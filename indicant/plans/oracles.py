@@ -7,7 +7,7 @@ judging whole tokens, instead of searching with boundaries.
 from __future__ import annotations
 
 from ..functions import lists as L
-from .queries import BASE, DOMAIN_CASES, LATER, NOW, cased
+from .queries import BASE, DOMAIN_CASES, HARD_HTML, LATER, NOW, cased
 from .reports import IOCS, LISTS, text_sql
 
 HEX = "0-9a-fA-F"
@@ -75,16 +75,16 @@ CLASSED = base_cte() + """, c AS (
 DOC_TOKENS = r"regexp_split_to_array(regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '~', 'g'), '[^A-Za-z0-9@._~-]+')"
 
 
-def document_rows() -> str:
+def document_rows(frm: str = "documents", key: str = "doc_id") -> str:
     """E-mails, addresses, SHA-1, domains, file names and hosts of the documents, token by token."""
     mail = r"regexp_full_match(x, '[a-zA-Z0-9][a-zA-Z0-9._-]*@[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,63}')"
     strip = "list_transform(toks, lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g'))"
     after = f"list_transform(list_filter({strip}, lambda t: contains(t, '@')), lambda t: string_split(t, '@')[2])"
     ip = r"regexp_full_match(x, '((0|[1-9][0-9]{0,2})\.){3}(0|[1-9][0-9]{0,2})') AND list_max(list_transform(string_split(x, '.'), lambda p: try_cast(p AS INT))) <= 255"
     sha = f"regexp_full_match(x, '[{HEX}]{{40}}') AND {GOOD_HASH}"
-    part = lambda t, source, cond, value: f"SELECT doc_id, '{t}' AS ioc_type, unnest(list_distinct(list_transform(list_filter({source}, lambda x: {cond}), lambda x: {value}))) AS value FROM d"
+    part = lambda t, source, cond, value: f"SELECT {key}, '{t}' AS ioc_type, unnest(list_distinct(list_transform(list_filter({source}, lambda x: {cond}), lambda x: {value}))) AS value FROM d"
     domain = r"regexp_full_match(x, '([a-z0-9-]+\.)+com')"
-    return f"d AS (SELECT doc_id, {DOC_TOKENS} AS toks FROM documents), r AS (" + " UNION ALL ".join([
+    return f"d AS (SELECT {key}, {DOC_TOKENS} AS toks FROM {frm}), r AS (" + " UNION ALL ".join([
         part("emails", strip, mail, "replace(replace(x, '@', '[@]'), '.', '[.]')"),
         part("ips", strip, ip, "replace(x, '.', '[.]')"), part("sha1", strip, sha, "x"),
         part("domains", after, domain, "replace(x, '.', '[.]')"), part("hosts", after, domain, "replace(x, '.', '[.]')"),
@@ -210,4 +210,20 @@ def oracle_sql() -> dict[str, str]:
         "chunk_sizes": "SELECT doc_id, ceil(length(text) / 1000)::BIGINT AS n_chunks, (length(text) + 100 * (ceil(length(text) / 1000) - 1))::BIGINT AS n_chars FROM documents WHERE length(text) > 0",
         "stream_extract": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type IN ('emails', 'ips', 'sha1')",
     }
+    plain = lambda cases: cased([f"'{c}'" for c in cases], "o_orderkey").replace("STRING", "VARCHAR")
+    nation = "CASE WHEN n_nationkey = 3 OR n_nationkey % 6 = 4 THEN '' WHEN n_nationkey % 2 = 0 THEN n_name WHEN n_nationkey % 6 IN (1, 3, 5) THEN '<' || n_name END"
+    out |= {
+        "extract_page_texts": f"WITH {document_rows(f'({html_sql()})', 'page_id')} SELECT page_id, ioc_type, value FROM r WHERE ioc_type IN ('emails', 'ips', 'sha1')",
+        "extract_url_domains": "SELECT o_orderkey, 'domains' AS ioc_type, unnest(['evil' || o_orderkey % 50 || '[.]com', 'c2-[.]evil' || o_orderkey % 50 || '[.]com']) AS value FROM orders",
+        "extract_registered": "SELECT o_orderkey, 'ticket' AS ioc_type, 'TCK-' || o_orderkey AS value FROM orders WHERE length('TCK-' || o_orderkey) > 5",
+        "html_hard_cases": f"SELECT o_orderkey, {plain([t for _, t in HARD_HTML.values()])} AS text FROM orders",
+        "wl_regex_backrefs": "SELECT value, CASE WHEN word IN ('abab', 'zz') THEN 'Doubled' ELSE 'Named' END AS warning_list FROM (SELECT ['abab', 'abac', 'zz', 'pqpqx', 'rs-rs', 'rs-pq'][c_custkey % 6 + 1] AS word, word || '.org' || c_custkey AS value FROM customer) WHERE word IN ('abab', 'zz', 'pqpqx', 'rs-rs')",
+        "wl_substring_many": "WITH c AS (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN 'vend' || c_custkey ELSE 'x-vend' || c_custkey * 17 % 20000 || '.com' END AS value FROM customer), e AS (SELECT '-vend' || k || '.co' AS e FROM range(10000) AS t(k)) SELECT DISTINCT value, 'Many' AS warning_list FROM c JOIN e ON contains(value, e) OR contains(e, value)",
+        "chunked_small": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type = 'sha1'",
+        "chunked_ahead": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type = 'sha1'",
+        "warning_lines": f"WITH {CLASSED} SELECT source_value, 'cves ' || value || ' (Even ''years'')' AS line FROM c WHERE w",
+        "hashes_section": "SELECT CASE WHEN n_nationkey % 3 > 0 THEN 'md5' ELSE 'unknown' END AS type, CASE WHEN n_nationkey % 5 > 0 THEN md5(n_name) ELSE '' END AS value FROM nation",
+        "store_round_trip": f"WITH {CLASSED} SELECT source_value, started, count(*)::BIGINT AS n_iocs, count(*) FILTER (w)::BIGINT AS n_warnings FROM c JOIN (VALUES ('{NOW[:10]}'), ('{LATER[:10]}')) AS t(started) ON started = '{NOW[:10]}' OR {odd} GROUP BY ALL",
+        "read_files": f"SELECT n_nationkey, {nation} AS text FROM nation",
+    }
     return out

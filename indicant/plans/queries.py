@@ -272,17 +272,139 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a file stream, each indicator once for its document."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/indicant-stream"
-    where = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "stream")
     source = stream.stream_parquet(spark, f"{sf_dir}/documents.parquet", "doc_id bigint, text string")
     found = stream.extract_stream(source, ["doc_id"], types=["emails", "ips", "sha1"])
     stream.run_available(found, f"{where}/out", f"{where}/checkpoint")
     return spark.read.schema("doc_id bigint, ioc_type string, value string").parquet(f"{where}/out")
 
 
+def extract_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of the visible texts of the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", sources.html_to_text(F.col("html")).alias("text"))
+    return extract_all(pages, types=["emails", "ips", "sha1"])
+
+
+def extract_url_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains that only the host of a URL shows: a label that ends with a hyphen, a port."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "'see http://c2-.evil' || CAST(o_orderkey % 50 AS STRING) || '.com:8080/x.' AS text")
+    return extract_all(rows, types=["domains"])
+
+
+def extract_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type of one's own, with a check of its values."""
+    from ..functions.extractors import register
+    from ..functions.patterns import Pattern
+
+    register("ticket", Pattern(r"\b(TCK-[0-9]+)\b", (1,), "TCK-"), lambda v: F.length(v) > 5)
+    try:
+        rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "'TCK-' || CAST(o_orderkey AS STRING) || ' and TCK-x' AS text")
+        return extract_all(rows, types=["ticket"])
+    finally:
+        del EXTRACTORS["ticket"]
+
+
+HARD_HTML = {
+    "decimal, hexadecimal and named": ("<p>a&#x27;b &eacute;&rsquo; ' || S || '&#128512;&#x1F600; &fjlig;</p>", "a''b é’ ' || S || '😀😀 fj"),
+    "unknown and unfinished": ("x &nosuch; &amp;lt; ' || S || ' &amp y", "x &nosuch; &lt; ' || S || ' &amp y"),
+    "script never closed": ("<b>k' || S || '</b><script>var u = \"http://leak.example.org\";", "k' || S || '"),
+    "comment never closed": ("t' || S || ' <!-- gone <i>x</i>", "t' || S || '"),
+    "Windows-1252 and no characters": ("&#150;&#x80;' || S || '&#0;&#xD800;", "–€' || S || '��"),
+    "tags as spaces": ("<ul><li>a<li>b' || S || '</ul><style>p{}</style>c<br/>d", "a b' || S || ' c d"),
+}
+
+
+def html_hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{cased([f"'{h}'" for h, _ in HARD_HTML.values()], 'o_orderkey')} AS html")
+    return pages.select("o_orderkey", sources.html_to_text(F.col("html")).alias("text"))
+
+
+def wl_regex_backrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that refer to their groups or give them the same names, beside broken and plain ones."""
+    own = [
+        ("a", "Doubled", "", "regex", ["domain"], [r"^(zz)\.", r"^(..)\1\.", "(broken"]),
+        ("b", "Named", "", "regex", ["domain"], [r"^(?P<a>pq)(?P=a)x", r"^(?P<a>rs)-(?P=a)\."]),
+    ]
+    word = "CASE c_custkey % 6 WHEN 0 THEN 'abab' WHEN 1 THEN 'abac' WHEN 2 THEN 'zz' WHEN 3 THEN 'pqpqx' WHEN 4 THEN 'rs-rs' ELSE 'rs-pq' END"
+    rows = table(spark, sf_dir, "customer").selectExpr("'domains' AS ioc_type", f"{word} || '.org' || CAST(c_custkey AS STRING) AS value")
+    return W.warnings_only(rows, spark.createDataFrame(own, W.SCHEMA)).select("value", "warning_list")
+
+
+def wl_substring_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand substrings against every customer's domain, either in the other."""
+    entries = spark.range(10_000).agg(F.collect_list(F.concat(F.lit("-Vend"), F.col("id").cast("string"), F.lit(".co"))).alias("list"))
+    lists = entries.select(F.lit("s").alias("list_id"), F.lit("Many").alias("name"), F.lit("").alias("description"), F.lit("substring").alias("type"), F.array(F.lit("domain")).alias("matching_attributes"), "list")
+    rows = table(spark, sf_dir, "customer").selectExpr("'domains' AS ioc_type", "CASE WHEN c_custkey % 7 = 0 THEN 'vend' || CAST(c_custkey AS STRING) ELSE 'x-vend' || CAST(c_custkey * 17 % 20000 AS STRING) || '.com' END AS value")
+    return W.warnings_only(rows, lists).select("value", "warning_list").distinct()
+
+
+def chunked_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes across the borders of many small chunks, which overlap by more than a hash."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.extract_chunked(docs, keys=["doc_id"], types=["sha1"], size=150, overlap=60)
+
+
+def chunked_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with chunks that look ahead."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return extract_all(chunks.chunked(docs, size=150, overlap=60, ahead=True).drop("chunk_no"), types=["sha1"]).distinct()
+
+
+def warning_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..api import warning_lines as lines
+
+    return lines(as_classified(spark, sf_dir))
+
+
+def hashes_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").selectExpr("CASE WHEN n_nationkey % 3 > 0 THEN 'md5' END AS type", "CASE WHEN n_nationkey % 5 > 0 THEN md5(n_name) END AS value")
+    return formats.hashes_section(rows)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a temporary one only where driver and executors are one process."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/indicant-{name}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs written to a store, one of them twice, and read back: iocs and warnings by run."""
+    db = store.Store(spark, shared_folder(spark, "store"))
+    rows = as_classified(spark, sf_dir).withColumn("kind", F.lit("file"))
+    odd = rows.filter("CAST(source_value AS BIGINT) % 2 = 1")
+    for part, now in ((rows, NOW), (odd, LATER), (odd, LATER)):
+        db.persist(part, now)
+    per_run = db.iocs_per_run().join(db.sources().select(F.col("id").alias("source_id"), F.col("value").alias("source_value")), "source_id")
+    return per_run.groupBy("source_value", F.date_format("started_at", "yyyy-MM-dd").alias("started")).agg(F.count("*").alias("n_iocs"), F.count_if("is_warning").alias("n_warnings"))
+
+
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several kinds written and read back by their detected type, one too large and one PDF without a parser."""
+    where = shared_folder(spark, "files")
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "CASE WHEN n_nationkey = 3 THEN repeat('x', 5000) WHEN n_nationkey % 2 = 0 THEN n_name ELSE '<p>&lt;' || n_name || '</p><script>no' END AS value", "element_at(array('txt', 'html', 'log', 'htm', 'pdf', 'xml'), CAST(n_nationkey % 6 AS INT) + 1) AS ending")
+    for ending in ("txt", "html", "log", "htm", "pdf", "xml"):
+        rows.filter(F.col("ending") == ending).select("n_nationkey", "value").repartition(1, "n_nationkey").write.option("compression", "none").partitionBy("n_nationkey").mode("overwrite").text(f"{where}/{ending}")
+    named = []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(where)
+    fs = root.getFileSystem(conf)
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{where}/*/n_nationkey=*/part-*")):  # a file for each nation
+        path = status.getPath()
+        ending = path.getParent().getParent().getName()
+        target = jvm.org.apache.hadoop.fs.Path(f"{where}/{path.getParent().getName().rpartition('=')[2]}.{ending}")
+        fs.rename(path, target)
+        named.append(target.toString())
+    found = sources.read_documents(spark, named, max_bytes=4000, strict=False)
+    return found.select(F.regexp_extract("source_value", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("n_nationkey"), F.rtrim("text", F.lit("\n")).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"extract_{t}": extraction(t) for t in EXTRACTORS}
     out |= {n: stage(k) for k, n in enumerate(("wl_string_join", "wl_regex_join", "wl_cidr_join", "wl_substring_join"))}
@@ -291,6 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
         wl_categories, wl_diagnose, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
         stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
-        stream_extract,
+        stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many, chunked_small,
+        chunked_ahead, warning_lines, hashes_section, store_round_trip, read_files,
     )
     return out | {f.__name__: f for f in own}

@@ -121,6 +121,43 @@ def test_store(spark, classed, tmp_path):
     assert json.loads(db.runs().orderBy("started_at").collect()[-1].options_json)["defang"] is False
 
 
+def test_store_replaces_a_repeated_batch(spark, classed, tmp_path):
+    rows = classed.withColumn("kind", F.lit("file"))
+    db = store.Store(spark, str(tmp_path / "db"))
+    sizes = lambda: (db.sources().count(), db.runs().count(), db.iocs().count(), db.run_iocs().count())
+    db.persist(rows.filter("source_value = 's'"), "2024-01-01 00:00:00")
+    batch = db.persist(rows, "2024-02-01 00:00:00")
+    once, ids = sizes(), {r.id for r in db.iocs().collect()}
+    assert db.persist(rows, "2024-02-01 00:00:00") == batch and sizes() == once and {r.id for r in db.iocs().collect()} == ids
+    hashed = spark.createDataFrame([("file", "s", "h1")], "kind string, value string, content_hash string")
+    db.persist(rows.limit(0), "2024-03-01 00:00:00", sources=hashed)
+    assert {r.value: r.content_hash for r in db.sources().collect()} == {"s": "h1", "t": None}
+    assert len(ids) == db.iocs().count() and all(len(i) == 32 for i in ids)
+
+
+def test_regexes_that_cannot_be_joined(spark):
+    lists = spark.createDataFrame([("r", "R", "", "regex", ["domain"], [r"^(zz)\.", r"^(..)\1\.", "(?P<a>q)(?P=a)", "(?P<a>r)(?P=a)", "(?i)X", "(bad", *[f"^n{k}$" for k in range(450)]])], W.SCHEMA)
+    assert len(W.expressions(W.valid_regexes(lists)["r"])) == 4 + 3
+    values = ["abab.org", "abac.org", "zz.org", "qq", "rr", "qr", "x1", "n449", "n450"]
+    found = W.warnings_only(spark.createDataFrame([("domains", v) for v in values], "ioc_type string, value string"), lists)
+    assert {r.value for r in found.collect()} == {"abab.org", "zz.org", "qq", "rr", "x1", "n449"}
+
+
+def test_substrings_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcé.") for _ in range(rng.randint(0, n)))
+    entries, values = [word(9) for _ in range(60)] + ["", "a" * 40], sorted({word(12) for _ in range(150)} | {"ab", ""})
+    lists = spark.createDataFrame([("s", "S", "", "substring", ["domain"], [*entries, None])], W.SCHEMA)
+    rows = W.prepared(spark.createDataFrame([("domains", v) for v in values], "ioc_type string, value string"))
+    for some in (entries, [e for e in entries if len(e) > 3]):
+        lists = spark.createDataFrame([("s", "S", "", "substring", ["domain"], [*some, None])], W.SCHEMA)
+        pairs = W.pairs_frame(spark, [("domains", m) for m in W.metadata(lists)])
+        got = {r.value for r in W.substring_hits(rows, lists, pairs).collect()}
+        assert got == {r.value for r in rows.collect() if any(e in r.clean or r.clean in e for e in some)}
+
+
 HTML = """<!DOCTYPE html><html><head><title>no</title></head><body><script>var t="</p>";</script><style>p{}</style><!-- c > d -->
 <h1>Bad &amp; worse</h1><p>1 &lt; 2&nbsp;&#233;&copy;</p><noscript>x</noscript> a&amp;lt;b</body></html>"""
 
@@ -137,6 +174,14 @@ def test_reading_files(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"%PDF 9.8.7.6")
     rows = {r.source_value.rsplit("/", 1)[1]: r.text for r in sources.read_documents(spark, str(tmp_path), lambda b: b.decode()).collect()}
     assert rows == {"a.log": "ok  1.2.3.4", "b.HTM": "u@v.org", "c.pdf": "%PDF 9.8.7.6"}
+    with pytest.raises(Exception, match="no PDF parser"):
+        sources.read_documents(spark, str(tmp_path)).collect()
+    (tmp_path / "d.pdf").write_bytes(b"\xff")
+    (tmp_path / "e.txt").write_bytes("own \ufffd mark ".encode() + b"\xe2\x82 cut")
+    lax = sources.read_documents(spark, str(tmp_path), lambda b: b.decode(), max_bytes=20, strict=False)
+    rows = {r.source_value.rsplit("/", 1)[1]: r.text for r in lax.collect()}
+    assert rows == {"a.log": "ok  1.2.3.4", "b.HTM": "u@v.org", "c.pdf": "%PDF 9.8.7.6", "d.pdf": "", "e.txt": "own \ufffd mark  cut"}
+    (tmp_path / "d.pdf").unlink()
     with pytest.raises(Exception, match="too large"):
         sources.read_text(spark, str(tmp_path), max_bytes=3).collect()
 
