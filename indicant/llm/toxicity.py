@@ -247,8 +247,8 @@ def fit(rows, min_docs: int = 4, min_lift: float = 2.5) -> Tagger:
             toxic.append(int(y))
     y = np.array(toxic, bool)
     flat = Tagger(Crf(1), {}, np.zeros(4))
-    if not y.any() or y.all() or not len(number):  # one class or nothing to learn from: the base rate for every text
-        rate = (y.sum() + 0.5) / (len(docs) + 1.0)
+    if not y.any() or y.all() or not len(number):  # one class or nothing to learn from: the base rate for every text, clean without labels
+        rate = (y.sum() + 0.1) / (len(docs) + 1.0)
         flat.layer = np.array([math.log(rate / (1 - rate)), 0, 0, 0])
         return flat
     bad, all_ = np.zeros(len(number)), np.zeros(len(number))

@@ -314,7 +314,39 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {d[0] for d in clean} and all(r.lossless and r.n_pieces > 0 and len(r.ids) == 2 * r.n_pieces for r in got)
-    for _, stage in corpus_pipeline.STAGES[:4]:
+    for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path)).count() == 0
+
+
+#: Extra columns whose names clash with what the stages return or use inside.
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, id string, __copy string, contaminated string, ids string, kept boolean"
+
+
+def test_pipeline_stages_on_hard_rows(spark, tmp_path):
+    """Null columns and ids, empty and very long texts, repeated rows and clashing names pass through every stage with a defined result."""
+    rng = random.Random(12)
+    plain = [f"wort{k}" for k in range(300)]
+    text = lambda n: " ".join(rng.choice(plain) for _ in range(n)) + "."
+    some, again, lone = text(40), text(40), text(40)
+    rows = [(1, None), (2, ""), (3, "  \n "), (4, some), (4, some), (5, some), (6, again), (6, again), (7, "ünï " * 30_000), (None, lone), (None, lone), (None, None), (8, text(40)), (9, text(25)), (9, text(30))]
+    docs = spark.createDataFrame([(k, t, *[None] * 10) for k, t in rows], CLASHING)
+    marks = [(k, k % 2, k % 2) for k in range(100, 160)]
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for labels, where in ((empty, tmp_path / "none"), (spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), tmp_path / "other")):
+        docs.write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        spark.createDataFrame([(1, text(25)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        source = spark.read.parquet(f"{where}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, source, str(where))
+            left = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+            assert out.columns == source.columns
+            if name == "near_dedup":  # one row of each repeated document, one of equal texts, both null and empty texts
+                expected = {(k is None, k or 0, t or "") for k, t in rows} - {(False, 5, some)}
+                assert left == sorted(expected)
+            else:
+                assert left == sorted((k is None, k or 0, t or "") for k, t in rows)
+        final = corpus_pipeline.run(spark, str(where)).collect()
+        assert len(final) == len(rows) - 4 and all(r.lossless and len(r.ids) == 2 * r.n_pieces for r in final)
