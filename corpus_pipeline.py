@@ -46,11 +46,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together.  Rows without an id belong to no group; of equal texts among them one stays.
     """
     copies = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__copy")).distinct()
-    left = docs.join(copies, docs.doc_id == F.col("__copy"), "left_anti")
+    left = docs.join(copies, docs.doc_id == copies["__copy"], "left_anti")
     again = docs.groupBy(docs.doc_id.alias("__id")).count().filter("count > 1").select("__id")
     if not again.limit(1).count():
         return left
-    same = left.doc_id.eqNullSafe(F.col("__id"))
+    same = left.doc_id.eqNullSafe(again["__id"])
     return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
