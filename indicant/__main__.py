@@ -20,6 +20,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="indicant", description="Extract indicators of compromise from files.")
     p.add_argument("paths", nargs="+", help="files, folders or patterns of any store that Spark reaches")
     p.add_argument("--lists", help="warning lists: a pattern of list.json files")
+    p.add_argument("--types", help="indicator types, separated by commas; all if absent")
+    p.add_argument("--lax", action="store_true", help="files that cannot be read give no indicators instead of an error")
     p.add_argument("--no-defang", action="store_true")
     p.add_argument("--format", choices=("text", "json", "stix"), default="text")
     p.add_argument("--output", help="folder for the results; printed if absent")
@@ -33,7 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("indicant").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     lists = load_lists(spark, args.lists) if args.lists else None
-    found = extract_files(spark, args.paths, lists, defang=not args.no_defang).persist()
+    types = [t.strip() for t in args.types.split(",") if t.strip()] if args.types else None
+    found = extract_files(spark, args.paths, lists, types, not args.no_defang, strict=not args.lax).persist()
     now = datetime.now(timezone.utc)
     if args.format == "json":
         documents, column = formats.json_rows(found), "json"

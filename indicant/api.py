@@ -22,9 +22,9 @@ def extract(documents: DataFrame, lists: DataFrame | None = None, types: list[st
     return with_warning_columns(found if lists is None else classify(found, lists))
 
 
-def extract_files(spark: SparkSession, paths: str | list[str], lists: DataFrame | None = None, types: list[str] | None = None, defang: bool = True, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """Indicators of text, HTML and, with a parser, PDF files."""
-    return extract(read_documents(spark, paths, pdf), lists, types, defang)
+def extract_files(spark: SparkSession, paths: str | list[str], lists: DataFrame | None = None, types: list[str] | None = None, defang: bool = True, pdf: Callable[[bytes], str] | None = None, strict: bool = True) -> DataFrame:
+    """Indicators of text, HTML and, with a parser, PDF files; unless strict, a file that cannot be read gives none."""
+    return extract(read_documents(spark, paths, pdf, strict=strict), lists, types, defang)
 
 
 def extract_text(spark: SparkSession, text: str, lists: DataFrame | None = None, types: list[str] | None = None, defang: bool = True) -> tuple[dict, dict]:

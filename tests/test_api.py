@@ -36,3 +36,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*args[:1], "--format", "text"]) == 0 and "## Domains" in capsys.readouterr().out
     db = Store(spark, str(tmp_path / "db"))
     assert db.runs().count() == 1 and db.iocs().count() == 3
+
+
+def test_command_line_types_and_bad_files(spark, tmp_path, capsys):
+    from indicant.__main__ import main
+
+    (tmp_path / "a.txt").write_text("see 9.8.7.6 and u@v.org")
+    (tmp_path / "b.pdf").write_bytes(b"no parser for this")
+    assert main([str(tmp_path), "--types", "ips, cves", "--lax"]) == 0
+    printed = capsys.readouterr().out
+    assert "9[.]8[.]7[.]6" in printed and "u[@]v" not in printed and "ips: 1" in printed
