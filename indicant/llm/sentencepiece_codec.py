@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import file_stamp, prepare, with_kept
 
 MARK = "▁"
-CACHE_UNITS = 350_000
+CACHE_UNITS = 180_000
+#: Numbers of a lattice array that is filtered at once.
+LATTICE = 400_000
 #: Weights are multiplied by this for each character, which leaves the distribution and keeps sums in range.
 PER_CHAR = 300.0
 #: Cumulated probabilities are whole numbers below 2 ** BITS, under the number of their node.
@@ -41,7 +43,7 @@ HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units over this are cut at free borders; what stays longer is drawn block by block.
 LONG, BLOCK = 64, 4096
 #: Characters of a long run that are looked up at once, and units drawn at once.
-RUN, DRAWN = 1 << 16, 1 << 18
+RUN, DRAWN = 1 << 16, 1 << 17
 #: A word with the spaces before it, spaces at a line's end, or a line feed (which no piece holds).
 UNIT = re.compile(" *[^ \\n]+|\\n| +")
 
@@ -121,20 +123,29 @@ class Sampler:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        none = np.zeros(0, np.int64)
-        self.first, self.length, self.key, self.back, self.emit = none, none, none, none.astype(np.int8), none.astype(np.int32)
-        self.nodes = 0
+        self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.key, self.back, self.emit = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int32)
+        self.nodes = self.used = 0
 
     def add(self, units: list[str]) -> None:
-        """Forward-filter new distinct units."""
+        """Forward-filter new distinct units; the edges' arrays grow by doubling."""
         by_length: dict[int, list[str]] = {}
         for u in units:
             by_length.setdefault(len(u), []).append(u)
-        parts = []
+        firsts, lengths = [self.first], [self.length]
         for n, group in by_length.items():
-            for at in range(0, len(group), 2048):
-                parts.append(self.filter(group[at : at + 2048], n))
-        self.first, self.length, self.key, self.back, self.emit = (np.concatenate([old, *(x[k] for x in parts)]) for k, old in enumerate((self.first, self.length, self.key, self.back, self.emit)))
+            step = max(32, LATTICE // (n * len(self.spans)))
+            for at in range(0, len(group), step):
+                first, length, *edges = self.filter(group[at : at + step], n)
+                firsts.append(first)
+                lengths.append(length)
+                end = self.used + len(edges[0])
+                if end > len(self.key):
+                    self.key, self.back, self.emit = (np.concatenate([x, np.empty(max(len(x), end - len(x)), x.dtype)]) for x in (self.key, self.back, self.emit))
+                for own, new in zip((self.key, self.back, self.emit), edges):
+                    own[self.used : end] = new
+                self.used = end
+        self.first, self.length = np.concatenate(firsts), np.concatenate(lengths)
 
     def edges(self, chars: np.ndarray, spans: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Weights and piece numbers by end (0 to n), span and row of equally long rows of code points."""
@@ -183,7 +194,7 @@ class Sampler:
         self.nodes += m * (n + 1)
         known = len(self.code)
         self.code.update(zip(units, range(known, known + m)))
-        return first, np.full(m, n, np.int64), (first[unit] + node << BITS) + steps[node, k, unit], np.array(spans, np.int8)[k], emit[node, k, unit]
+        return first, np.full(m, n, np.int32), (first[unit] + node << BITS) + steps[node, k, unit], np.array(spans, np.int8)[k], emit[node, k, unit]
 
     def free_units(self, run: str) -> list[str]:
         """A long run cut at every border that no piece found in it crosses."""
@@ -285,7 +296,7 @@ class Sampler:
         code = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
         by_unit = np.argsort(code, kind="stable")  # searches then go through the lattices in order
         code, draw = code[by_unit], draw[by_unit]
-        key, back, emit, first = self.key, self.back, self.emit, self.first[code]
+        key, back, emit, first = self.key[: self.used], self.back, self.emit, self.first[code]
         node = first + self.length[code]
         live, steps = np.arange(len(code)), []
         while len(live):
@@ -391,9 +402,9 @@ def encode_texts(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0,
             texts, key = b.column("__text").to_pylist(), seeds(b.column("__key").to_pylist(), seed)
             ids: list[bytes] = []
             start = size = 0
-            for k, t in enumerate(texts):  # about a million characters at a time, so that long texts do not add up
+            for k, t in enumerate(texts):  # about half a million characters at a time, so that long texts do not add up
                 size += len(t or "")
-                if size > 1 << 20 or k == len(texts) - 1:
+                if size > 1 << 19 or k == len(texts) - 1:
                     ids += sampler.encode([x or "" for x in texts[start : k + 1]], key[start : k + 1])
                     start, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=[*keep, "ids", "n_pieces"])

@@ -26,9 +26,9 @@ SEGMENT_BYTES = bytes(10 if chr(b) in ".!?\n\r" else WORD_BYTES[b] for b in rang
 #: Sentences of more words are stepped through one by one, shorter ones side by side.
 WIDE = 2048
 #: Buckets of character trigrams, and words that a worker remembers.
-TRIGRAM_BITS, CACHE_WORDS = 12, 400_000
-#: Words of a step of the fit.
-BATCH = 1 << 18
+TRIGRAM_BITS, CACHE_WORDS = 12, 150_000
+#: Words of a step of the fit, and characters of texts that are tagged side by side.
+BATCH, TAGGED = 1 << 17, 1 << 19
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,14 +60,14 @@ class Lattice:
         long = int((lengths > WIDE).sum())
         #: Sentences for which a step of vectors would hold hardly anything.
         self.single = list(zip(start[:long].tolist(), lengths[:long].tolist()))
-        start, lengths = start[long:], lengths[long:]
+        start, lengths = start[long:].astype(np.int32), lengths[long:]
         steps = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
         #: The token of each active sentence at every step.
         self.at = [start[: active[t]] + t for t in range(steps)]
-        inner = self.at[1:] + [np.arange(a + 1, a + n) for a, n in self.single]
+        inner = self.at[1:] + [np.arange(a + 1, a + n, dtype=np.int32) for a, n in self.single]
         #: Tokens that have one before them in their sentence, and those that have one after.
-        self.inner = np.concatenate(inner) if inner else np.zeros(0, np.int64)
+        self.inner = np.concatenate(inner) if inner else np.zeros(0, np.int32)
 
     def messages(self, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ratios toxic : clean of the forward and backward messages; e: emission odds, t: 2 x 2 transition weights."""
@@ -118,27 +118,32 @@ class Crf:
         return np.add.reduceat(self.gram[grams], np.cumsum(sizes) - sizes) / sizes if len(sizes) else np.zeros(0)
 
 
-def fit_crf(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], column: np.ndarray, grams: np.ndarray, sizes: np.ndarray, rounds: int = 20) -> Crf:
+def fit_crf(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], column: np.ndarray, grams: np.ndarray, sizes: np.ndarray, steps: int = 160) -> Crf:
     """Fit on batches of (word numbers, labels, sentence lengths): Adagrad on the conditional likelihood, L2 on all weights.
 
-    column has the weight's column of every word number; grams and sizes its trigrams.
+    column has the weight's column of every word number; grams and sizes its trigrams.  All
+    batches are gone through at least four times and until about ``steps`` steps were taken.
     """
     none = int(column.max()) + 1
     crf = Crf(none)
     parts = ("own", "before", "after", "gram", "bias", "trans")
     seen = {k: np.full_like(getattr(crf, k), 1e-2) for k in parts}
     rate = {"own": 0.5, "before": 0.2, "after": 0.2, "gram": 0.2, "bias": 0.3, "trans": 0.3}
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    lattices = [Lattice(n.astype(np.int64)) for _, _, n in batches]
-    for _ in range(rounds):
-        for (word, y, _), lattice in zip(batches, lattices):
+    start, own = np.cumsum(sizes) - sizes, []
+    for word, _, n in batches:  # each batch looks at the spelling of its own words only
+        met, number = np.unique(word, return_inverse=True)
+        some = sizes[met]
+        at = np.repeat(start[met] - np.cumsum(some) + some, some) + np.arange(int(some.sum()))
+        own.append((Lattice(n.astype(np.int64)), number.astype(np.int32), grams[at], some))
+    for _ in range(max(4, -(-steps // len(batches)))):
+        for (word, y, _), (lattice, number, spelt, some) in zip(batches, own):
             c = column[word]
             near = lattice.neighbours(c, none)
-            e, t = crf.emissions(c, crf.spelling(grams, sizes)[word], near), np.exp(crf.trans)
+            e, t = crf.emissions(c, crf.spelling(spelt, some)[number], near), np.exp(crf.trans)
             fwd, bwd = lattice.messages(e, t)
             odds = fwd * bwd
             short = y - odds / (1 + odds)
-            by_word = np.bincount(word, weights=short, minlength=len(sizes)) / sizes
+            by_word = np.bincount(number, weights=short, minlength=len(some)) / some
             inner, gold_y = lattice.inner, y.astype(np.int64)
             r, after = fwd[inner - 1], e[inner] * bwd[inner]
             pair = np.stack([np.full_like(r, t[0, 0]), t[0, 1] * after, r * t[1, 0], r * t[1, 1] * after])
@@ -146,7 +151,7 @@ def fit_crf(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], column: np
             gold = np.bincount(2 * gold_y[inner - 1] + gold_y[inner], minlength=4).astype(float)
             grad = {
                 "own": np.bincount(c, weights=short, minlength=none + 1), "before": np.bincount(near[0], weights=short, minlength=none + 1),
-                "after": np.bincount(near[1], weights=short, minlength=none + 1), "gram": np.bincount(grams, weights=by_word[owner], minlength=1 << TRIGRAM_BITS),
+                "after": np.bincount(near[1], weights=short, minlength=none + 1), "gram": np.bincount(spelt, weights=np.repeat(by_word, some), minlength=1 << TRIGRAM_BITS),
                 "bias": np.array([short.sum()]), "trans": (gold - pair.sum(axis=1)).reshape(2, 2),
             }
             for k in parts:
@@ -272,8 +277,8 @@ def fit(rows, min_docs: int = 4, min_lift: float = 2.5) -> Tagger:
     crf = fit_crf(batches, column, grams, sizes)
     tagger = Tagger(crf, {w: int(column[k]) for w, k in number.items() if known[k]}, np.zeros(4))
     words, seen = list(number), []
-    for i in range(0, len(docs), 500):
-        part = docs[i : i + 500]
+    for i in range(0, len(docs), 100):
+        part = docs[i : i + 100]
         seen += [tagger.summary(p) for p in tagger.marginals([[[words[x] for x in s] for s in np.split(w, np.cumsum(n)[:-1])] if len(w) else [] for w, n in part])]
     tagger.layer = logistic(np.array(seen), y.astype(float), l2=0.1)
     return tagger
@@ -295,7 +300,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: i
     return found.select("__lid", *[f"__{c}" for c in columns], "__y").repartition(8, "__lid").sortWithinPartitions("__lid", *[f"__{c}" for c in columns])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """Fit on a bounded sample (max_rows, a parameter) of labelled rows that are not held out."""
     sample = training_sample(docs, labels, "toxic", max_rows, id_col, [text_col])
     return fit((r[1], r[2]) for r in sample.toLocalIterator())
@@ -323,8 +328,12 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, threshold: float = 0.3, span
     def run(batches):
         model = shared.value
         for b in batches:
-            texts = [t.as_py() for t in b.column("__text")]
-            marginals = model.marginals([segments(t) for t in texts])
+            texts, marginals, start, size = b.column("__text").to_pylist(), [], 0, 0
+            for k, t in enumerate(texts):
+                size += len(t or "")
+                if size > TAGGED or k == len(texts) - 1:
+                    marginals += model.marginals([segments(t) for t in texts[start : k + 1]])
+                    start, size = k + 1, 0
             score = model.scores(marginals)
             found = [spans(t, p) if len(p) and p.max() >= span_threshold else [] for t, p in zip(texts, marginals)]
             yield pa.RecordBatch.from_arrays(
