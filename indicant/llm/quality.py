@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -26,37 +25,94 @@ from .toxicity import logistic, training_sample
 META = ("lang", "source", "n_chars")
 LANGS, SOURCES, SIZES = 16, 64, 24
 #: Buckets of a text's words.
-BUCKETS = 256
+BUCKET_BITS = 8
+BUCKETS = 1 << BUCKET_BITS
 CONTENT, METADATA = 256 + 5 + BUCKETS, LANGS + SOURCES + SIZES
 #: Gradients are added up as whole numbers of this unit, so that their order does not matter.
 UNIT = 1 << 20
 
 
-class Buckets(dict):
-    """Bucket of each word; bounded, words come again."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = k = zlib.crc32(word) % BUCKETS
-        return k
-
-
-BUCKET = Buckets()
+#: Bytes of texts that are looked at side by side; a longer text goes in pieces, cut between words.
+PIECE = 1 << 20
+SPACE, LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER[65:91] += 32
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+BYTE = np.random.default_rng(20240303).integers(1, 1 << 63, 256, dtype=np.uint64)
+POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(1023, HASH_BASE, np.uint64))])
+
+
+def word_counts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces side by side: bytes by value, words by bucket, and (piece, hash) of their distinct words."""
+    size = np.array([len(r) for r in raws], np.int64)
+    flat = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+    owner = np.repeat(np.arange(len(raws)), size + 1)
+    spread = np.bincount(owner * 256 + flat, minlength=256 * len(raws)).reshape(-1, 256)
+    spread[:, 32] -= 1  # the space between pieces
+    gap = SPACE[flat]
+    word = ~gap
+    first = np.flatnonzero(word & np.concatenate([[True], gap[:-1]]))
+    length = np.flatnonzero(gap & np.concatenate([[False], word[:-1]])) - first
+    if not len(first):
+        return spread, np.zeros((len(raws), BUCKETS)), np.zeros((0, 2), np.uint64)
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    terms = BYTE[LOWER[flat[np.repeat(first, length) + place]]] * POWERS[place % len(POWERS)] + place.astype(np.uint64) // np.uint64(len(POWERS))
+    h = np.add.reduceat(terms, np.cumsum(length) - length)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    of = owner[first]
+    pairs = np.unique(h ^ of.astype(np.uint64) * HASH_BASE, return_index=True)[1]
+    return spread, np.bincount(of * BUCKETS + bucket, minlength=BUCKETS * len(raws)).reshape(-1, BUCKETS).astype(float), np.stack([of[pairs].astype(np.uint64), h[pairs]], axis=1)
+
+
+def pieces_of(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while len(raw) - at > PIECE:
+        cut = max(raw.rfind(c, at, at + PIECE) for c in (b" ", b"\n", b"\t"))
+        end = cut if cut > at else at + PIECE
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
+
+
+def content_views(texts: list[str | None]) -> np.ndarray:
+    """A row of features a text: shares of bytes, five counts, shares of words by bucket."""
+    raws = [(t or "").encode() for t in texts]
+    spread, buckets, distinct = np.zeros((len(raws), 256)), np.zeros((len(raws), BUCKETS)), np.zeros(len(raws))
+    start = size = 0
+    for k, raw in enumerate(raws):
+        size += len(raw)
+        if size > PIECE or k == len(raws) - 1:
+            group, rows = [], []
+            for j in range(start, k + 1):
+                parts = [raws[j]] if len(raws[j]) <= PIECE else pieces_of(raws[j])
+                group += parts
+                rows += [j] * len(parts)
+            seen: dict[int, list] = {}
+            while group:
+                n = max(1, int(np.searchsorted(np.cumsum([len(g) for g in group]), 2 * PIECE)))
+                one, two, words = word_counts(group[:n])
+                np.add.at(spread, rows[:n], one)
+                np.add.at(buckets, rows[:n], two)
+                row = np.array(rows[:n])[words[:, 0].astype(np.int64)]
+                if len(set(rows)) == len(rows):
+                    distinct += np.bincount(row, minlength=len(raws))
+                else:
+                    for j in set(row.tolist()):
+                        seen.setdefault(j, []).append(words[row == j, 1])
+                group, rows = group[n:], rows[n:]
+            for j, hashes in seen.items():
+                distinct[j] = len(np.unique(np.concatenate(hashes)))
+            start, size = k + 1, 0
+    n, total = np.array([len(r) for r in raws], float), buckets.sum(axis=1)
+    lines = [[x for x in r.split(b"\n") if x.strip()] for r in raws]
+    n_lines, own_lines = (np.array([len(x) for x in side], float) for side in (lines, [set(x) for x in lines]))
+    counts = [np.log1p(total) / 10, n / (total + 1) / 20, distinct / (total + 1), own_lines / (n_lines + 1), np.log1p(n / (n_lines + 1)) / 10]
+    return np.hstack([np.log1p(1000 * spread / np.maximum(n, 1)[:, None]) / 5, np.stack(counts, axis=1), np.sqrt(buckets / np.maximum(total, 1)[:, None])])
 
 
 def content_view(text: str | None) -> np.ndarray:
-    raw = (text or "").encode()
-    n = len(raw)
-    w, lines = Counter(raw.lower().split()), [x for x in raw.split(b"\n") if x.strip()]
-    freq = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(n, 1)
-    total = sum(w.values())
-    spread = np.bincount([BUCKET[x] for x in w], weights=list(w.values()), minlength=BUCKETS) if w else np.zeros(BUCKETS)
-    return np.concatenate([
-        np.log1p(1000 * freq) / 5,
-        [math.log1p(total) / 10, n / (total + 1) / 20, len(w) / (total + 1), len(set(lines)) / (len(lines) + 1), math.log1p(n / (len(lines) + 1)) / 10],
-        np.sqrt(spread / max(total, 1)),
-    ])
+    return content_views([text])[0]
 
 
 def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -152,7 +208,7 @@ def pool_gradients(docs: DataFrame, known: set, views: tuple[np.ndarray, np.ndar
             free = [k for k, i in enumerate(b.column(0).to_pylist()) if i not in known]
             b = b.take(pa.array(free, pa.int64()))
             if b.num_rows:
-                x = stacked([content_view(t.as_py()) for t in b.column(1)], CONTENT), stacked([metadata_view(*m) for m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))], METADATA)
+                x = content_views(b.column(1).to_pylist()), stacked([metadata_view(*m) for m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))], METADATA)
                 for k, label, n, g in sure_rows(views, x, sure):
                     sums = total.setdefault((k, label), [0, np.zeros(len(g), np.int64)])
                     sums[0] += n
@@ -205,7 +261,7 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5, tex
         model = shared.value
         for b in batches:
             meta = [b.column(f"__{c}").to_pylist() for c in META]
-            content = stacked([content_view(t.as_py()) for t in b.column("__text")], CONTENT)
+            content = content_views(b.column("__text").to_pylist()) if b.num_rows else np.zeros((0, CONTENT))
             scores = model.scores(content, stacked([metadata_view(*m) for m in zip(*meta)], METADATA)) if b.num_rows else (np.zeros(0),) * 3
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(s, pa.float64()) for s in scores] + [pa.array((scores[0] >= threshold).astype(np.int32), pa.int32())], names=[*keep, "score", "content_score", "metadata_score", "predicted"])
 
