@@ -358,9 +358,8 @@ def vocabulary(path: str, alpha: float, stamp: str) -> Vocabulary:
     return Vocabulary(path, alpha)
 
 
-@lru_cache(maxsize=1)
 def sampler_of(path: str, alpha: float, stamp: str) -> Sampler:
-    """One sampler a worker and model file, kept from task to task."""
+    """A task's sampler; its lattices are freed with the task, so that workers of later stages do not hold them."""
     return Sampler(vocabulary(path, alpha, stamp))
 
 
