@@ -104,6 +104,30 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM k"""
 
+#: Phrases as joined texts, cut from arrays of words, and judged against every longer one.
+COLLOCATION_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWER} AS t FROM documents),
+p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(ws[i + 1 : i + k], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM p, range(1, 6) AS r(k) WHERE len(ws) >= k)
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (
+  SELECT * FROM g WHERE k > 1 AND NOT EXISTS (
+    SELECT 1 FROM g AS b WHERE b.lang = g.lang AND b.k > g.k AND b.a >= g.a AND contains(' ' || b.phrase || ' ', ' ' || g.phrase || ' '))),
+cut AS (
+  SELECT lang, phrase, a, j, array_to_string(ws[1 : j], ' ') AS head, array_to_string(ws[j + 1 :], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM c)),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, n, j, (1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN g AS x ON x.lang = cut.lang AND x.phrase = head JOIN g AS y ON y.lang = cut.lang AND y.phrase = rest JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op5_ann": ANN_SQL, "op6_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}
+    return {"op1_license_scan": license_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op5_ann": ANN_SQL, "op6_chat_format": CHAT_SQL, "op10_warc": WARC_SQL, "op11_collocations": COLLOCATION_SQL}

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, sentencepiece_codec, toxicity, warc
+from . import byte_bpe, chat_format, quality, sentencepiece_codec, toxicity, warc
 from .ann import nearest_neighbours
+from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .token_counts import count_tokens
+from .whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -71,9 +73,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     own = (
         op1_license_scan, op2_sentencepiece, op3_near_dedup, op4_decontamination, op5_ann,
         op6_chat_format, op7_quality, op8_toxicity, op9_token_counts, op10_warc,
+        op11_collocations, op12_byte_bpe, op13_whitening,
     )
     return {f.__name__: f for f in own}
