@@ -56,12 +56,15 @@ def semi_joined(rows: DataFrame, groups: DataFrame, on: list[str], buckets: int)
 
 
 class Relation:
-    """An occurrence relation (doc, pos, id) as a table bucketed by doc and sorted by position."""
+    """An occurrence relation (doc, pos, id) as a table bucketed by doc and sorted by position.
+
+    Runs of documents and dictionaries of positions and numbers keep it small without a codec.
+    """
 
     def __init__(self, rows: DataFrame, where: str, name: str, buckets: int):
         self.spark, self.name = rows.sparkSession, f"indicant_{name}_{uuid.uuid4().hex}"
         writer = rows.select("doc", "pos", "id").write.bucketBy(buckets, "doc").sortBy("doc", "pos")
-        writer.option("path", f"{where}/{name}").format("parquet").saveAsTable(self.name)
+        writer.option("path", f"{where}/{name}").option("compression", "none").format("parquet").saveAsTable(self.name)
 
     def next_to_itself(self) -> DataFrame:
         """(doc, pos, first, last): every occurrence and that at the next position, by a merge join."""
@@ -90,9 +93,9 @@ class co_located:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, a) of every lower-case word: words are counted as written first, and lower-cased when distinct."""
-    written = occurrences(docs.withColumn("doc", F.lit(0))).groupBy("lang", "word").agg(F.count("*").alias("a"))
-    return written.groupBy("lang", ascii_lower(F.col("word")).alias("word")).agg(F.sum("a").alias("a"))
+    """(lang, written, word, a) of every word as it is written, and in lower case: the text's letters are not all turned."""
+    counts = occurrences(docs.withColumn("doc", F.lit(0))).groupBy("lang", "word").agg(F.count("*").alias("a"))
+    return counts.select("lang", F.col("word").alias("written"), ascii_lower(F.col("word")).alias("word"), "a")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, where: str) -> tuple[DataFrame, DataFrame]:
@@ -101,12 +104,12 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, where: str) -> t
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = stored(word_counts(docs), where, "words")
     totals = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")), where, "totals")
-    groups = frequent_groups(counts, least, where, "groups1")
+    groups = frequent_groups(counts.groupBy("lang", "word").agg(F.sum("a").alias("a")), least, where, "groups1")
     found = groups.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "a")
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "lang", "text")
     placed = occurrences(numbered.repartition(buckets, "doc").sortWithinPartitions("doc"))
-    written = semi_joined(placed.withColumn("word", ascii_lower(F.col("word"))), groups.select("lang", "word", "id"), ["lang", "word"], buckets)
-    relation = Relation(written, where, "r1", buckets)
+    forms = stored(counts.select("lang", "written", "word").join(groups.select("lang", "word", "id"), ["lang", "word"]).select("lang", F.col("written").alias("word"), "id"), where, "forms")
+    relation = Relation(semi_joined(placed, forms, ["lang", "word"], buckets), where, "r1", buckets)
     texts = groups.select("id", "lang", F.array("word").alias("words"))
     with co_located(spark):
         for size in range(2, longest + 1):
