@@ -226,4 +226,12 @@ def oracle_sql() -> dict[str, str]:
         "store_round_trip": f"WITH {CLASSED} SELECT source_value, started, count(*)::BIGINT AS n_iocs, count(*) FILTER (w)::BIGINT AS n_warnings FROM c JOIN (VALUES ('{NOW[:10]}'), ('{LATER[:10]}')) AS t(started) ON started = '{NOW[:10]}' OR {odd} GROUP BY ALL",
         "read_files": f"SELECT n_nationkey, {nation} AS text FROM nation",
     }
+    held = "ioc_type IN ('emails', 'ips', 'sha1')"
+    observed = f"WITH {document_rows()} SELECT 'rows' AS metric, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'bytes', coalesce(sum(strlen(text)), 0)::BIGINT FROM documents UNION ALL SELECT t, count(r.value)::BIGINT FROM (VALUES ('emails'), ('ips'), ('sha1')) AS k(t) LEFT JOIN r ON r.ioc_type = t GROUP BY t"
+    out |= {
+        "range_extract": f"WITH {document_rows()} SELECT DISTINCT size::INT AS size, ioc_type, value FROM r, (VALUES (3000), (65536)) AS t(size) WHERE {held}",
+        "range_bytes": "SELECT size::INT AS size, (SELECT sum(strlen(coalesce(text, '')) + 1) FROM documents)::BIGINT AS n_bytes, true AS bounded FROM (VALUES (3000), (65536)) AS t(size)",
+        "stream_by_source": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE {held}",
+        "observed_totals": observed, "stream_progress": observed,
+    }
     return out

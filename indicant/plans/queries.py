@@ -406,6 +406,8 @@ def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import ingest
+
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"extract_{t}": extraction(t) for t in EXTRACTORS}
     out |= {n: stage(k) for k, n in enumerate(("wl_string_join", "wl_regex_join", "wl_cidr_join", "wl_substring_join"))}
     own = (
@@ -416,4 +418,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many, chunked_small,
         chunked_ahead, warning_lines, hashes_section, store_round_trip, read_files,
     )
-    return out | {f.__name__: f for f in own}
+    return out | {f.__name__: f for f in own} | ingest.queries()
