@@ -1,15 +1,21 @@
 """The relational store: sources, runs, iocs and their links, as Parquet tables.
 
 Ids are 128-bit digests of the unique keys, so no sequence, single writer or global order is
-needed.  Sightings, runs, iocs and links are kept by batch, a folder for each call of
-``persist``; the same call again replaces its own batch, so it can be repeated after a failure
-at any point.  ``sources`` is what the sightings add up to.
+needed.  A call of ``persist`` writes a batch: its sightings, runs, iocs and links, complete in
+itself, under a folder of the attempt's own, and then publishes it with one marker, a small file
+written last.  Readers see the parts that markers name and nothing else, so a run is there as a
+whole or not at all, whoever else writes.  The marker is named by the batch's content: the same
+run again finds its marker and leaves its own part unseen.  ``compact`` publishes one
+part in the place of many the same way.  Rows that several batches hold, equal in all columns
+and so in their id, are one row to readers.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +27,7 @@ IOCS = "id string, ioc_type string, value string, is_warning boolean, warning_li
 RUN_IOCS = "id string, run_id string, ioc_id string"
 SIGHTINGS = "kind string, value string, content_hash string, seen timestamp"
 IOC_KEY = ["ioc_type", "value", "is_warning", "warning_list", "warning_description"]
+TABLES = {"sightings": SIGHTINGS, "runs": RUNS, "iocs": IOCS, "run_iocs": RUN_IOCS}
 
 
 @dataclass(frozen=True)
@@ -43,21 +50,17 @@ def source_id(kind: str = "kind", value: str = "value") -> Column:
     return digest(kind, value)
 
 
-def merged_sources(existing: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """existing after the sources in seen (kind, value) were met at ``now``: known ones get a new last_seen."""
-    met = seen.select("kind", "value").distinct().withColumn("met", now)
-    both = existing.join(met, ["kind", "value"], "full")
-    return both.select(
-        F.coalesce("id", source_id()).alias("id"), "kind", "value", "content_hash",
-        F.coalesce("first_seen", "met").alias("first_seen"), F.coalesce("met", "last_seen").alias("last_seen"),
-    )
+def warning_texts() -> tuple[Column, Column, Column]:
+    """Whether a row is a warning, its list and its description; both are empty for others."""
+    warned = F.coalesce(F.col("is_warning"), F.lit(False))
+    text = lambda c: F.when(warned, F.coalesce(c, F.lit(""))).otherwise("")
+    return warned, text("warning_list"), text("description")
 
 
 def ioc_rows(classified: DataFrame) -> DataFrame:
     """Distinct iocs of classified indicators; empty values are skipped, absent warnings are empty strings."""
-    warned = F.coalesce(F.col("is_warning"), F.lit(False))
-    text = lambda c: F.when(warned, F.coalesce(c, F.lit(""))).otherwise("")
-    rows = classified.filter("value IS NOT NULL AND value <> ''").select("ioc_type", "value", warned.alias("is_warning"), text("warning_list").alias("warning_list"), text("description").alias("warning_description"))
+    warned, name, description = warning_texts()
+    rows = classified.filter("value IS NOT NULL AND value <> ''").select("ioc_type", "value", warned.alias("is_warning"), name.alias("warning_list"), description.alias("warning_description"))
     return rows.distinct().select(digest(*IOC_KEY).alias("id"), *IOC_KEY)
 
 
@@ -66,71 +69,166 @@ def new_iocs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(existing.select(*IOC_KEY), IOC_KEY, "left_anti")
 
 
-def run_rows(sources: DataFrame, now: Column, version: str, options: Options) -> DataFrame:
+def run_id(source: Column | str, now: Column, batch: str) -> Column:
+    """Id of a source's run; a batch, where one is named, tells runs of one moment apart."""
+    return digest(source, now, *([F.lit(batch)] if batch else []))
+
+
+def run_rows(sources: DataFrame, now: Column, version: str, options: Options, batch: str = "") -> DataFrame:
     """One run a source (kind, value): started and finished at ``now``."""
     own = sources.select("kind", "value").distinct().select(source_id().alias("source_id"), now.alias("started_at"))
-    return own.select(digest("source_id", "started_at").alias("id"), "source_id", "started_at", F.col("started_at").alias("finished_at"), F.lit(version).alias("tool_version"), F.lit(options.to_json()).alias("options_json"))
+    return own.select(run_id("source_id", F.col("started_at"), batch).alias("id"), "source_id", "started_at", F.col("started_at").alias("finished_at"), F.lit(version).alias("tool_version"), F.lit(options.to_json()).alias("options_json"))
 
 
-def link_rows(classified: DataFrame, now: Column) -> DataFrame:
+def link_rows(classified: DataFrame, now: Column, batch: str = "") -> DataFrame:
     """Links of runs to iocs, each once; classified carries kind and source_value."""
-    warned = F.coalesce(F.col("is_warning"), F.lit(False))
-    text = lambda c: F.when(warned, F.coalesce(c, F.lit(""))).otherwise("")
     ids = classified.filter("value IS NOT NULL AND value <> ''").select(
-        digest(source_id("kind", "source_value"), now).alias("run_id"),
-        digest("ioc_type", "value", warned, text("warning_list"), text("description")).alias("ioc_id"),
+        run_id(source_id("kind", "source_value"), now, batch).alias("run_id"), digest("ioc_type", "value", *warning_texts()).alias("ioc_id"),
     ).distinct()
     return ids.select(digest("run_id", "ioc_id").alias("id"), "run_id", "ioc_id")
 
 
+def content_digest(rows: DataFrame) -> str:
+    """A digest of the rows as a set with repeats, whatever their order: two sums of 64-bit hashes and a count."""
+    each = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), each).cast("decimal(38,0)"))
+    r = rows.agg(total(1).alias("a"), total(2).alias("b"), F.count("*").alias("n")).first()
+    return f"{r.a}|{r.b}|{r.n}"
+
+
 class Store:
-    """The four tables under a folder of any store that Spark reaches."""
+    """The four tables under a folder of any store that Spark reaches.
+
+    ``tables/<name>/part=<part>`` holds rows, ``published/<batch>`` a marker with the parts it
+    stands for and the batches whose place it takes.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
+    def _place(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _read(self, name: str, schema: str, without: str | None = None) -> DataFrame:
-        """A table, or what it was before a batch."""
-        if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}")
-        return (rows if without is None else rows.filter(F.col("batch") != without)).drop("batch")
+    def _exists(self, name: str) -> bool:
+        system, p = self._place(name)
+        return system.exists(p)
+
+    def _delete(self, name: str) -> None:
+        system, p = self._place(name)
+        system.delete(p, True)
+
+    def _markers(self) -> dict[str, dict]:
+        """Every marker by its batch; one is an entry of a folder and a line of JSON."""
+        if not self._exists("published"):
+            return {}
+        texts = self.spark.read.option("wholetext", True).text(f"{self.path}/published").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("batch"), "value")
+        return {r.batch: json.loads(r.value) for r in texts.collect()}
+
+    def batches(self) -> dict[str, dict]:
+        """The markers that no other one has replaced."""
+        found = self._markers()
+        gone = {b for m in found.values() for b in m["replaces"]}
+        return {b: m for b, m in found.items() if b not in gone}
+
+    def _publish(self, batch: str, part: str, replaces: list[str] = []) -> bool:  # noqa: B006
+        """Write the marker, whole or not at all: a file of another name, then renamed.  False if it was there already."""
+        system, ready = self._place(f"unpublished/{uuid.uuid4().hex}")
+        out = system.create(ready, False)
+        out.write(json.dumps({"part": part, "replaces": replaces}).encode())
+        out.close()
+        _, marker = self._place(f"published/{batch}")
+        system.mkdirs(marker.getParent())
+        if not system.exists(marker) and system.rename(ready, marker):
+            return True
+        system.delete(ready, False)
+        return False
+
+    def _write(self, rows: dict[str, DataFrame]) -> str:
+        """Write the tables of one attempt, which nobody sees yet."""
+        part = uuid.uuid4().hex
+        for name, df in rows.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/tables/{name}/part={part}")
+        return part
+
+    def _drop(self, part: str) -> None:
+        for name in TABLES:
+            self._delete(f"tables/{name}/part={part}")
+
+    def _read(self, name: str) -> DataFrame:
+        """The published rows of a table, equal ones once."""
+        parts = [m["part"] for m in self.batches().values()]
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        where = f"{self.path}/tables/{name}"
+        rows = self.spark.read.schema(TABLES[name]).option("basePath", where).parquet(*[f"{where}/part={p}" for p in parts])
+        rows = rows.drop("part")
+        return rows if len(parts) == 1 else rows.distinct()
 
     def sources(self) -> DataFrame:
-        seen = self._read("sightings", SIGHTINGS)
-        last = F.max_by("content_hash", F.when(F.col("content_hash").isNotNull(), F.col("seen"))).alias("content_hash")
+        """Each (kind, value) with its first and last sighting, and the last content hash that one named."""
+        seen = self._read("sightings")
+        last = F.max_by("content_hash", F.when(F.col("content_hash").isNotNull(), F.struct("seen", "content_hash"))).alias("content_hash")
         return seen.groupBy("kind", "value").agg(last, F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen")).select(source_id().alias("id"), "kind", "value", "content_hash", "first_seen", "last_seen")
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        return self._read("runs")
 
     def iocs(self) -> DataFrame:
-        return self._read("iocs", IOCS)
+        return self._read("iocs")
 
     def run_iocs(self) -> DataFrame:
-        return self._read("run_iocs", RUN_IOCS)
+        return self._read("run_iocs")
 
     def persist(self, classified: DataFrame, now: str, version: str = "1.0", options: Options = Options(), sources: DataFrame | None = None) -> str:
         """Add one run for each source in classified (kind, source_value, ...), or in ``sources`` (kind, value[, content_hash]) if some have none.
 
-        Returns the batch, which names the time and the sources.
+        Returns the batch, named by all that the run consists of.  A call that fails at any
+        point has added nothing and can be made again.
         """
         at = F.lit(now).cast("timestamp")
-        own = classified.select("kind", F.col("source_value").alias("value")) if sources is None else sources
-        own = own.select("kind", "value", (F.col("content_hash") if "content_hash" in own.columns else F.lit(None)).cast("string").alias("content_hash")).distinct()
-        total = own.agg(F.sum(F.xxhash64("kind", "value").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
-        batch = hashlib.md5(f"{now}|{total.h}|{total.n}".encode()).hexdigest()
-        rows = {
-            "iocs": new_iocs(self._read("iocs", IOCS, batch), ioc_rows(classified)), "run_iocs": link_rows(classified, at),
-            "sightings": own.withColumn("seen", at), "runs": run_rows(own, at, version, options),
-        }
-        for name, df in rows.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        warned, name, description = warning_texts()
+        rows = classified.select("kind", "source_value", "ioc_type", "value", warned.alias("is_warning"), name.alias("warning_list"), description.alias("description"))
+        staged = f"{self.path}/unpublished/{uuid.uuid4().hex}"
+        rows.distinct().write.parquet(staged)  # what classified costs is paid once
+        try:
+            rows = self.spark.read.schema(rows.schema).parquet(staged)
+            own = rows.select("kind", F.col("source_value").alias("value")) if sources is None else sources
+            own = own.select("kind", "value", (F.col("content_hash") if "content_hash" in own.columns else F.lit(None)).cast("string").alias("content_hash")).distinct()
+            named = "|".join([now, version, options.to_json(), content_digest(rows), content_digest(own)])
+            batch = hashlib.md5(named.encode()).hexdigest()
+            if not self._exists(f"published/{batch}"):
+                part = self._write({"iocs": ioc_rows(rows), "run_iocs": link_rows(rows, at, batch), "sightings": own.withColumn("seen", at), "runs": run_rows(own, at, version, options, batch)})
+                if not self._publish(batch, part):
+                    self._drop(part)
+        finally:
+            self._delete(staged.removeprefix(f"{self.path}/"))
+        return batch
+
+    def compact(self) -> str | None:
+        """Publish one part with the rows of all batches in their place; their files stay for readers until ``vacuum``."""
+        old = sorted(self.batches())
+        if len(old) < 2:
+            return None
+        part = self._write({name: self._read(name) for name in TABLES})
+        batch = hashlib.md5("|".join(old).encode()).hexdigest()
+        if not self._publish(batch, part, old):
+            self._drop(part)
         return batch
 
+    def vacuum(self, older_than_s: float = 86400.0) -> int:
+        """Delete the parts that no reader of the current state needs, of replaced batches and of attempts that ended unpublished, if last touched so long ago.  Returns how many."""
+        needed, gone = {m["part"] for m in self.batches().values()}, 0
+        limit = (time.time() - older_than_s) * 1000
+        names = set()
+        for table in TABLES:
+            system, p = self._place(f"tables/{table}")
+            if system.exists(p):
+                names |= {s.getPath().getName().removeprefix("part=") for s in system.listStatus(p) if s.getModificationTime() <= limit}
+        for part in names - needed:
+            self._drop(part)
+            gone += 1
+        return gone
+
     def iocs_per_run(self) -> DataFrame:
-        return self.run_iocs().join(self.iocs().withColumnRenamed("id", "ioc_id"), "ioc_id").join(self.runs().withColumnRenamed("id", "run_id"), "run_id")
+        return self.run_iocs().drop("id").join(self.iocs().withColumnRenamed("id", "ioc_id"), "ioc_id").join(self.runs().withColumnRenamed("id", "run_id"), "run_id")

@@ -7,7 +7,7 @@ judging whole tokens, instead of searching with boundaries.
 from __future__ import annotations
 
 from ..functions import lists as L
-from .queries import BASE, DOMAIN_CASES, HARD_HTML, LATER, NOW, cased
+from .queries import BASE, DOMAIN_CASES, HARD_HTML, LATER, LATEST, NOW, cased
 from .reports import IOCS, LISTS, text_sql
 
 HEX = "0-9a-fA-F"
@@ -224,6 +224,13 @@ def oracle_sql() -> dict[str, str]:
         "warning_lines": f"WITH {CLASSED} SELECT source_value, 'cves ' || value || ' (Even ''years'')' AS line FROM c WHERE w",
         "hashes_section": "SELECT CASE WHEN n_nationkey % 3 > 0 THEN 'md5' ELSE 'unknown' END AS type, CASE WHEN n_nationkey % 5 > 0 THEN md5(n_name) ELSE '' END AS value FROM nation",
         "store_round_trip": f"WITH {CLASSED} SELECT source_value, started, count(*)::BIGINT AS n_iocs, count(*) FILTER (w)::BIGINT AS n_warnings FROM c JOIN (VALUES ('{NOW[:10]}'), ('{LATER[:10]}')) AS t(started) ON started = '{NOW[:10]}' OR {odd} GROUP BY ALL",
+        "store_replaced_and_concurrent": f"""
+            WITH {CLASSED}, k AS (
+              SELECT *, '{NOW[:10]}' AS started, 'a' AS run FROM c UNION ALL SELECT *, '{LATER[:10]}', ioc_type FROM c WHERE ioc_type IN ('cves', 'emails')
+              UNION ALL SELECT *, '{LATEST[:10]}', 'odd' FROM c WHERE {odd} UNION ALL SELECT *, '{LATEST[:10]}', 'third' FROM c WHERE source_value::BIGINT % 3 = 0)
+            SELECT coalesce(source_value, 'all') AS source_value, coalesce(started, 'all') AS started, count(DISTINCT source_value || started || run)::BIGINT AS n_runs,
+              count(*)::BIGINT AS n_links, count(DISTINCT ioc_type || value)::BIGINT AS n_iocs
+            FROM k GROUP BY GROUPING SETS ((source_value, started), ())""",
         "read_files": f"SELECT n_nationkey, {nation} AS text FROM nation",
     }
     held = "ioc_type IN ('emails', 'ips', 'sha1')"

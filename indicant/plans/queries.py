@@ -16,7 +16,8 @@ from ..sources import text as sources
 from ..streaming import chunks, stream
 from .reports import IOCS, LISTS, text_sql
 
-NOW, LATER = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+NOW, LATER, LATEST = "2024-01-01 00:00:00", "2024-02-01 00:00:00", "2024-03-01 00:00:00"
+CLASSIFIED = "kind string, source_value string, ioc_type string, value string, is_warning boolean, warning_list string, description string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -229,10 +230,10 @@ def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources after two runs: all orders' customers, then those of open orders."""
     orders = table(spark, sf_dir, "orders")
     seen = lambda df: df.select(F.lit("file").alias("kind"), F.col("o_custkey").cast("string").alias("value"))
-    empty = spark.createDataFrame([], store.SOURCES)
-    first = store.merged_sources(empty, seen(orders), F.lit(NOW).cast("timestamp"))
-    second = store.merged_sources(first, seen(orders.filter("o_orderkey % 3 = 0")), F.lit(LATER).cast("timestamp"))
-    return second.select("kind", "value", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+    db, none = store.Store(spark, shared_folder(spark, "sources")), spark.createDataFrame([], CLASSIFIED)
+    db.persist(none, NOW, sources=seen(orders))
+    db.persist(none, LATER, sources=seen(orders.filter("o_orderkey % 3 = 0")))
+    return db.sources().select("kind", "value", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
 
 
 def persist_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +386,31 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_run.groupBy("source_value", F.date_format("started_at", "yyyy-MM-dd").alias("started")).agg(F.count("*").alias("n_iocs"), F.count_if("is_warning").alias("n_warnings"))
 
 
+def store_replaced_and_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written twice, one that ended before it was published, two of one moment, two writers at once, and a compaction: runs and links by source, and in all."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    where = shared_folder(spark, "store")
+    as_classified(spark, sf_dir).withColumn("kind", F.lit("file")).write.parquet(f"{where}/classified")
+    rows = spark.read.parquet(f"{where}/classified")
+    db = store.Store(spark, f"{where}/db")
+    number = F.col("source_value").cast("long")
+    for _ in range(2):
+        db.persist(rows, NOW)
+    db._write({"iocs": store.ioc_rows(rows.withColumn("value", F.concat("value", F.lit("x"))))})
+    for kind in ("cves", "emails"):
+        db.persist(rows.filter(F.col("ioc_type") == kind), LATER)
+    with ThreadPoolExecutor(2) as two:
+        list(two.map(lambda part: store.Store(spark, f"{where}/db").persist(part, LATEST), [rows.filter(number % 2 == 1), rows.filter(number % 3 == 0)]))
+    db.compact()
+    db.persist(rows, NOW)
+    db.vacuum(0)
+    per_run = db.iocs_per_run().join(db.sources().select(F.col("id").alias("source_id"), F.col("value").alias("source_value")), "source_id")
+    counts = [F.countDistinct("run_id").alias("n_runs"), F.count("*").alias("n_links"), F.countDistinct("ioc_id").alias("n_iocs")]
+    started = F.date_format("started_at", "yyyy-MM-dd").alias("started")
+    return per_run.groupBy("source_value", started).agg(*counts).union(per_run.select(F.lit("all").alias("source_value"), F.lit("all").alias("started"), "run_id", "ioc_id").groupBy("source_value", "started").agg(*counts))
+
+
 def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of several kinds written and read back by their detected type, one too large and one PDF without a parser."""
     where = shared_folder(spark, "files")
@@ -416,6 +442,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         wl_categories, wl_diagnose, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
         stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
         stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many, chunked_small,
-        chunked_ahead, warning_lines, hashes_section, store_round_trip, read_files,
+        chunked_ahead, warning_lines, hashes_section, store_round_trip, store_replaced_and_concurrent, read_files,
     )
     return out | {f.__name__: f for f in own} | ingest.queries()
