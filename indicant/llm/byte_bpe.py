@@ -18,6 +18,7 @@ import base64
 import re
 from array import array
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import file_stamp, prepare, with_kept
 from .token_counts import BASIC, BLOCK, PRETOKEN, ranges
 
-#: Entries of a worker's tables; a full table is emptied, which costs time and changes no result.
-CACHE_ENTRIES, PAIRS = 400_000, 2_000_000
+#: Entries of a worker's tables; a full one makes room, which costs time and changes no result.
+CACHE_ENTRIES, PAIRS = 400_000, 1_000_000
 LONG_PRETOKEN = 64
 #: How far past its end a match of the pattern can have looked: the letters of a contraction.
 LOOKAHEAD = 2
@@ -50,23 +51,30 @@ class Vocabulary:
             raise ValueError(f"the vocabulary lacks the bytes {lacking}")
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.size = {rank: len(token) for token, rank in ranks.items()}
-        self.longest = max(self.size.values())
+        self.size = [0] * (max(self.token) + 1)
+        for rank, token in self.token.items():
+            self.size[rank] = len(token)
+        self.longest = max(self.size)
         self.matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
             self.matches.add_word(token.decode("latin-1"), rank)
         self.matches.make_automaton()
         self.own: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The plain definition, for the few bytes of two tokens: the neighbours of least rank become one until none are a token."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        joined = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while joined and (least := min(joined)) != none:
+            at = joined.index(least)
+            parts[at] += parts.pop(at + 1)
+            del joined[at]
+            if at:
+                joined[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(joined):
+                joined[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def stands(self, token: int) -> bool:
@@ -77,12 +85,13 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode to a and b."""
-        found = self.pairs.get((a, b))
+        key = a * len(self.size) + b
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             x, y = self.token[a], self.token[b]
-            found = self.pairs[a, b] = x + y not in self.ranks and self.merged(x + y) == [x, y]
+            found = self.pairs[key] = x + y not in self.ranks and self.merged(x + y) == [x, y]
         return found
 
 
@@ -90,31 +99,36 @@ class Prefixes:
     """The last token of every prefix of a run of bytes; entry 0 is the empty prefix."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", array("i", [-1])
+        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Add bytes: earlier entries stay."""
         known = len(self.data)
         self.data += more
-        self.last.extend([-1] * len(more))
-        for _ in self._fill(known):
-            pass
+        self.last += [-1] * len(more)
+        self._fill(known)
 
-    def _fill(self, known: int):
-        """Work out the entries after ``known``, one by one; yields each place that is done."""
+    def _fill(self, known: int, enough: Callable[[int], bool] | None = None) -> None:
+        """Work out the entries after ``known``, in order, until one is enough."""
         v, last, size = self.vocabulary, self.last, self.vocabulary.size
         begin = max(0, known - v.longest + 1)
-        done = known
+        follows, pairs, width = v.follows, v.pairs, len(size)
         for end, token in v.matches.iter(self.data[begin:].decode("latin-1")):
             end += begin + 1
             if end <= known or last[end] >= 0:
                 continue
             start = end - size[token]
-            if v.stands(token) if start == 0 else v.follows(last[start], token):
+            if start:
+                before = last[start]
+                good = pairs.get(before * width + token)
+                good = follows(before, token) if good is None else good
+            else:
+                good = v.stands(token)
+            if good:
                 last[end] = token
-                done = end
-                yield done
+                if enough is not None and enough(end):
+                    break
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put new in the place of bytes start to end; returns how many entries were worked out again.
@@ -122,17 +136,20 @@ class Prefixes:
         Behind the edit it stops where the last ``longest`` entries are those from before: all
         that follow look back no further.
         """
-        old, gone = self.last, len(new) - (end - start)
+        old, gone, behind = self.last, len(new) - (end - start), start + len(new)
         self.data = self.data[:start] + new + self.data[end:]
-        self.last = old[: start + 1] + array("i", [-1] * (len(self.data) - start))
-        same, again = 0, 0
-        for at in self._fill(start):
-            again += 1
-            same = same + 1 if at > start + len(new) and self.last[at] == old[at - gone] else 0
-            if same >= self.vocabulary.longest:
-                self.last[at + 1 :] = old[at - gone + 1 :]
-                break
-        return again
+        self.last = old[: start + 1] + [-1] * (len(self.data) - start)
+        same, reached = 0, start
+
+        def settled(at: int) -> bool:
+            nonlocal same, reached
+            reached = at
+            same = same + 1 if at > behind and self.last[at] == old[at - gone] else 0
+            return same >= self.vocabulary.longest
+
+        self._fill(start, settled)
+        self.last[reached + 1 :] = old[reached - gone + 1 :]
+        return reached - start
 
     def tokens(self) -> list[int]:
         """The encoding: the last tokens, walked back from the end."""
@@ -187,18 +204,19 @@ class Encoder:
         self.vocabulary = Vocabulary(read_ranks(path))
         self.split = Splitter(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, pretoken: str) -> bytes:
-        """The ids of one pre-token as 32-bit numbers."""
-        found = self.known.get(pretoken)
+        """The ids of one pre-token as 32-bit numbers.  A full table becomes the older one, from which what is met again comes back."""
+        found = self.known.get(pretoken) or self.older.get(pretoken)
         if found is None:
             data = pretoken.encode()
             whole = self.vocabulary.ranks.get(data)
             found = array("i", [whole] if whole is not None else Prefixes(self.vocabulary, data).tokens()).tobytes()
-            if len(pretoken) <= LONG_PRETOKEN:
-                if len(self.known) >= CACHE_ENTRIES:
-                    self.known.clear()
-                self.known[pretoken] = found
+        if len(pretoken) <= LONG_PRETOKEN:
+            if len(self.known) >= CACHE_ENTRIES:
+                self.older, self.known = self.known, {}
+            self.known[pretoken] = found
         return found
 
     def encode(self, text: str) -> tuple[array, int, str]:
@@ -215,8 +233,7 @@ class Encoder:
         return out, settled, text[border:]
 
     def decode(self, ids) -> bytes:
-        token = self.vocabulary.token
-        return b"".join([token[i] for i in ids])
+        return b"".join(map(self.vocabulary.token.__getitem__, ids))
 
 
 class Encoded:
@@ -334,8 +351,10 @@ def decode_ids(encoded: DataFrame, path: str, keep: list[str] | None = None, ids
     def run(batches):
         decode = encoder(path, file_stamp(path), PRETOKEN).decode
         for b in batches:
-            ids = b.column(b.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([decode(r.as_py() or ()) for r in ids], pa.binary())], names=[*keep, "decoded"])
+            column = b.column(b.num_columns - 1)
+            ids, borders = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+            texts = [decode(ids[x:y].tolist()) for x, y in zip(borders, borders[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], names=[*keep, "decoded"])
 
     return encoded.select(*[encoded[c] for c in keep], encoded[ids_col].alias("__ids")).mapInArrow(run, with_kept(encoded, keep, "decoded binary"))
 
