@@ -15,7 +15,7 @@ DOT, BRACKETED = ".", "[.]"
 
 def quoted(words: list[str]) -> str:
     """Literal alternation of words: one expression, where a list of literals would be one for each."""
-    return "|".join(rf"\Q{w}\E" for w in words)
+    return "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in words)
 
 
 def any_of(c: Column, needles: list[str]) -> Column:

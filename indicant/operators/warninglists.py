@@ -1,7 +1,9 @@
 """Classification of indicators against warning lists, as joins.
 
 Lists come as rows (list_id, name, description, type, matching_attributes, list).  Their
-metadata is small and steers the plan from the driver; their entries stay distributed.
+metadata, with the size of each, is small and steers the plan from the driver.  Few regular
+expressions and substrings become part of the projection, few strings and networks are sent to
+the tasks; entries of longer lists stay distributed and are met by joins.
 Checks run once for each distinct (type, value).  Stages: exact string, regular expression,
 CIDR, substring; the first stage wins, within a stage the smallest list rank (by list id).
 """
@@ -9,20 +11,38 @@ CIDR, substring; the first stage wins, within a stage the smallest list rank (by
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists as L
+from ..functions import literals
 from ..functions import text as T
 from ..functions.extractors import EXTRACTORS
+from ..storage import written
+from .containment import GRAM, SENT_PIECES, Pieces
 
 SCHEMA = "list_id string, name string, description string, type string, matching_attributes array<string>, list array<string>"
-TYPES = [*EXTRACTORS, "imphash"]
-#: Regular expressions of one alternation; characters of the pieces by which substrings are joined.
-ALTERNATION, GRAM = 200, 4
+#: Regular expressions of one alternation.
+ALTERNATION = 200
+#: Up to so many regular expressions, substrings and characters of substrings are part of the projection; keys that are sent.
+REGEX_IN_PLAN, SUBSTRINGS_IN_PLAN, CHARS_IN_PLAN, SENT_KEYS = 1000, 200, 1 << 14, 500_000
+#: Stands for the types that no extractor gives: all lists are theirs.
+OTHER = "*"
+
+
+def known_types() -> list[str]:
+    """The types of the registry, registered ones included, when a plan is made."""
+    return [*EXTRACTORS, "imphash"]
+
+
+def kind() -> Column:
+    """A row's type as the lists know it."""
+    return F.when(F.col("ioc_type").isin(known_types()), F.col("ioc_type")).otherwise(OTHER)
 
 
 def load_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -44,21 +64,25 @@ class Meta:
     description: str
     type: str
     attributes: tuple[str, ...]
+    entries: int = 0
+    chars: int = 0
 
 
 def metadata(lists: DataFrame) -> list[Meta]:
-    """One entry a list, ranked by id; a missing name is the id, a missing description empty."""
-    rows = lists.select("list_id", "name", "description", F.coalesce("type", F.lit("string")).alias("type"), "matching_attributes").collect()
+    """One entry a list, ranked by id, with its size; a missing name is the id, a missing description empty."""
+    size = F.coalesce(F.size("list"), F.lit(0)).alias("entries")
+    chars = F.coalesce(F.aggregate("list", F.lit(0).cast("bigint"), lambda n, e: n + F.coalesce(F.length(e), F.lit(0))), F.lit(0)).alias("chars")
+    rows = lists.select("list_id", "name", "description", F.coalesce("type", F.lit("string")).alias("type"), "matching_attributes", size, chars).collect()
     return [
-        Meta(r.list_id, k, r.name if r.name is not None else r.list_id, r.description or "", r.type, tuple(a for a in r.matching_attributes or [] if a is not None))
+        Meta(r.list_id, k, r.name if r.name is not None else r.list_id, r.description or "", r.type, tuple(a for a in r.matching_attributes or [] if a is not None), max(r.entries, 0), r.chars)
         for k, r in enumerate(sorted(rows, key=lambda r: r.list_id))
     ]
 
 
 def relevant(meta: list[Meta]) -> dict[str, list[Meta]]:
     """Lists by indicator type: those whose attributes name it, or all where none does."""
-    named = {t: [m for m in meta if any(k in a.lower() for a in m.attributes for k, kt in L.ATTRIBUTE_TYPES.items() if kt == t)] for t in TYPES}
-    return {t: own or meta for t, own in named.items()}
+    named = {t: [m for m in meta if any(k in a.lower() for a in m.attributes for k, kt in L.ATTRIBUTE_TYPES.items() if kt == t)] for t in known_types()}
+    return {t: own or meta for t, own in named.items()} | {OTHER: meta}
 
 
 def applicable(m: Meta, ioc_type: str) -> bool:
@@ -68,8 +92,9 @@ def applicable(m: Meta, ioc_type: str) -> bool:
 
 
 def pairs_frame(spark: SparkSession, pairs: list[tuple[str, Meta]]) -> DataFrame:
+    """(kind, list_id, list_rank, warning_list, description): what the metadata says, so its size is that of the lists' number."""
     rows = [(t, m.list_id, m.rank, m.name, m.description) for t, m in pairs]
-    return spark.createDataFrame(rows, "ioc_type string, list_id string, list_rank int, warning_list string, description string")
+    return spark.createDataFrame(rows, "kind string, list_id string, list_rank int, warning_list string, description string")
 
 
 def entries(lists: DataFrame, kind: str) -> DataFrame:
@@ -81,9 +106,9 @@ def prepared(iocs: DataFrame) -> DataFrame:
     """Distinct (ioc_type, value) with what is checked: the refanged value and, for URLs, its host."""
     host = lambda c: T.let(T.without_port(T.url_host(c)), lambda h: F.when(h != "", h))
     rows = iocs.select("ioc_type", "value").filter("value IS NOT NULL").distinct()
-    both = rows.select("ioc_type", "value", T.let(T.refang(F.col("value")), lambda c: F.struct(c.alias("clean"), F.when(F.col("ioc_type") == "urls", host(c)).alias("host"))).alias("c"))
-    # Grouped once more, so that the stages below read the refanged value instead of working it out each time.
-    return both.select("ioc_type", "value", "c.clean", "c.host").distinct()
+    both = T.let(T.refang(F.col("value")), lambda c: F.struct(c.alias("clean"), F.when(F.col("ioc_type") == "urls", host(c)).alias("host")))
+    # A generator of one row, so that the stages below read the refanged value instead of working it out each time.
+    return rows.select("ioc_type", "value", kind().alias("kind"), F.inline(F.array(both)))
 
 
 HIT_TYPE = "struct<stage:int,which:int,list_rank:int,warning_list:string,description:string>"
@@ -91,14 +116,14 @@ HIT = ["ioc_type", "value", "stage", "which", "list_rank", "warning_list", "desc
 
 
 def string_table(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    return entries(lists, "string").select("list_id", F.lower("entry").alias("key")).distinct().join(pairs, "list_id")
+    return entries(lists, "string").select("list_id", F.lower("entry").alias("key")).join(F.broadcast(pairs), "list_id")
 
 
 def string_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact matches, a hash join on the lower-case value or host."""
     keys = F.array(F.struct(F.lit(0).alias("which"), F.lower("clean").alias("key")), F.struct(F.lit(1).alias("which"), F.lower("host").alias("key")))
-    probe = values.select("ioc_type", "value", F.explode(keys).alias("k")).select("ioc_type", "value", "k.which", "k.key").filter("key IS NOT NULL")
-    return probe.join(string_table(lists, pairs), ["ioc_type", "key"]).withColumn("stage", F.lit(0)).select(*HIT)
+    probe = values.select("ioc_type", "value", "kind", F.explode(keys).alias("k")).select("ioc_type", "value", "kind", "k.which", "k.key").filter("key IS NOT NULL")
+    return probe.join(string_table(lists, pairs), ["kind", "key"]).withColumn("stage", F.lit(0)).select(*HIT)
 
 
 def java_regex(pattern: str) -> str:
@@ -144,12 +169,12 @@ def regex_hit(patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) ->
         if m.list_id in patterns:
             types = [t for t, own in by_type.items() if m in own]
             own = patterns[m.list_id]
-            found = F.col("ioc_type").isin(types) & (holds_any(F.col("clean"), own) | F.coalesce(holds_any(F.col("host"), own), F.lit(False)))
+            found = F.col("kind").isin(types) & (holds_any(F.col("clean"), own) | F.coalesce(holds_any(F.col("host"), own), F.lit(False)))
             checks.append(F.when(found, hit_of(1, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description))))
     return F.array_min(F.array(*checks))
 
 
-def hit_of(stage: int, which: Column, rank: Column, name: Column, description: Column) -> Column:
+def hit_of(stage: int | Column, which: Column, rank: Column, name: Column, description: Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), which.alias("which"), rank.alias("list_rank"), name.alias("warning_list"), description.alias("description"))
 
 
@@ -181,53 +206,110 @@ def cidr_hits(values: DataFrame, nets: DataFrame, pairs: DataFrame) -> DataFrame
     probe = values.filter(F.col("ioc_type").isin("ips", "ipv6")).select("ioc_type", "value", F.substr(hexed, F.lit(1), F.lit(1)).alias("family"), bits(hexed).alias("b"))
     cut = probe.join(F.broadcast(sizes), "family").select("ioc_type", "value", "family", "b", F.explode("sizes").alias("len"))
     keyed = cut.select("ioc_type", "value", "family", "len", F.substr("b", F.lit(1), F.col("len")).alias("prefix"))
-    found = keyed.join(nets.join(pairs, "list_id"), ["ioc_type", "family", "len", "prefix"])
+    found = keyed.join(nets.join(pairs.withColumnRenamed("kind", "ioc_type"), "list_id"), ["ioc_type", "family", "len", "prefix"])
     return found.withColumns({"stage": F.lit(2), "which": F.lit(0)}).select(*HIT)
 
 
-def substring_table(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    return entries(lists, "substring").select("list_id", F.lower("entry").alias("e")).distinct().join(pairs, "list_id").withColumnRenamed("ioc_type", "t")
+def low_sides(values: DataFrame, low=F.lower) -> DataFrame:
+    """(ioc_type, value, kind, v): each value's texts to look into, itself and its host in lower case."""
+    return values.select("ioc_type", "value", "kind", F.explode(F.array_distinct(F.array_compact(F.array(low("clean"), low("host"))))).alias("v"))
 
 
-def grams(c: Column, size: Column | int) -> Column:
-    """Distinct pieces of ``size`` characters; a shorter text has none."""
-    n = F.lit(size) if isinstance(size, int) else size
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame, sent: bool = True) -> DataFrame:
+    """Either contains the other, on the value or the host, lower case: (..., which 0).  An empty text is part of everything."""
+    table = entries(lists, "substring").select("list_id", F.lower("entry").alias("e")).distinct()
+    index = Pieces(table.select("e").distinct(), low_sides(values), sent=sent)
+    met = index.in_texts().union(index.around_texts()).select("ioc_type", "value", "kind", "e")
+    found = met.join(table, "e").join(F.broadcast(pairs), ["kind", "list_id"])
+    return found.withColumns({"stage": F.lit(3), "which": F.lit(0)}).select(*HIT)
 
 
-def rare_gram(c: Column, size: Column | int) -> Column:
-    """One piece of the text to join by, by a hash, so that frequent endings are seldom chosen."""
-    return F.array_min(F.transform(grams(c, size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))).g
+def substring_hit(texts: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> Column:
+    """The same of few entries, as part of the projection: the best match or null."""
+    checks = [F.lit(None).cast(HIT_TYPE)]
+    for m in {m.list_id: m for own in by_type.values() for m in own}.values():
+        if m.list_id in texts:
+            own = texts[m.list_id]
+            types = [t for t, ms in by_type.items() if m in ms and applicable(m, t)]
+            every, one = F.lit("\n".join(own)), F.array(*map(F.lit, own))
+            inside = lambda c: F.contains(every, c) & F.exists(one, lambda e: F.contains(e, c))  # noqa: E731,B023
+            holds = lambda c: T.let(F.lower(c), lambda v: T.any_of(v, own) | inside(v))  # noqa: E731,B023
+            found = F.col("kind").isin(types) & (holds(F.col("clean")) | F.coalesce(holds(F.col("host")), F.lit(False)))
+            checks.append(F.when(found, hit_of(3, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description))))
+    return F.array_min(F.array(*checks))
+
 
+def few_texts(lists: DataFrame) -> dict[str, list[str]]:
+    """The substrings by list, for lists of a checked size."""
+    out: dict[str, list[str]] = {}
+    for r in entries(lists, "substring").select("list_id", F.lower("entry").alias("e")).distinct().orderBy("list_id", "e").collect():
+        out.setdefault(r.list_id, []).append(r.e)
+    return out
 
-def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Either contains the other, on the value or the host, lower case: (..., which 0).
 
-    What contains the other has all its pieces, so both ways are hash joins by type and one
-    piece of the contained text, checked afterwards.  Texts under GRAM characters are pieces
-    themselves; an empty one is part of everything.
+SHORTEST = 3
+
+
+def regex_literals(lists: DataFrame) -> DataFrame:
+    """(list_id, pattern, part, literal), stored: for each readable regular expression sets (part) of texts of which its matches hold one; without any, one row of nulls."""
+
+    def factor(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for list_id, pattern in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = literals.required(pattern, SHORTEST)
+                if found is not None:
+                    rows += [(list_id, pattern, k, text) for k, texts in enumerate(found) for text in texts] or [(list_id, pattern, None, None)]
+            columns = list(zip(*rows)) if rows else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["list_id", "pattern", "part", "literal"])
+
+    spread = entries(lists, "regex").distinct().repartition(lists.sparkSession.sparkContext.defaultParallelism)
+    return written(spread.mapInArrow(factor, "list_id string, pattern string, part int, literal string"), "regex-literals")
+
+
+@lru_cache(maxsize=100_000)
+def compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+def indexed_regex_hits(values: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Matches of the regular expressions in regex_literals' table: a pattern is tried on the values that hold one of its texts only.
+
+    Of a pattern's sets the one whose texts fewest values hold is looked for.  Patterns stay
+    data: the plan is the same for any number.
     """
-    table = substring_table(lists, pairs).withColumnRenamed("t", "ioc_type")
-    low, host = F.lower("clean"), F.lower("host")
-    sides = values.select("ioc_type", "value", F.explode(F.array_distinct(F.array_compact(F.array(low, host)))).alias("v"))
-    size = lambda c: F.least(F.length(c), F.lit(GRAM))
-    pieces = lambda c, sizes: reduce(F.array_union, [grams(c, n) if n else F.array(F.lit("")) for n in sizes], F.array().cast("array<string>"))
-    used = sorted(r.n for r in table.select(size(F.col("e")).alias("n")).distinct().collect())  # at most GRAM + 1 lengths
-    key = lambda c: F.when(F.length(c) == 0, "").otherwise(rare_gram(c, size(c)))
-    columns = ["list_rank", "warning_list", "description"]
-    entry_in = sides.select("ioc_type", "value", "v", F.explode(pieces(F.col("v"), used)).alias("g")).join(table.withColumn("g", key(F.col("e"))), ["ioc_type", "g"]).filter(F.contains("v", F.col("e")))
-    value_in = sides.withColumn("g", key(F.col("v"))).join(table.select("ioc_type", "e", *columns, F.explode(pieces(F.col("e"), range(GRAM + 1))).alias("g")), ["ioc_type", "g"]).filter(F.contains("e", F.col("v")))
-    found = entry_in.select("ioc_type", "value", *columns).union(value_in.select("ioc_type", "value", *columns))
-    return found.withColumns({"stage": F.lit(3), "which": F.lit(0)}).select(*HIT)
+    folded = lambda c: F.lower(F.translate(c, *literals.FOLDED))
+    texts = table.filter("part IS NOT NULL")
+    literal = texts.select(F.col("literal").alias("e")).distinct()
+    chars = literal.agg(F.coalesce(F.sum(F.length("e")), F.lit(0)).alias("n")).first().n
+    index = Pieces(literal, low_sides(values, folded), range(SHORTEST, GRAM + 1), chars * 2 <= SENT_PIECES)
+    rated = texts.join(index.keys.withColumnRenamed("e", "literal"), "literal").groupBy("list_id", "pattern", "part").agg(F.sum("n_texts").alias("n"), F.sum("n_entries").alias("m"), F.collect_set(F.struct("g", F.col("literal").alias("e"))).alias("keys"))
+    best = rated.groupBy("list_id", "pattern").agg(F.min_by("keys", F.struct("n", "m", "part")).alias("keys"))
+    keys = best.select("list_id", "pattern", F.inline("keys"))
+    candidates = index.met(keys).select("ioc_type", "value", "kind", "list_id", "pattern").distinct()
+    both = candidates.join(F.broadcast(pairs), ["kind", "list_id"]).select("ioc_type", "value", "pattern", "list_rank", "warning_list", "description")
+    tried = both.select("*", T.refang(F.col("value")).alias("clean"))
+    tried = tried.select("*", F.when(F.col("ioc_type") == "urls", T.let(T.without_port(T.url_host(F.col("clean"))), lambda h: F.when(h != "", h))).alias("host"))
+
+    def matched(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(k).to_pylist() for k in (b.schema.get_field_index(n) for n in ("pattern", "clean", "host"))))
+            yield b.filter(pa.array([bool((p := compiled(pattern)) and (p.search(clean) or (host and p.search(host)))) for pattern, clean, host in rows], pa.bool_()))
+
+    found = tried.mapInArrow(matched, tried.schema)
+    return found.withColumns({"stage": F.lit(1), "which": F.lit(0)}).select(*HIT)
 
 
 def key_index(lists: DataFrame, pairs: DataFrame, nets: DataFrame | None) -> DataFrame:
-    """(ioc_type, key, stage, list_rank, ...): the best list of every string and network, keyed for one hash join."""
-    chosen = lambda df, stage, key: df.select("ioc_type", key.alias("key"), F.struct(F.lit(stage).alias("stage"), "list_rank", "warning_list", "description").alias("m"))
+    """(kind, key, m): the list of every string and network, keyed for one hash join; a key of several lists has several rows."""
+    chosen = lambda df, stage, key: df.select("kind", key.alias("key"), F.struct(F.lit(stage).alias("stage"), "list_rank", "warning_list", "description").alias("m"))
     table = chosen(string_table(lists, pairs), 0, F.concat(F.lit("s:"), F.col("key")))
     if nets is not None:
         table = table.unionByName(chosen(nets.join(pairs, "list_id"), 2, F.concat_ws(":", F.lit("c"), "family", F.col("len").cast("string"), "prefix")))
-    return table.groupBy("ioc_type", "key").agg(F.min("m").alias("m"))
+    return table
 
 
 def probe_keys(sizes: dict[str, list[int]]) -> Column:
@@ -244,28 +326,38 @@ def probe_keys(sizes: dict[str, list[int]]) -> Column:
 def matches(iocs: DataFrame, lists: DataFrame) -> DataFrame:
     """(ioc_type, value, warning_list, description, stage) of each distinct value that some list holds.
 
-    Regular expressions are a column; strings and networks are one hash join over keys,
-    substrings two by pieces; then the best hit of each value.
+    Few regular expressions and substrings are columns, many are joined by their pieces;
+    strings and networks are one hash join over keys; then the best hit of each value.
     """
     spark, values, meta = iocs.sparkSession, prepared(iocs), metadata(lists)
     by_type, kinds = relevant(meta), {m.type for m in meta}
-    pairs = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own])
-    regex = regex_hit(valid_regexes(lists) if "regex" in kinds else {}, by_type)
-    rows = values.select("*", regex.alias("rx"))
-    rows = rows.select("ioc_type", "value", "clean", "host", "rx")
+    every = lambda chosen: pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if chosen(m, t)])
+    total = lambda what, *names: sum(getattr(m, what) for m in meta if m.type in names)
+    substrings, chars = total("entries", "substring"), total("chars", "substring")
+    few = substrings <= SUBSTRINGS_IN_PLAN and chars <= CHARS_IN_PLAN
+    many_regexes = total("entries", "regex") > REGEX_IN_PLAN
+    if many_regexes:
+        table = regex_literals(lists)
+        whole = table.filter("part IS NULL").select("list_id", F.lit("regex").alias("type"), F.array("pattern").alias("list"))
+    in_plan = valid_regexes(whole if many_regexes else lists) if "regex" in kinds else {}
+    inside = [regex_hit(in_plan, by_type)] + ([substring_hit(few_texts(lists), by_type)] if few and substrings else [])
     nets, sizes = None, {}
     if "cidr" in kinds:
         nets = networks(lists)
         used = nets.select("family", "len").distinct().collect()  # at most 33 + 129 prefix lengths
         sizes = {f: sorted(r.len for r in used if r.family == f) for f in "46"}
-    keyed = rows.select("ioc_type", "value", "rx", F.explode(probe_keys(sizes)).alias("k")).select("ioc_type", "value", "rx", "k.which", "k.key")
-    joined = keyed.join(key_index(lists, pairs, nets), ["ioc_type", "key"], "left")
+    rows = values.select("*", F.array_min(F.array(*inside)).alias("rx"))
+    keyed = rows.select("ioc_type", "value", "kind", "rx", F.explode(probe_keys(sizes)).alias("k")).select("ioc_type", "value", "kind", "rx", "k.which", "k.key")
+    keys = key_index(lists, every(lambda m, t: m.type in ("string", "cidr")), nets)
+    small = total("entries", "string", "cidr") * len(by_type) <= SENT_KEYS
+    joined = keyed.join(F.broadcast(keys) if small else keys.groupBy("kind", "key").agg(F.min("m").alias("m")), ["kind", "key"], "left")
     equal = F.when(F.col("m").isNotNull(), F.struct("m.stage", "which", "m.list_rank", "m.warning_list", "m.description"))
     hits = joined.select("ioc_type", "value", F.array_min(F.array("rx", equal.cast(HIT_TYPE))).alias("h")).filter("h IS NOT NULL")
-    if "substring" in kinds:
-        fitting = pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if m.type == "substring" and applicable(m, t)])
-        held = substring_hits(values, lists, fitting).select("ioc_type", "value", hit_of(3, F.col("which"), F.col("list_rank"), F.col("warning_list"), F.col("description")).cast(HIT_TYPE).alias("h"))
-        hits = hits.union(held)
+    as_hit = lambda df: df.select("ioc_type", "value", hit_of(F.col("stage"), *map(F.col, HIT[3:])).cast(HIT_TYPE).alias("h"))
+    if substrings and not few:
+        hits = hits.union(as_hit(substring_hits(values, lists, every(lambda m, t: m.type == "substring" and applicable(m, t)), chars * GRAM <= SENT_PIECES)))
+    if many_regexes:
+        hits = hits.union(as_hit(indexed_regex_hits(values, table, every(lambda m, t: m.type == "regex"))))
     best = hits.groupBy("ioc_type", "value").agg(F.min("h").alias("b"))
     return best.select("ioc_type", "value", "b.warning_list", "b.description", "b.stage")
 

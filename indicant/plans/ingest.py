@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import ranges
+from ..storage import shared_folder
 from ..streaming import by_source, progress, stream
-from .queries import shared_folder, table
+from .queries import table
 
 #: Types that the documents hold, and chunk sizes in bytes with their overlap.
 HELD = ["emails", "ips", "sha1"]

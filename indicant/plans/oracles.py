@@ -7,7 +7,7 @@ judging whole tokens, instead of searching with boundaries.
 from __future__ import annotations
 
 from ..functions import lists as L
-from .queries import BASE, DOMAIN_CASES, HARD_HTML, LATER, LATEST, NOW, cased
+from .queries import BASE, DOMAIN_CASES, HARD_HTML, LATER, LATEST, NOW, SHOP_SQL, SUFFIX_SQL, cased
 from .reports import IOCS, LISTS, text_sql
 
 HEX = "0-9a-fA-F"
@@ -219,6 +219,8 @@ def oracle_sql() -> dict[str, str]:
         "html_hard_cases": f"SELECT o_orderkey, {plain([t for _, t in HARD_HTML.values()])} AS text FROM orders",
         "wl_regex_backrefs": "SELECT value, CASE WHEN word IN ('abab', 'zz') THEN 'Doubled' ELSE 'Named' END AS warning_list FROM (SELECT ['abab', 'abac', 'zz', 'pqpqx', 'rs-rs', 'rs-pq'][c_custkey % 6 + 1] AS word, word || '.org' || c_custkey AS value FROM customer) WHERE word IN ('abab', 'zz', 'pqpqx', 'rs-rs')",
         "wl_substring_many": "WITH c AS (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN 'vend' || c_custkey ELSE 'x-vend' || c_custkey * 17 % 20000 || '.com' END AS value FROM customer), e AS (SELECT '-vend' || k || '.co' AS e FROM range(10000) AS t(k)) SELECT DISTINCT value, 'Many' AS warning_list FROM c JOIN e ON contains(value, e) OR contains(e, value)",
+        "wl_substring_suffixes": f"WITH c AS (SELECT DISTINCT {SUFFIX_SQL.replace('STRING', 'VARCHAR')} AS value FROM customer), e AS (SELECT 'cdn' || k || '.cloudfront.net' AS e FROM range(10000) AS t(k)) SELECT DISTINCT value, 'Many' AS warning_list FROM c JOIN e ON contains(lower(value), e) OR contains(e, lower(value))",
+        "wl_regex_many": f"WITH c AS (SELECT {SHOP_SQL.replace('STRING', 'VARCHAR')} AS value, c_custkey FROM customer), n AS (SELECT *, regexp_extract(lower(value), 'shop([0-9]+)x', 1) AS n FROM c) SELECT value, 'Many' AS warning_list FROM n WHERE c_custkey % 5 IN (0, 1) AND n::INT < 50000 AND n::INT % 10000 NOT IN (1, 2) OR c_custkey % 5 = 4 AND c_custkey % 10000 = 1 AND c_custkey < 50000",
         "chunked_small": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type = 'sha1'",
         "chunked_ahead": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE ioc_type = 'sha1'",
         "warning_lines": f"WITH {CLASSED} SELECT source_value, 'cves ' || value || ' (Even ''years'')' AS line FROM c WHERE w",

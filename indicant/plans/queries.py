@@ -13,6 +13,7 @@ from ..operators import dedup, formats, store
 from ..operators import warninglists as W
 from ..operators.extract import counts_by_type, extract_all, extract_wide
 from ..sources import text as sources
+from ..storage import shared_folder
 from ..streaming import chunks, stream
 from .reports import IOCS, LISTS, text_sql
 
@@ -339,6 +340,33 @@ def wl_substring_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.warnings_only(rows, lists).select("value", "warning_list").distinct()
 
 
+def one_list(entries: DataFrame, kind: str) -> DataFrame:
+    """A list of domains of the entries (entry)."""
+    return entries.agg(F.collect_list("entry").alias("list")).select(F.lit("m").alias("list_id"), F.lit("Many").alias("name"), F.lit("").alias("description"), F.lit(kind).alias("type"), F.array(F.lit("domain")).alias("matching_attributes"), "list")
+
+
+SUFFIX_CASES = ["'a.cdn' || # || '.cloudfront.net'", "'x' || S || '.cloudfront.net'", "'cdn' || S", "'plain' || S || '.org'", "'cloudfront.net'", "'CDN' || S || '.cloudfront.net'"]
+SUFFIX_SQL = cased(SUFFIX_CASES, "c_custkey").replace("#", "CAST(c_custkey * 37 % 20000 AS STRING)")
+
+
+def wl_substring_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand entries that all end alike against every customer's domain, many of which end so too."""
+    lists = one_list(spark.range(10_000).selectExpr("'cdn' || CAST(id AS STRING) || '.cloudfront.net' AS entry"), "substring")
+    rows = table(spark, sf_dir, "customer").selectExpr("'domains' AS ioc_type", f"{SUFFIX_SQL} AS value")
+    return W.warnings_only(rows, lists).select("value", "warning_list").distinct()
+
+
+SHOP_CASES = ["'shop' || # || 'x' || S || '.example.com'", "'www.shOP' || # || 'x.example.org'", "'myshop' || # || 'x.example.com'", "'shop' || # || 'x.example.net'", "'q' || S"]
+SHOP_SQL = cased(SHOP_CASES, "c_custkey").replace("#", "CAST(c_custkey * 97 % 80000 AS STRING)")
+
+
+def wl_regex_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty thousand regular expressions, a few of them without a text to look for, a few broken."""
+    pattern = "CASE WHEN id % 10000 = 1 THEN '^[q]' || CAST(id AS STRING) || '$' WHEN id % 10000 = 2 THEN '(bad' ELSE '(?:^|[.])shop' || CAST(id AS STRING) || 'x[0-9]*[.]example[.](?:com|org)$' END"
+    rows = table(spark, sf_dir, "customer").selectExpr("'domains' AS ioc_type", f"{SHOP_SQL} AS value")
+    return W.warnings_only(rows, one_list(spark.range(50_000).selectExpr(f"{pattern} AS entry"), "regex")).select("value", "warning_list")
+
+
 def chunked_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes across the borders of many small chunks, which overlap by more than a hash."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -362,19 +390,6 @@ def hashes_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.hashes_section(rows)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one only where driver and executors are one process."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/indicant-{name}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs written to a store, one of them twice, and read back: iocs and warnings by run."""
     db = store.Store(spark, shared_folder(spark, "store"))
@@ -441,7 +456,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
         wl_categories, wl_diagnose, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
         stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
-        stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many, chunked_small,
+        stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many,
+        wl_substring_suffixes, wl_regex_many, chunked_small,
         chunked_ahead, warning_lines, hashes_section, store_round_trip, store_replaced_and_concurrent, read_files,
     )
     return out | {f.__name__: f for f in own} | ingest.queries()
