@@ -233,6 +233,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT coalesce(source_value, 'all') AS source_value, coalesce(started, 'all') AS started, count(DISTINCT source_value || started || run)::BIGINT AS n_runs,
               count(*)::BIGINT AS n_links, count(DISTINCT ioc_type || value)::BIGINT AS n_iocs
             FROM k GROUP BY GROUPING SETS ((source_value, started), ())""",
+        "read_files_once": """
+            WITH f AS (SELECT n_nationkey, n_name, ['text', 'html', 'text', 'html', 'pdf', 'html'][n_nationkey % 6 + 1] AS kind, n_nationkey = 3 AS large, n_nationkey % 6 = 4 AND left(n_name, 1) IN ('A', 'E', 'I', 'O', 'U') AS bad FROM nation)
+            SELECT n_nationkey, kind, CASE WHEN large OR bad THEN NULL WHEN n_nationkey % 2 = 0 THEN n_name ELSE '<' || n_name END AS text,
+              CASE WHEN large THEN 'size' WHEN bad THEN 'pdf' END AS stage, CASE WHEN large THEN 'file too large: 5001 bytes' WHEN bad THEN 'bad header ' || left(n_name, 1) END AS error FROM f""",
         "read_files": f"SELECT n_nationkey, {nation} AS text FROM nation",
     }
     held = "ioc_type IN ('emails', 'ips', 'sha1')"

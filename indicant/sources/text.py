@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import reduce
+from collections.abc import Callable
 from html.entities import html5
 
 import pyarrow as pa
@@ -74,28 +73,29 @@ def temp_filename(url: Column, content_type: Column) -> Column:
     ).otherwise(name)
 
 
-#: Parts of a page that are no text.  One that is never closed reaches to the page's end.
-HIDDEN = ("script", "style", "noscript", "head")
+#: The rest of a tag: a quoted value may hold what would end it; a quote that is never closed is a character.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|))*+"""
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text of a page: script, style, noscript and head fall away, white space becomes one space.
+    """Visible text of a page: script, style, noscript, head and comments fall away, white space becomes one space.
 
-    All named, decimal and hexadecimal references are read; unknown names stay as they are.
+    What is never closed reaches to the page's end.  All named, decimal and hexadecimal
+    references are read, names of old without their semicolon too; unknown ones stay as they are.
     A page that is only a web address of under five lines is given back stripped.
     """
     bare = F.regexp_replace(html, r"(?U)^\s+|\s+$", "")
     address = bare.rlike(r"^(?:https?|hxxps?)://") & (F.size(F.split(bare, r"\r\n|\n|\r")) < 5)
-    text = html
-    for tag in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", " ")
-    text = F.regexp_replace(text, r"(?s)<[!/a-zA-Z?][^>]*(?:>|\z)", " ")
+    # Comments, and what is no mark-up inside, whichever comes first; then elements that are not shown; then tags.
+    text = F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<(script|style)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\z)", " ")
+    for tag in ("noscript", "head"):
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b{ATTRIBUTES}>.*?(?:</{tag}\s*>|\z)", " ")
+    text = F.regexp_replace(text, rf"(?s)<[!/a-zA-Z?]{ATTRIBUTES}(?:>|\z)", " ")
     text = let(text, unescaped)
     return F.when(address, bare).otherwise(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""))
 
 
-REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;"
+REFERENCE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;?"
 
 
 def unescaped(text: Column) -> Column:
@@ -106,18 +106,29 @@ def unescaped(text: Column) -> Column:
 
 
 def character(code: Column) -> Column:
-    """The characters of one reference."""
+    """The characters of one reference, and what of it the reference does not need."""
     digits = F.regexp_replace(code, "[&#;xX]", "")
     number = F.when(code.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-    return F.when(code.startswith("&#"), code_point(number)).otherwise(F.coalesce(F.try_element_at(names, code), code))
+    old = let(F.regexp_extract(code, OLD_NAMES, 0), lambda n: F.concat(named(n), F.substr(code, F.length(n) + 1)))
+    return F.when(code.startswith("&#"), code_point(number)).otherwise(F.coalesce(F.when(code.endswith(";"), named(code)), old, code))
 
 
-#: Named references with their semicolon, of the standard library's table, and what 0x80 to 0x9F mean on the web: Windows-1252.
-NAMED = {f"&{name}": chars for name, chars in html5.items() if name.endswith(";")}
+#: Named references of the standard library's table, and what 0x80 to 0x9F mean on the web: Windows-1252.
+NAMED = {f"&{name}": chars for name, chars in html5.items()}
+OLD_NAMES = "^&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 WESTERN = {n: char for n in range(0x80, 0xA0) if (char := bytes([n]).decode("cp1252", "ignore"))}
 
 
+def named(code: Column) -> Column:
+    """The characters of a name, null if unknown; looked up by its first two letters, since a map is searched entry by entry."""
+    groups: dict[str, list[str]] = {}
+    for name in NAMED:
+        groups.setdefault(name[1:3], []).append(name)
+    inner = lambda names: F.create_map(*[F.lit(x) for n in names for x in (n, NAMED[n])])
+    maps = F.create_map(*[x for k, names in groups.items() for x in (F.lit(k), inner(names))])
+    return F.try_element_at(F.try_element_at(maps, F.substr(code, F.lit(2), F.lit(2))), code)
+
+
 def code_point(n: Column) -> Column:
     """The character of a code point; what is no character becomes U+FFFD."""
     western = F.create_map(*[F.lit(x) for pair in WESTERN.items() for x in pair])
@@ -133,41 +144,63 @@ def table_text(tables: Column) -> Column:
     return F.when(F.size(rows) > 0, F.concat(F.array_join(rows, "\n"), F.lit("\n"))).otherwise("")
 
 
-def read_pdf(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str] | None, max_bytes: int = MAX_FILE_BYTES, strict: bool = True) -> DataFrame:
-    """(source_kind, source_value, text) of the PDF files among paths, with a parser of the caller's choice.
+def pdf_texts(parse: Callable[[bytes], str]) -> Callable[[Column], Column]:
+    """A function of PDF bytes to (text, error), with a parser of the caller's choice; null stays null and is not parsed."""
+
+    @F.arrow_udf("struct<text:string,error:string>")
+    def run(contents: pa.Array) -> pa.Array:
+        out = []
+        for c in contents:
+            try:
+                out.append(None if c.as_py() is None else {"text": parse(c.as_py()), "error": None})
+            except Exception as e:  # noqa: BLE001  whatever the parser raises is the file's error
+                out.append({"text": None, "error": str(e) or type(e).__name__})
+        return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    return run
+
 
-    A file over max_bytes, one that the parser refuses and, without a parser, every one raises
-    or, unless strict, has an empty text.
+def read_all(spark: SparkSession, paths: str | list[str], pdf: Callable[[bytes], str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(source_kind, source_value, kind, text, stage, error): every file once, by its detected type, with what went wrong.
+
+    One scan reads each file's bytes once, whatever kinds there are; those of files over
+    max_bytes are not read at all.  A file that cannot be used has a null text, the stage that
+    refused it (``size``, ``pdf``) and a reason.  ``dead_letters`` and ``good`` take the two apart.
     """
+    files = spark.read.format("binaryFile").load(paths)
+    kind = detect_type(F.col("path"))
+    head = [F.lit("file").alias("source_kind"), F.col("path").alias("source_value"), kind.alias("kind")]
+    none = F.lit(None).cast("string")
+    large = files.filter(F.col("length") > max_bytes).select(*head, none.alias("text"), F.lit("size").alias("stage"), F.concat(F.lit("file too large: "), F.col("length").cast("string"), F.lit(" bytes")).alias("error"))
+    parsed = F.struct(none.alias("text"), F.when(kind == "pdf", "no PDF parser was given").alias("error")) if pdf is None else pdf_texts(pdf)(F.when(kind == "pdf", F.col("content")))
+    some = files.filter(F.col("length") <= max_bytes).select(*head, F.when(kind != "pdf", F.col("content")).alias("content"), parsed.alias("parsed"))
+    plain = without_malformed(F.col("content"))
+    text = F.when(F.col("kind") == "pdf", F.col("parsed.text")).when(F.col("kind") == "html", html_to_text(plain)).otherwise(plain)
+    fit = some.select("source_kind", "source_value", "kind", text.alias("text"), F.when(F.col("parsed.error").isNotNull(), "pdf").alias("stage"), F.col("parsed.error").alias("error"))
+    return fit.unionByName(large)
+
 
-    def text_of(path: str, size: int, content: bytes) -> str:
-        try:
-            if parse is None:
-                raise ValueError("no PDF parser was given")
-            if size > max_bytes:
-                raise ValueError("file too large")
-            return parse(content)
-        except Exception as e:
-            if strict:
-                raise ValueError(f"{path}: {e}") from e
-            return ""
+def good(read: DataFrame) -> DataFrame:
+    """(source_kind, source_value, text) of the files that could be used."""
+    return read.filter("error IS NULL").select("source_kind", "source_value", "text")
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        for b in batches:
-            texts = [text_of(*(b.column(k)[i].as_py() for k in range(3))) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["source_value", "text"])
 
-    files = spark.read.format("binaryFile").load(paths).filter(type_by_extension(F.col("path")) == "pdf")
-    some = files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
-    return some.mapInArrow(run, "source_value string, text string").select(F.lit("file").alias("source_kind"), "source_value", "text")
+def dead_letters(read: DataFrame) -> DataFrame:
+    """(source_value, stage, error) of those that could not."""
+    return read.filter("error IS NOT NULL").select("source_value", "stage", "error")
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], pdf: Callable[[bytes], str] | None = None, max_bytes: int = MAX_FILE_BYTES, strict: bool = True) -> DataFrame:
-    """Files of mixed kinds as text, each by its detected type.
+    """(source_kind, source_value, text) of files of mixed kinds, each by its detected type.
 
     A file that cannot be read raises or, unless strict, gives an empty text, so that one bad
     file does not end a batch.
     """
-    plain = read_text(spark, paths, max_bytes, strict).withColumn("kind", detect_type(F.col("source_value")))
-    parts = [plain.filter("kind = 'text'").drop("kind"), plain.filter("kind = 'html'").drop("kind").withColumn("text", html_to_text(F.col("text"))), read_pdf(spark, paths, pdf, max_bytes, strict)]
-    return reduce(DataFrame.unionByName, parts)
+    read = read_all(spark, paths, pdf, max_bytes)
+    refused = F.raise_error(F.concat_ws(": ", "source_value", "error")).cast("string") if strict else F.lit("")
+    return read.select("source_kind", "source_value", F.when(F.col("error").isNotNull(), refused).otherwise(F.col("text")).alias("text"))
+
+
+def read_pdf(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str] | None, max_bytes: int = MAX_FILE_BYTES, strict: bool = True) -> DataFrame:
+    """The PDF files among paths, as read_documents gives them."""
+    return read_documents(spark, paths, parse, max_bytes, strict).filter(type_by_extension(F.col("source_value")) == "pdf")
