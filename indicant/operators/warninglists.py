@@ -162,16 +162,21 @@ def holds_any(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.rlike(e) for e in expressions(patterns)])
 
 
-def regex_hit(patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> Column:
-    """The best match among regular expressions, as part of the projection; null without one."""
-    checks = [F.lit(None).cast(HIT_TYPE)]
+def best_of(checks: list[Column]) -> Column:
+    """The best of some matches, null without one."""
+    return F.array_min(F.array(F.lit(None).cast(HIT_TYPE), *checks))
+
+
+def regex_checks(patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> list[Column]:
+    """For each list its match, null without one, as part of the projection."""
+    checks = []
     for m in {m.list_id: m for own in by_type.values() for m in own}.values():
         if m.list_id in patterns:
             types = [t for t, own in by_type.items() if m in own]
             own = patterns[m.list_id]
             found = F.col("kind").isin(types) & (holds_any(F.col("clean"), own) | F.coalesce(holds_any(F.col("host"), own), F.lit(False)))
-            checks.append(F.when(found, hit_of(1, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description))))
-    return F.array_min(F.array(*checks))
+            checks.append(F.when(found, hit_of(1, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description)).cast(HIT_TYPE)))
+    return checks
 
 
 def hit_of(stage: int | Column, which: Column, rank: Column, name: Column, description: Column) -> Column:
@@ -179,7 +184,7 @@ def hit_of(stage: int | Column, which: Column, rank: Column, name: Column, descr
 
 
 def regex_hits(values: DataFrame, patterns: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> DataFrame:
-    return values.select("ioc_type", "value", regex_hit(patterns, by_type).alias("h")).filter("h IS NOT NULL").select("ioc_type", "value", "h.*").select(*HIT)
+    return values.select("ioc_type", "value", best_of(regex_checks(patterns, by_type)).alias("h")).filter("h IS NOT NULL").select("ioc_type", "value", "h.*").select(*HIT)
 
 
 def bits(hexed: Column) -> Column:
@@ -224,9 +229,9 @@ def substring_hits(values: DataFrame, lists: DataFrame, pairs: DataFrame, sent:
     return found.withColumns({"stage": F.lit(3), "which": F.lit(0)}).select(*HIT)
 
 
-def substring_hit(texts: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> Column:
-    """The same of few entries, as part of the projection: the best match or null."""
-    checks = [F.lit(None).cast(HIT_TYPE)]
+def substring_checks(texts: dict[str, list[str]], by_type: dict[str, list[Meta]]) -> list[Column]:
+    """The same of few entries, as part of the projection: for each list its match, null without one."""
+    checks = []
     for m in {m.list_id: m for own in by_type.values() for m in own}.values():
         if m.list_id in texts:
             own = texts[m.list_id]
@@ -235,8 +240,8 @@ def substring_hit(texts: dict[str, list[str]], by_type: dict[str, list[Meta]]) -
             inside = lambda c: F.contains(every, c) & F.exists(one, lambda e: F.contains(e, c))  # noqa: E731,B023
             holds = lambda c: T.let(F.lower(c), lambda v: T.any_of(v, own) | inside(v))  # noqa: E731,B023
             found = F.col("kind").isin(types) & (holds(F.col("clean")) | F.coalesce(holds(F.col("host")), F.lit(False)))
-            checks.append(F.when(found, hit_of(3, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description))))
-    return F.array_min(F.array(*checks))
+            checks.append(F.when(found, hit_of(3, F.lit(0), F.lit(m.rank), F.lit(m.name), F.lit(m.description)).cast(HIT_TYPE)))
+    return checks
 
 
 def few_texts(lists: DataFrame) -> dict[str, list[str]]:
@@ -323,41 +328,61 @@ def probe_keys(sizes: dict[str, list[int]]) -> Column:
     return F.concat(text, F.when(F.col("ioc_type").isin("ips", "ipv6"), F.coalesce(T.let(T.address_hex(F.col("clean")), each), none)).otherwise(none))
 
 
+class Stages:
+    """How lists are looked through: which regular expressions and substrings the projection tries, and which are joined."""
+
+    def __init__(self, spark: SparkSession, lists: DataFrame):
+        self.spark, self.lists, self.meta = spark, lists, metadata(lists)
+        self.by_type, self.kinds = relevant(self.meta), {m.type for m in self.meta}
+        substrings, chars = self.total("entries", "substring"), self.total("chars", "substring")
+        self.few = substrings <= SUBSTRINGS_IN_PLAN and chars <= CHARS_IN_PLAN
+        self.many = self.total("entries", "regex") > REGEX_IN_PLAN
+        self.table, shown = None, lists
+        if self.many:
+            self.table = regex_literals(lists)
+            shown = self.table.filter("part IS NULL").select("list_id", F.lit("regex").alias("type"), F.array("pattern").alias("list"))
+        self.checks = regex_checks(valid_regexes(shown) if "regex" in self.kinds else {}, self.by_type)
+        self.checks += substring_checks(few_texts(lists), self.by_type) if self.few and substrings else []
+
+    def total(self, what: str, *names: str) -> int:
+        return sum(getattr(m, what) for m in self.meta if m.type in names)
+
+    def every(self, chosen) -> DataFrame:
+        return pairs_frame(self.spark, [(t, m) for t, own in self.by_type.items() for m in own if chosen(m, t)])
+
+    def joined(self, values: DataFrame) -> list[DataFrame]:
+        """Matches of the substrings and regular expressions that are too many for the projection."""
+        out = []
+        if not self.few:
+            out.append(substring_hits(values, self.lists, self.every(lambda m, t: m.type == "substring" and applicable(m, t)), self.total("chars", "substring") * GRAM <= SENT_PIECES))
+        if self.many:
+            out.append(indexed_regex_hits(values, self.table, self.every(lambda m, t: m.type == "regex")))
+        return out
+
+
 def matches(iocs: DataFrame, lists: DataFrame) -> DataFrame:
     """(ioc_type, value, warning_list, description, stage) of each distinct value that some list holds.
 
     Few regular expressions and substrings are columns, many are joined by their pieces;
     strings and networks are one hash join over keys; then the best hit of each value.
     """
-    spark, values, meta = iocs.sparkSession, prepared(iocs), metadata(lists)
-    by_type, kinds = relevant(meta), {m.type for m in meta}
-    every = lambda chosen: pairs_frame(spark, [(t, m) for t, own in by_type.items() for m in own if chosen(m, t)])
-    total = lambda what, *names: sum(getattr(m, what) for m in meta if m.type in names)
-    substrings, chars = total("entries", "substring"), total("chars", "substring")
-    few = substrings <= SUBSTRINGS_IN_PLAN and chars <= CHARS_IN_PLAN
-    many_regexes = total("entries", "regex") > REGEX_IN_PLAN
-    if many_regexes:
-        table = regex_literals(lists)
-        whole = table.filter("part IS NULL").select("list_id", F.lit("regex").alias("type"), F.array("pattern").alias("list"))
-    in_plan = valid_regexes(whole if many_regexes else lists) if "regex" in kinds else {}
-    inside = [regex_hit(in_plan, by_type)] + ([substring_hit(few_texts(lists), by_type)] if few and substrings else [])
+    spark, values = iocs.sparkSession, prepared(iocs)
+    plan = Stages(spark, lists)
+    kinds, every, total, inside = plan.kinds, plan.every, plan.total, plan.checks
     nets, sizes = None, {}
     if "cidr" in kinds:
         nets = networks(lists)
         used = nets.select("family", "len").distinct().collect()  # at most 33 + 129 prefix lengths
         sizes = {f: sorted(r.len for r in used if r.family == f) for f in "46"}
-    rows = values.select("*", F.array_min(F.array(*inside)).alias("rx"))
+    rows = values.select("*", best_of(inside).alias("rx"))
     keyed = rows.select("ioc_type", "value", "kind", "rx", F.explode(probe_keys(sizes)).alias("k")).select("ioc_type", "value", "kind", "rx", "k.which", "k.key")
     keys = key_index(lists, every(lambda m, t: m.type in ("string", "cidr")), nets)
-    small = total("entries", "string", "cidr") * len(by_type) <= SENT_KEYS
+    small = total("entries", "string", "cidr") * len(plan.by_type) <= SENT_KEYS
     joined = keyed.join(F.broadcast(keys) if small else keys.groupBy("kind", "key").agg(F.min("m").alias("m")), ["kind", "key"], "left")
     equal = F.when(F.col("m").isNotNull(), F.struct("m.stage", "which", "m.list_rank", "m.warning_list", "m.description"))
     hits = joined.select("ioc_type", "value", F.array_min(F.array("rx", equal.cast(HIT_TYPE))).alias("h")).filter("h IS NOT NULL")
-    as_hit = lambda df: df.select("ioc_type", "value", hit_of(F.col("stage"), *map(F.col, HIT[3:])).cast(HIT_TYPE).alias("h"))
-    if substrings and not few:
-        hits = hits.union(as_hit(substring_hits(values, lists, every(lambda m, t: m.type == "substring" and applicable(m, t)), chars * GRAM <= SENT_PIECES)))
-    if many_regexes:
-        hits = hits.union(as_hit(indexed_regex_hits(values, table, every(lambda m, t: m.type == "regex"))))
+    for joined in plan.joined(values):
+        hits = hits.union(joined.select("ioc_type", "value", hit_of(F.col("stage"), *map(F.col, HIT[3:])).cast(HIT_TYPE).alias("h")))
     best = hits.groupBy("ioc_type", "value").agg(F.min("h").alias("b"))
     return best.select("ioc_type", "value", "b.warning_list", "b.description", "b.stage")
 
@@ -402,6 +427,32 @@ def classify(iocs: DataFrame, lists: DataFrame) -> DataFrame:
     return out.select(*[c for c in iocs.columns], F.col("__w.warning_list").alias("warning_list"), F.col("__w.description").alias("description"), F.col("__w").isNotNull().alias("is_warning"))
 
 
+def explain(iocs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(ioc_type, value, stage, list_id, warning_list, n_values, sample, wins, is_warning): why each distinct value is a warning or none.
+
+    A row for every list that holds the value, at any stage, with the list's size and first
+    three entries; the one that ``matches`` names wins.  A value that no list holds has one
+    row without a list.  The rule that drops e-mails of listed domains is dropped_emails'.
+    """
+    spark, values = iocs.sparkSession, prepared(iocs)
+    plan = Stages(spark, lists)
+    every = plan.every(lambda m, t: True)
+    hits = [string_hits(values, lists, every)]
+    if plan.checks:
+        hits.append(values.select("ioc_type", "value", F.inline(F.array_compact(F.array(*plan.checks)))).select(*HIT))
+    if "cidr" in plan.kinds:
+        hits.append(cidr_hits(values, networks(lists), every))
+    found = reduce(DataFrame.union, [*hits, *plan.joined(values)]).groupBy("ioc_type", "value", "stage", "list_rank").agg(F.min("which").alias("which"))
+    first = found.groupBy("ioc_type", "value").agg(F.min(F.struct("stage", "which", "list_rank")).alias("first"))
+    ranks = spark.createDataFrame([(m.rank, m.list_id, m.name) for m in plan.meta], "list_rank int, list_id string, warning_list string")
+    shown = lists.select("list_id", F.coalesce(F.size("list"), F.lit(0)).cast("long").alias("n_values"), F.slice("list", 1, 3).alias("sample"))
+    named = found.join(first, ["ioc_type", "value"]).withColumn("wins", F.struct("stage", "which", "list_rank") == F.col("first"))
+    stage = F.element_at(F.array(*map(F.lit, ("string", "regex", "cidr", "substring"))), F.col("stage") + 1)
+    named = named.join(F.broadcast(ranks), "list_rank").join(shown, "list_id").select("ioc_type", "value", stage.alias("stage"), "list_id", "warning_list", "n_values", "sample", "wins")
+    every_value = values.select("ioc_type", "value").join(named, ["ioc_type", "value"], "left")
+    return every_value.withColumns({"wins": F.coalesce("wins", F.lit(False)), "is_warning": F.col("list_id").isNotNull()})
+
+
 def diagnose(value: str, ioc_type: str, lists: DataFrame, expected: list[str] | None = None) -> DataFrame:
     """Per list worth a look: (list_id, name, type, n_values, matched, sample of three)."""
     words = L.TYPE_KEYWORDS.get(ioc_type, []) + [e.lower() for e in expected or []]

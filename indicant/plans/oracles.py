@@ -194,8 +194,13 @@ def oracle_sql() -> dict[str, str]:
         "wl_classify": f"WITH {WL} SELECT ioc_type, value, hit IS NOT NULL AS is_warning, hit AS warning_list, {DESCRIPTION} AS description FROM m WHERE NOT ({DROPPED})",
         "wl_warnings_only": f"WITH {WL} SELECT ioc_type, hit AS warning_list, count(*)::BIGINT AS n FROM m WHERE hit IS NOT NULL GROUP BY ALL",
         "wl_email_drop": f"WITH {WL} SELECT DISTINCT ioc_type, value FROM m WHERE {DROPPED}",
-        "wl_categories": "SELECT category, n::BIGINT AS n FROM (VALUES ('alexa', 1), ('public', 1), ('dynamic', 1), ('google', 1), ('private', 1), ('security', 1), ('documentation', 1), ('other', 1)) AS t(category, n)",
-        "wl_diagnose": "SELECT list_id, name, type, n::BIGINT AS n_values, matched, sample FROM (VALUES ('google-cidr', 'Google ranges', 'cidr', 3, true, '8.8.8.0/24,142.250.0.0/15,9.9.9.9'), ('private', 'Private ranges', 'cidr', 2, false, '10.0.0.0/8,192.168.1.1/16')) AS t(list_id, name, type, n, matched, sample)",
+        "wl_categories": "SELECT lower(split_part(r_name, ' ', 1)) AS category, count(*)::BIGINT AS n FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) GROUP BY category",
+        "wl_diagnose": "WITH n AS (SELECT n_regionkey, '10.' || lpad(n_nationkey::VARCHAR, 2, '1') || '.0.0/16' AS net FROM nation) SELECT 'r' || n_regionkey AS list_id, any_value(r_name) || ' IP ranges' AS name, 'cidr' AS type, count(*)::BIGINT AS n_values, bool_or(net = '10.17.0.0/16') AS matched, array_to_string(list_sort(list(net))[1:3], ',') AS sample FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY n_regionkey",
+        "wl_explain": f"""
+            WITH {WL}, d AS (SELECT DISTINCT ioc_type, value, str, rex, cid, sub, hit FROM m),
+            u AS (SELECT ioc_type, value, hit, unnest([{{'s': 'string', 'l': str}}, {{'s': 'regex', 'l': rex}}, {{'s': 'cidr', 'l': cid}}, {{'s': 'substring', 'l': sub}}]) AS e FROM d)
+            SELECT ioc_type, value, e.s AS stage, e.l AS warning_list, e.l = hit AS wins, true AS is_warning FROM u WHERE e.l IS NOT NULL
+            UNION ALL SELECT ioc_type, value, NULL, NULL, false, false FROM d WHERE hit IS NULL""",
         "dedup_ordered": f"WITH {base_cte()} SELECT ioc_type, value, min(o_orderkey)::BIGINT AS o_orderkey FROM base GROUP BY ioc_type, value",
         "dedup_incremental_anti": f"WITH {base_cte()} SELECT ioc_type, value FROM base WHERE {odd} EXCEPT SELECT ioc_type, value FROM base WHERE NOT {odd}",
         "multi_source_union": f"WITH {base_cte()} SELECT ioc_type, value FROM base UNION SELECT ioc_type, value FROM base",

@@ -166,15 +166,28 @@ def wl_email_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.dropped_emails(iocs(spark, sf_dir), warning_lists(spark))
 
 
+def region_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of networks for each region, one network a nation."""
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.concat(F.lit("10."), F.lpad(F.col("n_nationkey").cast("string"), 2, "1"), F.lit(".0.0/16")))).alias("list"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    name = F.concat("r_name", F.lit(" IP ranges"))
+    return nations.join(regions, "n_regionkey").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("list_id"), name.alias("name"), F.lit("").alias("description"), F.lit("cidr").alias("type"), F.array(F.lit("ip-src")).alias("matching_attributes"), "list")
+
+
 def wl_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.categories(warning_lists(spark))
+    return W.categories(region_lists(spark, sf_dir))
 
 
 def wl_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = W.diagnose("8.8.8[.]8", "ips", warning_lists(spark), ["ranges"])
+    report = W.diagnose("10.17.3[.]8", "ips", region_lists(spark, sf_dir), ["ranges"])
     return report.select("list_id", "name", "type", "n_values", "matched", F.array_join("sample", ",").alias("sample"))
 
 
+def wl_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list that holds a value, which of them wins, and the values that none holds."""
+    return W.explain(iocs(spark, sf_dir), warning_lists(spark)).select("ioc_type", "value", "stage", "warning_list", "wins", "is_warning")
+
+
 BASE = ("emails", "asn", "cves")
 
 
@@ -481,7 +494,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         extract_all_counts, extract_documents, extract_fanged, extract_wide_counts, extract_pages, hash_validity, domain_validity, defang_values,
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
-        wl_categories, wl_diagnose, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
+        wl_categories, wl_diagnose, wl_explain, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
         stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
         stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many,
         wl_substring_suffixes, wl_regex_many, chunked_small,

@@ -96,3 +96,16 @@ def test_types_that_are_registered_or_unknown_are_on_lists(spark, kind):
     finally:
         del EXTRACTORS["ticket"]
     assert got == {"ticket", "never-heard-of", "asn"}
+
+
+def test_explain_names_losing_lists_and_values_without_any(spark):
+    lists = many(spark, "string", ["a.org"]).union(spark.createDataFrame([
+        ("r", "Rex", "", "regex", ["domain"], [r"^a\."]), ("s", "Sub", "", "substring", ["domain"], [".org", None]), ("t", "Other", "", "string", ["domain"], ["A.org", "b.org", "c", "d"]),
+    ], W.SCHEMA))
+    rows = spark.createDataFrame([("domains", "a.org"), ("domains", "a.org"), ("domains", "z.com"), ("domains", "b.org"), ("domains", None)], IOCS)
+    got = {(r.value, r.stage, r.list_id, r.n_values, tuple(r.sample or ()), r.wins, r.is_warning) for r in W.explain(rows, lists).collect()}
+    assert got == {
+        ("a.org", "string", "m", 1, ("a.org",), True, True), ("a.org", "string", "t", 4, ("A.org", "b.org", "c"), False, True), ("a.org", "regex", "r", 1, (r"^a\.",), False, True),
+        ("a.org", "substring", "s", 2, (".org", None), False, True), ("b.org", "string", "t", 4, ("A.org", "b.org", "c"), True, True),
+        ("b.org", "substring", "s", 2, (".org", None), False, True), ("z.com", None, None, None, (), False, False),
+    }
