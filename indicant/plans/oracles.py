@@ -252,4 +252,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_by_source": f"WITH {document_rows()} SELECT doc_id, ioc_type, value FROM r WHERE {held}",
         "observed_totals": observed, "stream_progress": observed,
     }
+    fetches = """
+        f AS (SELECT n_nationkey AS k, n_name, v, ['2024-01-01', '2024-01-31', CASE WHEN n_nationkey % 5 = 0 THEN '2024-03-01' ELSE '2024-02-01' END][v + 1] AS fetched,
+            CASE WHEN v = 1 AND n_nationkey % 3 = 0 THEN 'unreadable' WHEN v = 2 AND n_nationkey % 4 = 0 THEN 'no content' WHEN v = 0 AND n_nationkey % 6 = 1 THEN 'no list' WHEN v = 2 AND n_nationkey % 7 = 2 THEN 'no content' END AS problem
+          FROM nation, range(3) AS t(v))"""
+    out |= {
+        "wl_as_of": f"WITH {fetches}, g AS (SELECT k, max(v) AS v FROM f WHERE problem IS NULL AND fetched < '2024-02-02' GROUP BY k) SELECT 'n' || k AS list_id, any_value(n_name) || ' v' || any_value(g.v) AS name, any_value(g.v + 1)::BIGINT AS n_values, any_value(fetched) FILTER (f.v = g.v) AS fetched, any_value(g.v) = 0 AS stale, (count(*) FILTER (problem IS NOT NULL AND f.v > g.v AND fetched < '2024-02-02'))::BIGINT AS n_passed FROM f JOIN g USING (k) GROUP BY k",
+        "wl_quarantine": f"WITH {fetches} SELECT 'n' || k AS list_id, fetched, problem, CASE problem WHEN 'unreadable' THEN 20 WHEN 'no list' THEN 19 WHEN 'no content' THEN CASE WHEN k % 4 = 0 THEN 0 END END::BIGINT AS n_chars FROM f WHERE problem IS NOT NULL",
+    }
     return out

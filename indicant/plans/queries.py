@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.extractors import EXTRACTORS
-from ..operators import dedup, formats, store
+from ..operators import dedup, formats, snapshots, store
 from ..operators import warninglists as W
 from ..operators.extract import counts_by_type, extract_all, extract_wide
 from ..sources import text as sources
@@ -183,6 +183,26 @@ def wl_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("list_id", "name", "type", "n_values", "matched", F.array_join("sample", ",").alias("sample"))
 
 
+def list_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fetches of a list for each nation: some cut short, some without content or a list, some after the moment that is asked for."""
+    raw = F.to_json(F.struct(F.concat("n_name", F.lit(" v"), F.col("v").cast("string")).alias("name"), F.array(F.lit("domain")).alias("matching_attributes"), F.array_repeat(F.lower("n_name"), F.col("v") + 1).alias("list")))
+    key, v = F.col("n_nationkey"), F.col("v")
+    broken = F.when((v == 1) & (key % 3 == 0), F.left(raw, F.lit(20))).when((v == 2) & (key % 4 == 0), "").when((v == 0) & (key % 6 == 1), '{"name": "no list"}').when((v == 2) & (key % 7 == 2), F.lit(None)).otherwise(raw)
+    at = F.element_at(F.array(F.lit("2024-01-01"), F.lit("2024-01-31 13:00"), F.when(key % 5 == 0, "2024-03-01").otherwise("2024-02-01")), v + 1)
+    rows = table(spark, sf_dir, "nation").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("v"))
+    return rows.select(F.concat(F.lit("n"), key.cast("string")).alias("list_id"), at.cast("timestamp").alias("fetched_at"), broken.alias("raw"))
+
+
+def wl_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last good version of each list at noon of 1 February, and whether it is stale."""
+    lists = snapshots.as_of(list_fetches(spark, sf_dir), F.lit("2024-02-01 12:00:00").cast("timestamp"))
+    return lists.select("list_id", "name", F.size("list").cast("long").alias("n_values"), F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched"), "stale", "n_passed")
+
+
+def wl_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.quarantine(list_fetches(spark, sf_dir)).select("list_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched"), "problem", F.length("raw").cast("long").alias("n_chars"))
+
+
 def wl_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every list that holds a value, which of them wins, and the values that none holds."""
     return W.explain(iocs(spark, sf_dir), warning_lists(spark)).select("ioc_type", "value", "stage", "warning_list", "wins", "is_warning")
@@ -494,7 +514,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         extract_all_counts, extract_documents, extract_fanged, extract_wide_counts, extract_pages, hash_validity, domain_validity, defang_values,
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
-        wl_categories, wl_diagnose, wl_explain, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
+        wl_categories, wl_diagnose, wl_explain, wl_as_of, wl_quarantine, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
         stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
         stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many,
         wl_substring_suffixes, wl_regex_many, chunked_small,
