@@ -1,4 +1,4 @@
-"""python -m indicant FILE... : extract indicators from files and write them a folder a format."""
+"""python -m indicant FILE... : extract indicators from files and write a report for each of them."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ import argparse
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .api import extract_files, warning_lines
 from .config import persistence
 from .operators import formats
 from .operators.extract import counts_by_type
+from .operators.sink import write_reports
 from .operators.store import Options, Store
 from .operators.warninglists import load_lists
 
@@ -38,16 +38,16 @@ def main(argv: list[str] | None = None) -> int:
     types = [t.strip() for t in args.types.split(",") if t.strip()] if args.types else None
     found = extract_files(spark, args.paths, lists, types, not args.no_defang, strict=not args.lax).persist()
     now = datetime.now(timezone.utc)
-    if args.format == "json":
-        documents, column = formats.json_rows(found), "json"
-    elif args.format == "stix":
-        documents, column = formats.stix_bundles(found, now.strftime("%Y-%m-%dT%H:%M:%SZ")), "bundle"
-    else:
-        documents, column = formats.text_reports(found), "report"
+    moment = now.strftime("%Y-%m-%dT%H:%M:%SZ")
     if args.output:
-        named = documents.select(formats.output_filename(F.col("source_value"), args.format).alias("file"), F.col(column).alias("value"))
-        named.write.mode("overwrite").partitionBy("file").text(args.output)
+        write_reports(found, args.output, args.format, moment)
     else:
+        if args.format == "json":
+            documents, column = formats.json_rows(found), "json"
+        elif args.format == "stix":
+            documents, column = formats.stix_bundles(found, moment), "bundle"
+        else:
+            documents, column = formats.text_reports(found), "report"
         for row in documents.select(column).toLocalIterator():
             print(formats.pretty(row[0], ascii_only=True) if column != "report" else row[0])
     for row in counts_by_type(found).orderBy("ioc_type").collect():
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     keep = persistence(args.persist, args.store, args.config)
     if keep.enabled and keep.path:
         options = Options(defang=not args.no_defang, check_warnings=lists is not None, output_format=args.format)
-        Store(spark, keep.path).persist(found.withColumnRenamed("source_kind", "kind"), now.strftime("%Y-%m-%d %H:%M:%S"), options=options)
+        Store(spark, keep.path).persist(found.withColumnRenamed("source_kind", "kind"), now.strftime("%Y-%m-%d %H:%M:%S.%f"), options=options)
     return 0
 
 

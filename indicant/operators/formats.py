@@ -97,20 +97,28 @@ def stix_indicators(iocs: DataFrame, key: str = "source_value") -> DataFrame:
     return rows.groupBy(key, "pattern").agg(pick.alias("p")).select(key, "pattern", F.concat("p.ioc_type", F.lit(" indicator")).alias("name"), "p.is_warning", "p.warning_list", "p.description")
 
 
-def stix_bundles(iocs: DataFrame, valid_from: str, key: str = "source_value") -> DataFrame:
-    """(key, bundle): STIX bundles as JSON.  Ids derive from what they name, so a rerun gives the same."""
-    uuid = lambda c: F.regexp_replace(F.sha2(c, 256), "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-8$4-$5")
-    rows = stix_indicators(iocs, key)
+def stix_uuid(c: Column) -> Column:
+    """A text's digest in the form of a version 5 UUID."""
+    return F.regexp_replace(F.sha2(c, 256), "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-8$4-$5")
+
+
+def stix_objects(iocs: DataFrame, valid_from: str, key: str = "source_value") -> DataFrame:
+    """(key, is_warning, pattern, json): STIX indicators as JSON objects.  Ids derive from what they name, so a rerun gives the same."""
     warned = F.col("is_warning")
     indicator = F.to_json(F.struct(
-        F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("indicator--"), uuid(F.col("pattern"))).alias("id"),
+        F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("indicator--"), stix_uuid(F.col("pattern"))).alias("id"),
         F.lit(valid_from).alias("created"), F.lit(valid_from).alias("modified"), "name", F.array(F.lit("unknown")).alias("indicator_types"), "pattern",
         F.lit("stix").alias("pattern_type"), F.lit("2.1").alias("pattern_version"), F.lit(valid_from).alias("valid_from"),
         F.when(warned, F.col("warning_list")).alias("x_warning_list"), F.when(warned & (F.col("description") != ""), F.col("description")).alias("x_warning_description"),
     ))
-    grouped = rows.select(key, F.struct("is_warning", "pattern", indicator.alias("json")).alias("i")).groupBy(key).agg(F.sort_array(F.collect_list("i")).alias("i"))
+    return stix_indicators(iocs, key).select(key, "is_warning", "pattern", indicator.alias("json"))
+
+
+def stix_bundles(iocs: DataFrame, valid_from: str, key: str = "source_value") -> DataFrame:
+    """(key, bundle): STIX bundles as JSON, for sources of a size to print; sink.write_reports streams any."""
+    grouped = stix_objects(iocs, valid_from, key).select(key, F.struct("is_warning", "pattern", "json").alias("i")).groupBy(key).agg(F.sort_array(F.collect_list("i")).alias("i"))
     objects = F.array_join(F.transform("i", lambda x: x.json), ",")
-    return grouped.select(key, F.concat(F.lit('{"type":"bundle","id":"bundle--'), uuid(F.concat_ws("|", F.col(key).cast("string"), objects)), F.lit('","objects":['), objects, F.lit("]}")).alias("bundle"))
+    return grouped.select(key, F.concat(F.lit('{"type":"bundle","id":"bundle--'), stix_uuid(F.concat_ws("|", F.col(key).cast("string"), objects)), F.lit('","objects":['), objects, F.lit("]}")).alias("bundle"))
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:

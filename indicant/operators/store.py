@@ -122,7 +122,7 @@ class Store:
         """Every marker by its batch; one is an entry of a folder and a line of JSON."""
         if not self._exists("published"):
             return {}
-        texts = self.spark.read.option("wholetext", True).text(f"{self.path}/published").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("batch"), "value")
+        texts = self.spark.read.text(f"{self.path}/published", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("batch"), "value")
         return {r.batch: json.loads(r.value) for r in texts.collect()}
 
     def batches(self) -> dict[str, dict]:

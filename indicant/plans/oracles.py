@@ -206,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "multi_source_union": f"WITH {base_cte()} SELECT ioc_type, value FROM base UNION SELECT ioc_type, value FROM base",
         "counts_with_total": f"WITH {base_cte()} SELECT ioc_type, count(*)::BIGINT AS n FROM base GROUP BY ROLLUP (ioc_type)",
         "json_rows": json_sql(), "text_sections": text_report_sql(), "stix_patterns": stix_sql(),
+        "written_reports": f"SELECT source_value || '_iocs.txt' AS file, report || chr(10) AS report FROM ({text_report_sql()})",
         "stix_bundle_sizes": f"SELECT source_value, count(*)::BIGINT AS n_objects FROM ({stix_sql()}) GROUP BY source_value",
         "persist_sources": f"SELECT 'file' AS kind, o_custkey::VARCHAR AS value, '{NOW[:10]}' AS first_seen, CASE WHEN count(*) FILTER (o_orderkey % 3 = 0) > 0 THEN '{LATER[:10]}' ELSE '{NOW[:10]}' END AS last_seen FROM orders GROUP BY o_custkey",
         "persist_iocs": f"WITH {CLASSED}, k AS (SELECT source_value, ioc_type, value, w AS is_warning, CASE WHEN w THEN 'Even ''years''' ELSE '' END AS warning_list, '' AS warning_description FROM c) SELECT * EXCLUDE source_value FROM k WHERE {odd} EXCEPT SELECT * EXCLUDE source_value FROM k WHERE NOT {odd}",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.extractors import EXTRACTORS
-from ..operators import dedup, formats, snapshots, store
+from ..operators import dedup, formats, sink, snapshots, store
 from ..operators import warninglists as W
 from ..operators.extract import counts_by_type, extract_all, extract_wide
 from ..sources import text as sources
@@ -260,6 +260,13 @@ def stix_bundle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles.select("source_value", F.expr("size(from_json(bundle, 'objects array<struct<pattern:string>>').objects)").cast("long").alias("n_objects"))
 
 
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each source, written line by line and read back."""
+    where = shared_folder(spark, "reports")
+    sink.write_reports(as_classified(spark, sf_dir), where)
+    return spark.read.text(where, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("report"))
+
+
 def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources after two runs: all orders' customers, then those of open orders."""
     orders = table(spark, sf_dir, "orders")
@@ -515,7 +522,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         extract_all_counts, extract_documents, extract_fanged, extract_wide_counts, extract_pages, hash_validity, domain_validity, defang_values,
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
         wl_categories, wl_diagnose, wl_explain, wl_as_of, wl_quarantine, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
-        stix_patterns, stix_bundle_sizes, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
+        stix_patterns, stix_bundle_sizes, written_reports, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
         stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many,
         wl_substring_suffixes, wl_regex_many, chunked_small,
         chunked_ahead, warning_lines, hashes_section, store_round_trip, store_replaced_and_concurrent, read_files,

@@ -31,7 +31,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in" / "report.txt").write_text("CVE-2024-12345 at evil.net")
     args = [str(tmp_path / "in"), "--format", "json", "--output", str(tmp_path / "out"), "--persist", "--store", str(tmp_path / "db")]
     assert main(args) == 0 and "cves: 1" in capsys.readouterr().out
-    out = next((tmp_path / "out" / "file=report_iocs.json").glob("part-*")).read_text()
+    out = (tmp_path / "out" / "report_iocs.json").read_text()
     assert json.loads(out)["cves"] == ["CVE-2024-12345"]
     assert main([*args[:1], "--format", "text"]) == 0 and "## Domains" in capsys.readouterr().out
     db = Store(spark, str(tmp_path / "db"))
