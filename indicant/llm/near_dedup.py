@@ -38,6 +38,8 @@ BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Estimated similarity from which a candidate is confirmed: 7.6 standard errors of the sketch below 0.75.
 LIKELY = 0.40
 SALTS = 8
+#: Rounds of labels; paths halve in each, so a few dozen are enough for any table.
+ROUNDS = 200
 #: Rows of a region from which it is dealt to several tasks, at least; never under a thousandth of all rows, so that few regions are.
 HOT, SAMPLED = 200_000, 64
 BLOCK_WORDS = 1 << 17
@@ -409,11 +411,11 @@ def components(edges: DataFrame, where: str, name: str) -> DataFrame:
     """(node, label): the smallest node reachable over the edges (a, b), for every node that has one.
 
     Each round takes the smallest label around every node and then the label's label, so
-    paths halve; rounds end when nothing changes.
+    paths halve; rounds end when nothing changes, far below ROUNDS, and raise beyond.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), where, f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), where, f"{name}-0")
-    for k in range(1, 200):
+    for k in range(1, ROUNDS):
         near = both.join(labels.withColumnsRenamed({"node": "b", "label": "other"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         hooked = labels.join(near, "node").select("node", "label", F.least("label", "other").alias("to"))
         parent = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
@@ -421,8 +423,8 @@ def components(edges: DataFrame, where: str, name: str) -> DataFrame:
         labels = new.select("node", "label")
         drop_stored(both.sparkSession, f"{where}/{name}-{k - 1}")
         if not new.filter("changed").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {ROUNDS} rounds")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

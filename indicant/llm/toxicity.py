@@ -318,12 +318,11 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, threshold: float = 0.3, span
     keep = [id_col] if keep is None else keep
 
     def spans(text: str, p: np.ndarray) -> list[dict]:
-        raw, out = text.encode(), []
+        raw = text.encode()
         places = [m.span() for m in re.finditer(rb"[^ \n]+", raw.translate(SEGMENT_BYTES))]
-        for k in np.flatnonzero(p >= span_threshold):
-            a, b = (len(raw[:x].decode(errors="ignore")) for x in places[k])
-            out.append({"start": a, "end": b, "p": float(p[k])})
-        return out
+        # Characters before each byte, counted once: every byte but a continuation byte starts one.
+        before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int32)])
+        return [{"start": int(before[places[k][0]]), "end": int(before[places[k][1]]), "p": float(p[k])} for k in np.flatnonzero(p >= span_threshold)]
 
     def run(batches):
         model = shared.value

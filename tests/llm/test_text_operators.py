@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from indicant.llm import chat_format, quality, sentencepiece_codec, toxicity
 from indicant.llm.common import WORD_BYTES
+from indicant.llm import decontaminate as decontamination
 from indicant.llm.decontaminate import Automaton, decontaminate, normalised
 from indicant.llm.license_scan import TEMPLATES, Template, scan_licenses
 from indicant.llm.near_dedup import near_duplicates
@@ -110,9 +112,11 @@ def test_decontamination_offsets_point_into_the_original():
     assert ranges == [(1, 5)] and items == {"7"} and [text[a:b] for a, b in spans] == ["GROßE -- fragen; kurze\nAntwort"]
 
 
+@pytest.mark.parametrize("few", [0, 2, decontamination.FEW])
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 10])
-def test_decontamination_automaton_equals_windows(n):
-    """Blocks and their extension find what all windows would, also in items of hardly any different words."""
+def test_decontamination_automaton_equals_windows(n, few, monkeypatch):
+    """Blocks and their extension, or the windows around frequent ones, find what all windows would, also in items of hardly any different words."""
+    monkeypatch.setattr(decontamination, "FEW", few)
     rng = random.Random(n)
     for _ in range(200):
         letters = rng.choice(["ab", "abc", "abcd"])
@@ -122,6 +126,37 @@ def test_decontamination_automaton_equals_windows(n):
         assert (count, sum(b - a for a, b in ranges), sorted(found)) == brute_hits(text, items, n)
 
 
+def test_decontamination_of_items_that_begin_alike():
+    """A preamble that thousands of items share costs a few lookups for each place it stands at."""
+    head = "the following is a multiple choice question about the history of".split()
+    items = [(str(k), [w.encode() for w in [*head, f"a{k}", f"b{k}", "answer", "now"]]) for k in range(5000)]
+    built = Automaton(items, 10)
+    text = " ".join([*head, "a7", "b7", "answer", "now", "and", *head[:10], "rest"] * 40)
+    start = time.process_time()
+    count, ranges, found, _ = built.scan(text)
+    assert time.process_time() - start < 2
+    assert count == 40 * 27 and len(found) == 5000 and sum(b - a for a, b in ranges) == 40 * 25
+    assert built.scan("a7 b7 answer now " + " ".join(head[2:]) + " a9 x")[2] == {"9"}
+
+
+def test_decontamination_of_null_and_repeated_item_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three x four five six x seven")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), ("None", "four five six"), ("None", "seven"), (None, "nowhere")], "item_id string, text string")
+    r = decontaminate(docs, bench).first()
+    assert (r.n_hit, r.n_items, r["items"], r.items_sha256) == (7, 2, [None, "None"], hashlib.sha256(b",None").hexdigest())
+
+
+def test_toxic_spans_of_a_very_long_text_take_linear_time(spark):
+    train = [(k, f"you are a {w} and nobody likes it {k}" if k % 2 else f"this is a nice day for all of us {k}") for k, w in zip(range(400), ["fool", "scum", "trash", "idiot"] * 100)]
+    docs = spark.createDataFrame(train, "doc_id long, text string")
+    tagger = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k, _ in train], "doc_id long, toxic int"))
+    long = "é you are a fool and nobody likes it. " * 40_000
+    start = time.time()
+    r = toxicity.score_toxicity(spark.createDataFrame([(1, long)], "doc_id long, text string"), tagger, span_threshold=0.0).select("doc_id", "spans").first()
+    assert time.time() - start < 60 and len(r.spans) == 9 * 40_000
+    assert [long[s.start : s.end] for s in r.spans[-8:]] == "you are a fool and nobody likes it".split()
+
+
 def test_decontamination_refuses_a_benchmark_beyond_its_bound(spark):
     docs, bench = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     with pytest.raises(ValueError):
