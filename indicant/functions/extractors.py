@@ -126,6 +126,31 @@ EXTRACTORS: dict[str, Callable[..., Column]] = {
 }
 
 
-def register(ioc_type: str, pattern: Pattern, validator: Callable[[Column], Column] | None = None) -> None:
-    """Add an indicator type of one's own: a pattern and, if wanted, a Column -> Column check."""
-    EXTRACTORS[ioc_type] = lambda c, defang=True: F.filter(found(c, pattern), validator) if validator else found(c, pattern)
+#: Section titles and STIX patterns of registered types.
+TITLES: dict[str, str] = {}
+STIX_PATTERNS: dict[str, str] = {}
+
+
+def extractor(pattern: Pattern, validator: Callable[[Column], Column] | None = None) -> Callable[..., Column]:
+    """An extractor of one's own: a pattern and, if wanted, a Column -> Column check."""
+    return lambda c, defang=True: F.filter(found(c, pattern), validator) if validator else found(c, pattern)
+
+
+def register(ioc_type: str, pattern: Pattern, validator: Callable[[Column], Column] | None = None, title: str | None = None, stix: str | None = None) -> None:
+    """Add an indicator type for every later extraction, classification and report.
+
+    title heads its section of text reports (else made of its name), stix is its pattern with
+    {value} (else it is no part of bundles).  A registry of one's own, for one extraction only,
+    is the ``registry`` argument of extract_all.
+    """
+    EXTRACTORS[ioc_type] = extractor(pattern, validator)
+    TITLES[ioc_type] = title or ioc_type.replace("_", " ").title()
+    if stix:
+        STIX_PATTERNS[ioc_type] = stix
+
+
+def unregister(ioc_type: str) -> None:
+    """Take a registered type away again; others stay."""
+    if ioc_type in TITLES:
+        for known in (EXTRACTORS, TITLES, STIX_PATTERNS):
+            known.pop(ioc_type, None)

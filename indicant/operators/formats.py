@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists as L
 from ..functions import text as T
+from ..functions.extractors import STIX_PATTERNS, TITLES
 
 
 def with_warning_columns(iocs: DataFrame) -> DataFrame:
@@ -43,14 +44,16 @@ def pretty(document: str, ascii_only: bool = False) -> str:
     return json.dumps(json.loads(document), indent=4, sort_keys=True, ensure_ascii=ascii_only)
 
 
-def section_lines(iocs: DataFrame, key: str = "source_value") -> DataFrame:
+def section_lines(iocs: DataFrame, key: str = "source_value", titles: dict[str, str] | None = None) -> DataFrame:
     """(key, part, pos, rank, line): the lines of the text report with the order they go in.
 
+    Registered types, and those of ``titles``, have sections behind the library's; other types have none.
     part 0 is the title, 1 the sections, 2 the warnings' title, 3 the warnings' sections.
     """
-    rows = with_warning_columns(iocs).filter(F.col("ioc_type").isin([t for t, _ in L.SECTIONS]))
-    pos = F.create_map(*[x for k, (t, _) in enumerate(L.SECTIONS) for x in (F.lit(t), F.lit(k))])
-    title = F.create_map(*[x for t, name in L.SECTIONS for x in (F.lit(t), F.lit(name))])
+    sections = [*L.SECTIONS, *(TITLES | (titles or {})).items()]
+    rows = with_warning_columns(iocs).filter(F.col("ioc_type").isin([t for t, _ in sections]))
+    pos = F.create_map(*[x for k, (t, _) in enumerate(sections) for x in (F.lit(t), F.lit(k))])
+    title = F.create_map(*[x for t, name in sections for x in (F.lit(t), F.lit(name))])
     rows = rows.withColumns({"pos": F.element_at(pos, F.col("ioc_type")), "title": F.element_at(title, F.col("ioc_type"))})
     normal, warned = rows.filter(~F.col("is_warning")), rows.filter("is_warning")
     const = lambda df, part, line: df.select(key).distinct().select(key, F.lit(part).alias("part"), F.lit(-1).alias("pos"), F.lit("").alias("rank"), F.lit(line).alias("line"))
@@ -67,9 +70,9 @@ def section_lines(iocs: DataFrame, key: str = "source_value") -> DataFrame:
     return out
 
 
-def text_reports(iocs: DataFrame, key: str = "source_value") -> DataFrame:
-    """(key, report): one text document a source."""
-    lines = section_lines(iocs, key)
+def text_reports(iocs: DataFrame, key: str = "source_value", titles: dict[str, str] | None = None) -> DataFrame:
+    """(key, report): one text document a source, for sources of a size to print; sink.write_reports streams any."""
+    lines = section_lines(iocs, key, titles)
     ordered = F.sort_array(F.collect_list(F.struct("part", "pos", "rank", "line")))
     return lines.groupBy(key).agg(ordered.alias("l")).select(key, F.array_join(F.transform("l", lambda x: x.line), "\n").alias("report"))
 
@@ -79,20 +82,20 @@ def hashes_section(hashes: DataFrame) -> DataFrame:
     return hashes.select(F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("value", F.lit("")).alias("value")).orderBy("type", "value")
 
 
-def stix_pattern(ioc_type: Column, value: Column) -> Column:
-    """STIX 2.1 pattern of an indicator; null for types without one."""
+def stix_pattern(ioc_type: Column, value: Column, patterns: dict[str, str] | None = None) -> Column:
+    """STIX 2.1 pattern of an indicator, registered types and those of ``patterns`` included; null for types without one."""
     clean = F.replace(F.replace(T.refang(value), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
     out = None
-    for t, template in L.STIX.items():
+    for t, template in (L.STIX | STIX_PATTERNS | (patterns or {})).items():
         head, tail = template.split("{value}")
         text = F.concat(F.lit(head), clean, F.lit(tail))
         out = F.when(ioc_type == t, text) if out is None else out.when(ioc_type == t, text)
     return out
 
 
-def stix_indicators(iocs: DataFrame, key: str = "source_value") -> DataFrame:
+def stix_indicators(iocs: DataFrame, key: str = "source_value", patterns: dict[str, str] | None = None) -> DataFrame:
     """One row per (key, pattern), normal indicators before warnings: pattern, name, warning columns."""
-    rows = with_warning_columns(iocs).withColumn("pattern", stix_pattern(F.col("ioc_type"), F.col("value"))).filter("pattern IS NOT NULL AND value <> ''")
+    rows = with_warning_columns(iocs).withColumn("pattern", stix_pattern(F.col("ioc_type"), F.col("value"), patterns)).filter("pattern IS NOT NULL AND value <> ''")
     pick = F.min(F.struct("is_warning", "ioc_type", F.coalesce("warning_list", F.lit("")).alias("warning_list"), F.coalesce("description", F.lit("")).alias("description")))
     return rows.groupBy(key, "pattern").agg(pick.alias("p")).select(key, "pattern", F.concat("p.ioc_type", F.lit(" indicator")).alias("name"), "p.is_warning", "p.warning_list", "p.description")
 

@@ -261,4 +261,11 @@ def oracle_sql() -> dict[str, str]:
         "wl_as_of": f"WITH {fetches}, g AS (SELECT k, max(v) AS v FROM f WHERE problem IS NULL AND fetched < '2024-02-02' GROUP BY k) SELECT 'n' || k AS list_id, any_value(n_name) || ' v' || any_value(g.v) AS name, any_value(g.v + 1)::BIGINT AS n_values, any_value(fetched) FILTER (f.v = g.v) AS fetched, any_value(g.v) = 0 AS stale, (count(*) FILTER (problem IS NOT NULL AND f.v > g.v AND fetched < '2024-02-02'))::BIGINT AS n_passed FROM f JOIN g USING (k) GROUP BY k",
         "wl_quarantine": f"WITH {fetches} SELECT 'n' || k AS list_id, fetched, problem, CASE problem WHEN 'unreadable' THEN 20 WHEN 'no list' THEN 19 WHEN 'no content' THEN CASE WHEN k % 4 = 0 THEN 0 END END::BIGINT AS n_chars FROM f WHERE problem IS NOT NULL",
     }
+    title = "'# Indicators of Compromise (IOCs) Extracted' || chr(10) || chr(10)"
+    warned = "'# Warning List Matches' || chr(10) || chr(10) || 'The following indicators were found in warning lists and might be false positives:' || chr(10) || chr(10) || chr(10) || '## Tickets in Warning Lists' || chr(10) || chr(10) || 'TCK-' || t || ' - *Old tickets*'"
+    plain = "chr(10) || '## Tickets' || chr(10) || chr(10)"
+    out["registered_reports"] = f"""
+        WITH n AS (SELECT *, n_nationkey < 20 AS old, n_nationkey + 100 AS t FROM nation),
+        r AS (SELECT *, {title} || CASE WHEN old THEN chr(10) || {warned} ELSE {plain} || 'TCK-' || t END AS report FROM n)
+        SELECT n_name AS source_value, report, '[x-ticket:value = ' || chr(39) || 'TCK-' || t || chr(39) || ']' AS pattern, old AS is_warning FROM r"""
     return out

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.extractors import EXTRACTORS
+from ..functions.extractors import EXTRACTORS, extractor
+from ..functions.patterns import Pattern
 from ..operators import dedup, formats, sink, snapshots, store
 from ..operators import warninglists as W
 from ..operators.extract import counts_by_type, extract_all, extract_wide
@@ -333,17 +334,24 @@ def extract_url_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_all(rows, types=["domains"])
 
 
+def tickets() -> dict[str, Callable]:
+    """A registry with a type of one's own, with a check of its values."""
+    return {"ticket": extractor(Pattern(r"\b(TCK-[0-9]+)\b", (1,), "TCK-"), lambda v: F.length(v) > 5)}
+
+
 def extract_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A type of one's own, with a check of its values."""
-    from ..functions.extractors import register
-    from ..functions.patterns import Pattern
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "'TCK-' || CAST(o_orderkey AS STRING) || ' and TCK-x' AS text")
+    return extract_all(rows, registry=tickets())
+
 
-    register("ticket", Pattern(r"\b(TCK-[0-9]+)\b", (1,), "TCK-"), lambda v: F.length(v) > 5)
-    try:
-        rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "'TCK-' || CAST(o_orderkey AS STRING) || ' and TCK-x' AS text")
-        return extract_all(rows, types=["ticket"])
-    finally:
-        del EXTRACTORS["ticket"]
+def registered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type in warning lists, report sections and STIX patterns."""
+    rows = table(spark, sf_dir, "nation").selectExpr("n_name AS source_value", "'TCK-' || CAST(100 + n_nationkey AS STRING) || ' TCK-7' AS text")
+    lists = spark.createDataFrame([("o", "Old tickets", "", "regex", ["other"], ["^TCK-1[01]"])], W.SCHEMA)
+    found = W.classify(extract_all(rows, keys=["source_value"], registry=tickets()), lists)
+    reports = formats.text_reports(found, titles={"ticket": "Tickets"})
+    patterns = formats.stix_indicators(found, patterns={"ticket": "[x-ticket:value = '{value}']"})
+    return reports.join(patterns.select("source_value", "pattern", "is_warning"), "source_value")
 
 
 HARD_HTML = {
@@ -523,7 +531,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
         wl_categories, wl_diagnose, wl_explain, wl_as_of, wl_quarantine, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
         stix_patterns, stix_bundle_sizes, written_reports, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
-        stream_extract, extract_page_texts, extract_url_domains, extract_registered, html_hard_cases, wl_regex_backrefs, wl_substring_many,
+        stream_extract, extract_page_texts, extract_url_domains, extract_registered, registered_reports, html_hard_cases, wl_regex_backrefs, wl_substring_many,
         wl_substring_suffixes, wl_regex_many, chunked_small,
         chunked_ahead, warning_lines, hashes_section, store_round_trip, store_replaced_and_concurrent, read_files,
         read_files_once,
