@@ -211,7 +211,7 @@ def cidr_hits(values: DataFrame, nets: DataFrame, pairs: DataFrame) -> DataFrame
     probe = values.filter(F.col("ioc_type").isin("ips", "ipv6")).select("ioc_type", "value", F.substr(hexed, F.lit(1), F.lit(1)).alias("family"), bits(hexed).alias("b"))
     cut = probe.join(F.broadcast(sizes), "family").select("ioc_type", "value", "family", "b", F.explode("sizes").alias("len"))
     keyed = cut.select("ioc_type", "value", "family", "len", F.substr("b", F.lit(1), F.col("len")).alias("prefix"))
-    found = keyed.join(nets.join(pairs.withColumnRenamed("kind", "ioc_type"), "list_id"), ["ioc_type", "family", "len", "prefix"])
+    found = keyed.join(nets.join(F.broadcast(pairs.withColumnRenamed("kind", "ioc_type")), "list_id"), ["ioc_type", "family", "len", "prefix"])
     return found.withColumns({"stage": F.lit(2), "which": F.lit(0)}).select(*HIT)
 
 
@@ -313,7 +313,7 @@ def key_index(lists: DataFrame, pairs: DataFrame, nets: DataFrame | None) -> Dat
     chosen = lambda df, stage, key: df.select("kind", key.alias("key"), F.struct(F.lit(stage).alias("stage"), "list_rank", "warning_list", "description").alias("m"))
     table = chosen(string_table(lists, pairs), 0, F.concat(F.lit("s:"), F.col("key")))
     if nets is not None:
-        table = table.unionByName(chosen(nets.join(pairs, "list_id"), 2, F.concat_ws(":", F.lit("c"), "family", F.col("len").cast("string"), "prefix")))
+        table = table.unionByName(chosen(nets.join(F.broadcast(pairs), "list_id"), 2, F.concat_ws(":", F.lit("c"), "family", F.col("len").cast("string"), "prefix")))
     return table
 
 

@@ -268,4 +268,5 @@ def oracle_sql() -> dict[str, str]:
         WITH n AS (SELECT *, n_nationkey < 20 AS old, n_nationkey + 100 AS t FROM nation),
         r AS (SELECT *, {title} || CASE WHEN old THEN chr(10) || {warned} ELSE {plain} || 'TCK-' || t END AS report FROM n)
         SELECT n_name AS source_value, report, '[x-ticket:value = ' || chr(39) || 'TCK-' || t || chr(39) || ']' AS pattern, old AS is_warning FROM r"""
+    out["command_line"] = "SELECT n_nationkey || '_iocs.json' AS file, '10[.]' || n_nationkey || '[.]3[.]4' AS ips, 'u' || n_nationkey || '[@]mail[.]org' AS emails, 'none' AS cves FROM nation"
     return out

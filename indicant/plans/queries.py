@@ -268,6 +268,23 @@ def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(where, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("report"))
 
 
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation through the command line, and the JSON reports that it writes."""
+    import contextlib
+    import io
+
+    from ..__main__ import main
+
+    where = shared_folder(spark, "command-line")
+    spark.dataSource.register(sink.NamedFiles)
+    lines = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS STRING) || '.txt' AS file", "'from 10.' || CAST(n_nationkey AS STRING) || '.3.4 to u' || CAST(n_nationkey AS STRING) || '@mail.org or CVE-2024-1234' AS line")
+    lines.repartition(4, "file").sortWithinPartitions("file").write.format("named_files").option("path", f"{where}/in").mode("append").save()
+    with contextlib.redirect_stdout(io.StringIO()):
+        main([f"{where}/in", "--format", "json", "--types", "ips,emails", "--output", f"{where}/out"])
+    reports = spark.read.schema("ips array<string>, emails array<string>, cves array<string>").option("multiLine", True).json(f"{where}/out")
+    return reports.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.array_join("ips", ",").alias("ips"), F.array_join("emails", ",").alias("emails"), F.coalesce(F.array_join("cves", ","), F.lit("none")).alias("cves"))
+
+
 def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources after two runs: all orders' customers, then those of open orders."""
     orders = table(spark, sf_dir, "orders")
@@ -530,7 +547,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         extract_all_counts, extract_documents, extract_fanged, extract_wide_counts, extract_pages, hash_validity, domain_validity, defang_values,
         refang_values, html_to_text, detect_file_type, url_parts, output_filename, table_text, wl_classify, wl_warnings_only, wl_email_drop,
         wl_categories, wl_diagnose, wl_explain, wl_as_of, wl_quarantine, dedup_ordered, dedup_incremental_anti, multi_source_union, counts_with_total, json_rows, text_sections,
-        stix_patterns, stix_bundle_sizes, written_reports, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
+        stix_patterns, stix_bundle_sizes, written_reports, command_line, persist_sources, persist_iocs, persist_run_iocs, shared_iocs_topk, chunked_extract, chunk_sizes,
         stream_extract, extract_page_texts, extract_url_domains, extract_registered, registered_reports, html_hard_cases, wl_regex_backrefs, wl_substring_many,
         wl_substring_suffixes, wl_regex_many, chunked_small,
         chunked_ahead, warning_lines, hashes_section, store_round_trip, store_replaced_and_concurrent, read_files,
