@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from html.entities import html5
 
@@ -115,18 +116,15 @@ def character(code: Column) -> Column:
 
 #: Named references of the standard library's table, and what 0x80 to 0x9F mean on the web: Windows-1252.
 NAMED = {f"&{name}": chars for name, chars in html5.items()}
+#: The names by their first two letters, as JSON: one literal of the plan, which folds it to a map.
+BY_START = json.dumps({start: {n: chars for n, chars in NAMED.items() if n[1:3] == start} for start in {n[1:3] for n in NAMED}}, sort_keys=True)
 OLD_NAMES = "^&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 WESTERN = {n: char for n in range(0x80, 0xA0) if (char := bytes([n]).decode("cp1252", "ignore"))}
 
 
 def named(code: Column) -> Column:
     """The characters of a name, null if unknown; looked up by its first two letters, since a map is searched entry by entry."""
-    groups: dict[str, list[str]] = {}
-    for name in NAMED:
-        groups.setdefault(name[1:3], []).append(name)
-    inner = lambda names: F.create_map(*[F.lit(x) for n in names for x in (n, NAMED[n])])
-    maps = F.create_map(*[x for k, names in groups.items() for x in (F.lit(k), inner(names))])
-    return F.try_element_at(F.try_element_at(maps, F.substr(code, F.lit(2), F.lit(2))), code)
+    return F.try_element_at(F.try_element_at(F.from_json(F.lit(BY_START), "map<string,map<string,string>>"), F.substr(code, F.lit(2), F.lit(2))), code)
 
 
 def code_point(n: Column) -> Column:
