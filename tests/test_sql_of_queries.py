@@ -1,9 +1,16 @@
 """The SQL of queries on values that the small tables lack: both sides state one rule."""
 
 import duckdb
+import pytest
 
 import __spark_entry__
 
+ODD_HTML = [
+    "<p>a &amp b &copy2024 &notit; &notin; &eacutex&</p>", "&#39;&#x27;&#150;&#x80;&#129;&#0;&#xD800;&#99999999999;&#x1F600;&fjlig;&nosuch;&ampamp;",
+    '<a title="x>y" b = \'>\'>c</a> d<br alt="never closed>e', "a<!-- <script> -->b<script data-x=\">\">x</script>c<style>never", " <head><title>t</title></head> x y&nbsp; z ",
+    " https://a.example/x?a=1&amp;b=2\n", None, "", "<b>'", "&&&amp&&&%%% &", "<SCRIPT>a</SCRIPT >b<noscript>c</noscript>d<!-- e",
+]
+
 
 def sides(spark, tmp_path, query, **tables):
     for name, df in tables.items():
@@ -21,3 +28,10 @@ def test_hash_validity_of_digests_that_look_like_files(spark, tmp_path):
     keys = (2531806, 2444926, 3072822, 1, 2, 3, 4, 5)  # SHA-256 of the first three starts with 4d5a, 504b and 377a
     got, want = sides(spark, tmp_path, "hash_validity", orders=spark.createDataFrame([(k,) for k in keys], "o_orderkey long"))
     assert got == want and [valid for k, _, valid in got if k > 9] == [False] * 3
+
+
+@pytest.mark.parametrize("query", ["html_to_text", "extract_page_texts"])
+def test_text_of_odd_pages(spark, tmp_path, query):
+    pages = [(k, "u", h) for k, h in enumerate(ODD_HTML)] + [(99, "u", "<p>x&#64;y a.b@mail1.example.com&amp 10.2.3.4</p>")]
+    got, want = sides(spark, tmp_path, query, pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert got == want and got
