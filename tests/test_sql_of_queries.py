@@ -35,3 +35,16 @@ def test_text_of_odd_pages(spark, tmp_path, query):
     pages = [(k, "u", h) for k, h in enumerate(ODD_HTML)] + [(99, "u", "<p>x&#64;y a.b@mail1.example.com&amp 10.2.3.4</p>")]
     got, want = sides(spark, tmp_path, query, pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert got == want and got
+
+
+ODD_DOCUMENTS = [
+    "THE.26@MAIL6.EXAMPLE.COM!! WORD.ASIA!! An.name le.\nAioion.info x.bfed ed.cab", "ént.26@mail6.example.com menté.cab é.cab aó.info info.é a.comé b.org.comé _a@b.com a_b@c.net²",
+    "google.com bad.google.com x.google.com react.vue.com s.exe a.b.zip " + "l" * 64 + ".com and.org via[.]net p(.)q{.}com svchost.exe a.sh", "1.2.3.4.5 01.2.3.4 1[.]2[.]3.9 x1.2.3.4 é1.2.3.4 1.2.3.4é 256.1.1.1",
+    "SHA1: 9233A8ECF7C5B09FE5949719B6B82BC439E9329Bff é9233a8ecf7c5b09fe5949719b6b82bc439e9329b \"2aeb8253858bf047bc9bb976166a40ef87db38b0\"!!", "", None, "a@b.com@c.com a.-b@c.com-d@e.org", "x.é.com mail.é1.org a_b.com c-.com -d.com e..net .f.io",
+]
+
+
+@pytest.mark.parametrize("query", ["extract_all_counts", "extract_documents"])
+def test_indicators_of_odd_documents(spark, tmp_path, query):
+    got, want = sides(spark, tmp_path, query, documents=spark.createDataFrame(list(enumerate(ODD_DOCUMENTS)), "doc_id long, text string"))
+    assert got == want and got
