@@ -92,3 +92,14 @@ def test_ids_as_text_of_older_files_are_read(spark, tmp_path):
         db._read(t).write.parquet(f"{tmp_path}/db/tables/{t}/part=old")
     db._publish("old", "old", list(db.batches()))
     assert {t: sorted(map(tuple, db._read(t).collect()), key=repr) for t in store.TABLES} == want
+
+
+def test_steps_by_source_move_the_keys_of_orders_only(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([(k, k % 3) for k in range(30)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    for query in ("stix_bundle_sizes", "text_sections"):
+        df = __spark_entry__.queries()[query](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
+        assert df.count() == 3
