@@ -2,11 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from indicant.operators import formats, store
+from indicant.operators import formats, sink, store
 from indicant.sources import ranges
 from indicant.streaming import by_source
 
@@ -103,3 +104,23 @@ def test_steps_by_source_move_the_keys_of_orders_only(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
         assert df.count() == 3
+
+
+def test_reports_are_written_from_one_read_and_no_name_passes_the_driver(spark, tmp_path):
+    rows = [(s, t, v, w, n, None) for s in ("a", "b") for t, v, w, n in (
+        ("ips", "1.1.1.1", False, None), ("ips", "1.1.1.1", False, None), ("cves", "CVE-2020-1", True, "L"), ("ips", "8.8.8.8", True, None), ("md5", "x", None, None), ("md5", None, True, "L"), ("yara", "rule", False, None))]
+    rows += [("c", "md5", "x", None, None, None), ("c", "md5", "y", None, None, None), ("d", "cves", "z", True, "L", "why"), ("e", "none", "v", False, None, None)]
+    spark.createDataFrame(rows, "source_value string, ioc_type string, value string, is_warning boolean, warning_list string, description string").write.parquet(str(tmp_path / "i"))
+    iocs = spark.read.parquet(str(tmp_path / "i"))
+    lines = formats.report_texts(iocs)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    names = sink.write_reports(iocs, str(tmp_path / "out"))
+    want = {(f"{r.source_value}_iocs.txt", r.report + "\n") for r in formats.text_reports(iocs).collect()}
+    got = {tuple(r) for r in sink.read_reports(names.filter("source_value <> 'e'"), str(tmp_path / "out")).collect()}
+    assert got == want and len(want) == 4
+    writer = sink.NamedFilesWriter(str(tmp_path / "direct"))
+    batch = pa.RecordBatch.from_pydict({"file": ["x", "x", "y"], "line": ["1", "2", "3"]})
+    told = [writer.write(iter([batch])), writer.write(iter([]))]
+    assert [len(vars(t)) for t in told] == [1, 1]
+    writer.commit([*told, None])
+    assert {p.name: p.read_text() for p in (tmp_path / "direct").iterdir()} == {"x": "1\n2\n", "y": "3\n"}
