@@ -124,3 +124,16 @@ def test_reports_are_written_from_one_read_and_no_name_passes_the_driver(spark,
     assert [len(vars(t)) for t in told] == [1, 1]
     writer.commit([*told, None])
     assert {p.name: p.read_text() for p in (tmp_path / "direct").iterdir()} == {"x": "1\n2\n", "y": "3\n"}
+
+
+def test_few_substrings_are_one_pass_and_many_the_same_by_pieces(spark, monkeypatch):
+    from indicant.operators import warninglists as W
+
+    lists = spark.createDataFrame([("a", "A", None, "substring", ["domain", "url"], ["Vendor", "x.io"]), ("b", None, "d", "substring", ["url"], ["vend", None]), ("c", "C", None, "string", ["domain"], ["k"])], W.SCHEMA)
+    iocs = spark.createDataFrame([(t, v) for t in ("domains", "urls", "emails", "ips", "own") for v in ("my.vendor.io", "ven", "https://Vendor.x.io/a", "x.i", "", "none")], "ioc_type string, value string")
+    few = W.substring_stage(W.prepared(iocs), lists)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(W, "SUBSTRINGS_IN_PLAN", 0)
+    many = W.substring_stage(W.prepared(iocs), lists)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(few) == rows(many) and rows(few)
