@@ -48,3 +48,9 @@ ODD_DOCUMENTS = [
 def test_indicators_of_odd_documents(spark, tmp_path, query):
     got, want = sides(spark, tmp_path, query, documents=spark.createDataFrame(list(enumerate(ODD_DOCUMENTS)), "doc_id long, text string"))
     assert got == want and got
+
+
+def test_a_store_where_runs_of_a_source_share_iocs(spark, tmp_path):
+    keys = [(k, c) for c, every in ((1, 1), (2, 90000 * 77), (3, 25 * 77 * 90000), (6, 3), (9, 1), (10, 7)) for k in range(c, c + 5 * every, every)]
+    got, want = sides(spark, tmp_path, "store_replaced_and_concurrent", orders=spark.createDataFrame(keys, "o_orderkey long, o_custkey long"))
+    assert got == want and any(r[2] > 1 and r[4] < r[3] for r in got[:-1])

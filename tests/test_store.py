@@ -63,3 +63,29 @@ def test_an_empty_store_and_an_empty_run(spark, tmp_path):
     assert sizes(db) == dict.fromkeys([*TABLES, "joined"], 0) and db.vacuum(0) == 0
     db.persist(rows(spark), NOW)
     assert sizes(db) == dict.fromkeys([*TABLES, "joined"], 0) and len(db.batches()) == 1
+
+
+def test_a_stored_run_is_the_same_batch_and_is_not_written_once_more(spark, tmp_path, monkeypatch):
+    plain, stored = Store(spark, str(tmp_path / "plain")), Store(spark, str(tmp_path / "stored"))
+    both = rows(spark, "a", "b").union(rows(spark, "b", "c", source="t"))
+    both.write.parquet(str(tmp_path / "rows"))
+    staged = []
+    monkeypatch.setattr(Store, "_delete", lambda self, name, delete=Store._delete: (staged.extend(p.name for p in (tmp_path / "stored" / name).iterdir()), delete(self, name)))
+    names = [stored.persist(spark.read.parquet(str(tmp_path / "rows")), NOW, stored=True) for _ in range(2)]
+    monkeypatch.undo()
+    assert staged == ["sources"] * 2 and names == [plain.persist(both.union(both), NOW)] * 2
+    assert sizes(stored) == sizes(plain) == {"sightings": 2, "runs": 2, "iocs": 3, "run_iocs": 4, "joined": 4}
+    assert {name: plain._read(name).exceptAll(stored._read(name)).count() for name in TABLES} == dict.fromkeys(TABLES, 0)
+
+
+def test_links_meet_the_iocs_only_where_some_lack_theirs(spark, tmp_path):
+    db = Store(spark, str(tmp_path / "db"))
+    assert db.known_links()[0].count() == db.known_links()[1] == 0
+    db.persist(rows(spark, "a", "b"), NOW)
+    db.persist(rows(spark, "b", "c"), NOW)
+    links, n = db.known_links()
+    assert n == 3 and links.count() == 4 and "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
+    held = {name: db._read(name) for name in TABLES}
+    db._publish("x", db._write(held | {"iocs": held["iocs"].filter("value <> 'b'")}), list(db.batches()))
+    links, n = db.known_links()
+    assert n == 2 and links.count() == 2 == db.linked().count()
